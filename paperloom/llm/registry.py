@@ -6,8 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
 from . import exact_dedup as _dedup
+from . import mixing as _mixing
 from . import quality_rules as _rules
+from . import secret_scan as _secrets
+from . import simhash_dedup as _simhash
+from . import url_filter as _urls
 from .common import table
 
 
@@ -15,14 +21,35 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rules.quality_rules(table(spark, sf_dir, "documents")).drop("failed_rules")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _simhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _secrets.find_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_quality_rules, op9_exact_dedup)
+    found = (op2_quality_rules, op4_mixing, op5_url_filters, op6_simhash_dedup, op9_exact_dedup, op10_secret_scan)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _rules.oracle_sql(), "op9_exact_dedup": _dedup.ORACLE_SQL}
+    return {
+        "op2_quality_rules": _rules.oracle_sql(),
+        "op4_mixing": _mixing.ORACLE_SQL,
+        "op5_url_filters": _urls.oracle_sql(),
+        "op9_exact_dedup": _dedup.ORACLE_SQL,
+    }
