@@ -10,6 +10,7 @@ import public_tokenizers
 
 from . import exact_dedup as _dedup
 from . import mixing as _mixing
+from . import packing as _packing
 from . import quality_rules as _rules
 from . import secret_scan as _secrets
 from . import simhash_dedup as _simhash
@@ -33,6 +34,10 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _simhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -42,7 +47,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_quality_rules, op4_mixing, op5_url_filters, op6_simhash_dedup, op9_exact_dedup, op10_secret_scan)
+    found = (op2_quality_rules, op4_mixing, op5_url_filters, op6_simhash_dedup, op7_packing, op9_exact_dedup, op10_secret_scan)
     return {f.__name__: f for f in found}
 
 
