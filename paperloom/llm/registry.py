@@ -14,6 +14,7 @@ from . import packing as _packing
 from . import quality_rules as _rules
 from . import secret_scan as _secrets
 from . import simhash_dedup as _simhash
+from . import token_files as _tokens
 from . import url_filter as _urls
 from .common import table
 
@@ -38,6 +39,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -47,7 +52,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_quality_rules, op4_mixing, op5_url_filters, op6_simhash_dedup, op7_packing, op9_exact_dedup, op10_secret_scan)
+    found = (op2_quality_rules, op4_mixing, op5_url_filters, op6_simhash_dedup, op7_packing, op8_token_files, op9_exact_dedup, op10_secret_scan)
     return {f.__name__: f for f in found}
 
 
