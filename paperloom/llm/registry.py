@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from . import exact_dedup as _dedup
+from . import lm_score as _lm
 from . import mixing as _mixing
 from . import packing as _packing
 from . import quality_rules as _rules
+from . import rule_ensemble as _ensemble
 from . import secret_scan as _secrets
 from . import simhash_dedup as _simhash
 from . import token_files as _tokens
@@ -19,10 +21,18 @@ from . import url_filter as _urls
 from .common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ensemble.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rules.quality_rules(table(spark, sf_dir, "documents")).drop("failed_rules")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lm.lm_score(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -52,7 +62,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_quality_rules, op4_mixing, op5_url_filters, op6_simhash_dedup, op7_packing, op8_token_files, op9_exact_dedup, op10_secret_scan)
+    found = (op1_quality_classifier, op2_quality_rules, op3_lm_score, op4_mixing, op5_url_filters, op6_simhash_dedup, op7_packing, op8_token_files, op9_exact_dedup, op10_secret_scan)
     return {f.__name__: f for f in found}
 
 
