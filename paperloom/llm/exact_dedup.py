@@ -50,6 +50,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of docs that stays of each class, with all its columns.
+
+    Rows meet their verdict by id and digest; of rows that repeat both, one passes.
+    """
+    keep = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_digest"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"), F.sha2(normalised(F.col(text_col)), 256).alias("row_digest"))
+    same = F.col("row_id").eqNullSafe(F.col("kept_id")) & (F.col("row_digest") == F.col("kept_digest"))
+    repeats = Window.partitionBy("row_id", "row_digest").orderBy("row_id")
+    return rows.join(keep, same, "left_semi").withColumn("repeat", F.row_number().over(repeats)).where("repeat = 1").select("row.*")
+
+
 ORACLE_SQL = f"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[{SPACE}]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,

@@ -80,18 +80,12 @@ def _repeated(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) < F.size(windows), _let(_let(ordered, starts), _covered)).otherwise(F.lit(0).cast("long"))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per input row: id, counts, base_failed, kept and failed_rules.
-
-    Null and empty texts have no words, so they fail the base rule. Repeated rows are judged
-    alike and stay repeated; null ids pass through. Other columns are not read, so their
-    names can't clash. An empty table gives an empty result. Windows are told apart by the
-    64-bit hash of their five words.
-    """
+def _judged(docs: DataFrame, carried: Column, text_col: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """Rows (row, counts, base_failed, failed_rules, kept); `row` is what is carried along, so names can't clash."""
     text = F.col("t")
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(f"[^{SPACE}]"))
-    base = docs.select(F.col(id_col).alias("doc_id"), text_of(F.col(text_col)).alias("t")).select(
-        "doc_id",
+    base = docs.select(carried.alias("row"), text_of(F.col(text_col)).alias("t")).select(
+        "row",
         words_of(text).alias("words"),
         lines.alias("lines"),
         (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -99,7 +93,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = sorted({form for w in STOP_WORDS for form in (w, w.capitalize())})
     window = F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))
     counted = base.select(
-        "doc_id",
+        "row",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols",
@@ -109,11 +103,24 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.when(F.size("words") > WINDOW, window).otherwise(F.array().cast("array<bigint>")).alias("windows"),
     ).withColumn("n_repeat_words", _repeated(F.col("windows")))
     failed = F.array_compact(F.array(*[F.when(~F.expr(r.sql()), F.lit(r.name)) for r in rules]))
-    return counted.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words",
-        F.expr(BASE_FAILED).alias("base_failed"),
-        failed.alias("failed_rules"),
-    ).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    return counted.drop("windows").withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """One row per input row: doc_id, counts, base_failed, failed_rules, kept.
+
+    Null and empty texts have no words, so they fail the base rule. Repeated rows are judged
+    alike and stay repeated; null ids pass through. Other columns are not read, so their
+    names can't clash. An empty table gives an empty result. Windows are told apart by the
+    64-bit hash of their five words.
+    """
+    judged = _judged(docs, F.col(id_col), text_col, rules)
+    return judged.select(F.col("row").alias("doc_id"), *[c for c in judged.columns if c != "row"])
+
+
+def good_rows(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns."""
+    return _judged(docs, F.struct("*"), text_col, rules).where("kept").select("row.*")
 
 
 def oracle_sql() -> str:

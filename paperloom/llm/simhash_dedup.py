@@ -160,3 +160,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     heads = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(heads, "root").select("print", "component_id")
     return prints.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose id is not their component's smallest; all columns stay.
+
+    An id names a document: rows that share a representative's id all stay.
+    """
+    gone = near_dedup(docs, id_col, text_col).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]), "left_anti")
