@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from paperloom.plans import control, dialogue, documents, operations, parsing, store
+from paperloom.plans.base import Query
 
 FLAGSHIP = "doc_quality_profile"
 
+_ALL = documents.QUERIES | dialogue.QUERIES | parsing.QUERIES | store.QUERIES | control.QUERIES | operations.QUERIES
+
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
