@@ -166,3 +166,13 @@ def export_name(filename: Column, mode: Column, day: Column) -> Column:
     """name - label - day.pdf, the name without extension and with runs of unsafe characters as one underscore."""
     safe = F.regexp_replace(F.regexp_replace(filename, r"\.[^.]+\z", ""), r"[^\wäöüÄÖÜß .-]+", "_")
     return F.concat(safe, F.lit(" - "), mode_label(mode), F.lit(" - "), day, F.lit(".pdf"))
+
+
+def is_managed(path: Column, folder: Column) -> Column:
+    """Whether a file lies in the managed folder, and so may be removed."""
+    return path.startswith(folder)
+
+
+def effective_theme(mode: Column, system_dark: Column) -> Column:
+    """'system' follows the operating system."""
+    return F.when(mode != "system", mode).otherwise(F.when(system_dark, "dark").otherwise("light"))

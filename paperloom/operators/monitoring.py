@@ -24,6 +24,20 @@ def log_line(ts: Column, level: Column, source: Column, message: Column, meta: C
     return F.to_json(F.struct(ts.alias("ts"), level.alias("lvl"), source.alias("src"), message.alias("msg"), meta.alias("meta")))
 
 
+def write_logs(entries: DataFrame, path: str) -> None:
+    """Appends accepted entries (ts, level, source, message, meta) as JSON lines, a folder a UTC day."""
+    ok = entries.where(valid_entry(F.col("level"), F.col("source"), F.col("message")))
+    lines = ok.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts", F.col("level").alias("lvl"), F.col("source").alias("src"), F.col("message").alias("msg"), "meta")
+    lines.write.mode("append").partitionBy("day").json(path)
+
+
+def ram_usage(total: Column, free: Column) -> Column:
+    """struct(total_gb, used_gb, used_percent)."""
+    used = total - free
+    gigabytes = lambda size: F.round(size / (1024 * 1024 * 1024), 1)
+    return F.struct(gigabytes(total).alias("total_gb"), gigabytes(used).alias("used_gb"), round_half_up(used / total * 100).cast("long").alias("used_percent"))
+
+
 def capped(lines: DataFrame, day: str, order: list[str], size: Column, most: int, every: int = CHECK_EVERY) -> DataFrame:
     """Lines that a day's file takes: at each `every`-th line the bytes so far are checked, and past the cap the rest is dropped."""
     ordered = Window.partitionBy(day).orderBy(*order)

@@ -36,6 +36,14 @@ def read_newest(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/version={version:06d}") if version else spark.createDataFrame([], schema)
 
 
+def create_tables(spark: SparkSession, database: str, buckets: int = 64) -> None:
+    """The four relations as Parquet tables. In place of indexes, children are bucketed by document and sorted by time."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    tables = {"documents": (DOCUMENTS, "id"), "analyses": (ANALYSES, "document_id"), "chat_messages": (CHAT_MESSAGES, "document_id"), "first_impressions": (FIRST_IMPRESSIONS, "document_id")}
+    for name, (columns, key) in tables.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY (created_at) INTO {buckets} BUCKETS")
+
+
 def migrate(df: DataFrame, version: int, steps: list) -> tuple[DataFrame, int]:
     """Applies the steps after `version` in order; step n leads to version n. A newest version is left alone."""
     return reduce(lambda at, step: (step(at[0]), at[1] + 1), steps[version:], (df, version))

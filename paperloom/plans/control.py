@@ -142,6 +142,17 @@ def language_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOOKUP_SQL = f"""SELECT code, coalesce(english, 'English') AS english, coalesce(native, code) AS native, coalesce(dir = 'rtl', false) AS rtl
 FROM {values_sql(_CODES, "code")} LEFT JOIN (SELECT * FROM (VALUES {", ".join("(" + ", ".join(map(sql_value, x)) + ")" for x in LANGUAGES)}) AS l(code, native, english, dir)) USING (code)"""
 
+_LABELS = [(1, 1, "dark", True, "/docs/a.pdf"), (2, 3, "system", True, "/other/b"), (3, 6, "system", False, "/docs/c")]
+
+
+def display_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = literal_rows(spark, _LABELS, "id int, grade int, theme string, dark boolean, path string")
+    return rows.select("id", classify.grade_band(F.col("grade")).alias("band"), classify.effective_theme(F.col("theme"), F.col("dark")).alias("theme"), classify.is_managed(F.col("path"), F.lit("/docs/")).alias("managed"), classify.basename(F.col("path")).alias("name"))
+
+
+_SHOWN = [(1, "green", "dark", True, "a.pdf"), (2, "amber", "dark", False, "b"), (3, "red", "light", True, "c")]
+
+
 QUERIES = {
     "error_classify": (error_classify, ERRORS_SQL),
     "transient_error": (transient_error, TRANSIENT_SQL),
@@ -152,5 +163,6 @@ QUERIES = {
     "primary_model": (primary_model, f"SELECT id, name FROM {values_sql(_LOADED, 'id, name, size, in_vram')} ORDER BY size DESC, id LIMIT 1"),
     "settings_sanitize": (settings_sanitize, SANITIZE_SQL),
     "settings_merge": (settings_merge, MERGE_SQL),
+    "display_bands": (display_bands, f"SELECT * FROM {values_sql(_SHOWN, 'id, band, theme, managed, name')}"),
     "language_lookup": (language_lookup, LOOKUP_SQL),
 }

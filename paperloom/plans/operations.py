@@ -7,7 +7,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.functions import dates
 from paperloom.operators import catalogues, monitoring
+from paperloom.streaming import streams
 
 from .base import literal_rows, table, values_sql
 
@@ -125,6 +127,54 @@ _NAMES = [
     ("en", "n.file_other", "count"), ("en", "list", ""), ("fr", "app.title", ""), ("fr", "app.more.deep", "a,b"), ("fr", "n.file_many", ""), ("fr", "n.file_other", "n"),
 ]
 
+def event_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    later = F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("event_id") % 90).cast("decimal(18,6)"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", dates.iso_ms(F.col("ts")).alias("iso"), dates.day_key(F.col("ts")).alias("day"), dates.german_short(F.col("ts")).alias("short"), dates.german_long(F.col("ts")).alias("long"), dates.duration_ms(F.col("ts"), later).alias("ms"), dates.from_iso(dates.iso_ms(F.col("ts"))).isNotNull().alias("parses"),
+    )
+
+
+DATES_SQL = f"""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS iso, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%d.%m.%Y, %H:%M') AS short,
+ day(ts) || '. ' || {list(dates.MONTHS)}[month(ts)] || strftime(ts, ' %Y um %H:%M') AS long, (event_id % 90) * 1000 AS ms, true AS parses FROM events"""
+
+
+def ram_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total, free = F.lit(17_179_869_184).cast("long"), F.col("event_id") * 1_700_003
+    return table(spark, sf_dir, "events").select("event_id", monitoring.ram_usage(total, free).alias("r")).select("event_id", "r.total_gb", "r.used_gb", "r.used_percent")
+
+
+RAM_SQL = """WITH r AS (SELECT event_id, 17179869184 AS total, 17179869184 - event_id * 1700003 AS used FROM events)
+SELECT event_id, round(total / 1073741824::DOUBLE, 1) AS total_gb, round(used / 1073741824::DOUBLE, 1) AS used_gb, floor(used / total::DOUBLE * 100 + 0.5)::BIGINT AS used_percent FROM r"""
+
+_FAILURES = [(1, '{"message": "fetch failed", "name": "TypeError", "cause": {"message": "reset", "name": "Error", "code": "ECONNRESET"}}'), (2, '{"message": "m", "name": "Error", "cause": "text"}'), (3, '{"message": "m", "name": "Error"}'), (4, "plain")]
+
+
+def error_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return literal_rows(spark, _FAILURES, "id int, raw string").select("id", dates.error_metadata(F.col("raw")).alias("e")).select("id", "e.*")
+
+
+_CHAINS = [(1, "fetch failed", "TypeError", "reset", "Error", "ECONNRESET"), (2, "m", "Error", "text", None, None), (3, "m", "Error", None, None, None), (4, "plain", None, None, None, None)]
+
+
+def events_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch form of the windowed metrics stream."""
+    counted = streams.windowed_metrics(table(spark, sf_dir, "events"), width="1 hour")
+    return counted.select(dates.iso_ms(F.col("window.start")).alias("hour"), "event_type", "n")
+
+
+HOURLY_SQL = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL"
+
+
+def stream_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last phase of each stream and the whole percentage of its latest progress."""
+    events = table(spark, sf_dir, "events")
+    at = F.struct("ts", "event_id")
+    newest = streams.latest(events, "user_id", at, F.struct("event_type", "event_id"))
+    return newest.select("user_id", F.col("latest.event_type").alias("phase"), streams.progress(F.col("latest.event_id") % 101, F.lit(100)).alias("percent"))
+
+
+PHASE_SQL = "SELECT user_id, event_type AS phase, event_id % 101 AS percent FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
+
 QUERIES = {
     "log_retention": (log_retention, RETENTION_SQL),
     "log_size_cap": (log_size_cap, CAP_SQL),
@@ -133,6 +183,11 @@ QUERIES = {
     "active_streams": (active_streams, ACTIVE_SQL),
     "stream_flush_batches": (stream_flush_batches, FLUSH_SQL),
     "stream_concat": (stream_concat, CONCAT_SQL),
+    "event_dates": (event_dates, DATES_SQL),
+    "ram_metrics": (ram_metrics, RAM_SQL),
+    "error_chain": (error_chain, f"SELECT * FROM {values_sql(_CHAINS, 'id, error, name, cause_message, cause_name, cause_code')}"),
+    "events_hourly": (events_hourly, HOURLY_SQL),
+    "stream_phase": (stream_phase, PHASE_SQL),
     "i18n_parity": (i18n_parity, f"SELECT * FROM {values_sql(_PARITY, 'lang, key, difference')}"),
     "i18n_placeholders": (i18n_placeholders, f"SELECT * FROM {values_sql(_NAMES, 'lang, path, names')}"),
 }

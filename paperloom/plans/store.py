@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.functions import classify
-from paperloom.operators import store
+from paperloom.functions import classify, text
+from paperloom.operators import prompts, store
 
-from .base import STORED_SQL, stored, table
+from .base import STORED_SQL, sql_value, stored, table
 
 
 def store_insert_update(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,26 @@ def analysis_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("document_id = 7").orderBy(F.desc("ts"), "id").select("id", "mode")
 
 
+def analysis_list_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").orderBy(F.desc("ts"), "event_id").select("event_id", F.col("user_id").alias("document_id"), F.col("event_type").alias("mode"))
+
+
+def first_impression_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    impressions = store_upsert(spark, sf_dir)
+    return impressions.where("doc_id = 18")
+
+
+def analysis_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored rows: the mark of aborted answers, the notice of shortened documents, no structured result."""
+    rows = _analyses(spark, sf_dir)
+    answer = prompts.with_notice(F.concat(F.lit("answer "), F.col("analysis_id").cast("string")), F.col("analysis_id") % 5 == 0, F.col("mode"))
+    return rows.select("analysis_id", F.md5(store.finished(answer, F.col("analysis_id") % 7 == 0)).alias("digest"), F.lit(None).cast("string").alias("structured_result"))
+
+
+APPEND_SQL = f"""SELECT doc_id AS analysis_id, md5('answer ' || doc_id || CASE WHEN doc_id % 5 = 0 THEN {sql_value(text.NOTICE)} ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN chr(10) || chr(10) || '[stopped]' ELSE '' END) AS digest,
+ NULL::VARCHAR AS structured_result FROM labels"""
+
+
 QUERIES = {
     "store_insert_update": (store_insert_update, UPDATE_SQL),
     "store_delete_cascade": (store_delete_cascade, CASCADE_SQL),
@@ -91,5 +111,8 @@ QUERIES = {
     "latest_per_doc": (latest_per_doc, LATEST_SQL),
     "analysis_export_join": (analysis_export_join, EXPORT_SQL),
     "export_filename": (export_filename, NAME_SQL),
+    "analysis_list_newest": (analysis_list_newest, "SELECT event_id, user_id AS document_id, event_type AS mode FROM events ORDER BY ts DESC, event_id"),
+    "first_impression_lookup": (first_impression_lookup, UPSERT_SQL + " AND doc_id = 18"),
+    "analysis_append": (analysis_append, APPEND_SQL),
     "analysis_history": (analysis_history, "SELECT event_id AS id, event_type AS mode FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id"),
 }
