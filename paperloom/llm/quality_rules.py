@@ -120,7 +120,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def good_rows(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
-    return _judged(docs, F.struct("*"), text_col, rules).where("kept").select("row.*")
+    judged = _judged(docs, F.struct("*"), text_col, rules)
+    # A filter would be pushed below the projections and take their expressions with it, arrays and
+    # all, into every place that uses them. It isn't pushed below a row number, which is never negative.
+    marked = judged.select("row", (F.col("kept") & (F.monotonically_increasing_id() >= 0)).alias("stays"))
+    return marked.where("stays").select("row.*")
 
 
 def oracle_sql() -> str:
