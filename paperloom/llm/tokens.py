@@ -16,7 +16,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: A worker forgets its pieces when it holds this many, so its memory stays bounded.
-MAX_PIECES = 800_000
+MAX_PIECES = 900_000
 
 #: The byte-level pre-tokenizer's own pattern: a fixed value of the vocabulary's format.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -46,15 +46,21 @@ class _Pieces(dict):
         self.pool.extend(ids)
         return len(self.starts) - 1
 
+    def word(self, word: str) -> int:
+        """The place of a word by the library's own pattern."""
+        if (place := self.get(word)) is None:
+            place = self[word] = self.add([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+        return place
+
     def __missing__(self, piece: str) -> int:
         # Beyond Latin letters the two regex engines may know different Unicode versions.
-        if not piece.isascii() and max(piece) >= "ɐ":
+        if not piece.isascii() and max(piece) >= "\u0250":
             place = self.add(self.whole(piece))
         elif len(words := self.pattern.findall(piece)) == 1:
-            place = self.add([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+            return self.word(piece)
         else:
             ids = array("I")
-            for at in map(self.__getitem__, words):
+            for at in map(self.word, words):
                 ids += self.pool[self.starts[at] : self.starts[at] + self.sizes[at]]
             place = self.add(ids)
         self[piece] = place
@@ -64,8 +70,11 @@ class _Pieces(dict):
 class WordEncoder:
     """encode(texts) gives what Tokenizer.encode(text, add_special_tokens=False) gives for each."""
 
-    _double = re.compile(r"\s\s|[\x1c-\x1f\x85\xa0]")
-    _odd = re.compile(r"[\x00\x1c-\x1f\x85᠎]|<\|")
+    #: Special tokens' brackets, and characters that only one of the two regex engines takes for white space.
+    _odd = ("\0", "<|", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\u180e")
+    #: White space that isn't one space or one line feed between words.
+    _double = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\xa0")
+    _wide = re.compile(r"[^\S\x00-\xff]")
     _cut = re.compile(r"\s+(?=\s\S)| ?\S+|\s+")
 
     def __init__(self, path: str):
@@ -78,11 +87,11 @@ class WordEncoder:
     def forget(self) -> None:
         self.pieces = _Pieces(self.tokenizer.model, self.whole)
 
-    def cut(self, text: str) -> list[str]:
-        """Pieces whose ids, one after the other, are the text's; odd texts are one piece."""
-        if self._odd.search(text):
-            return [text]
-        if self._double.search(text):
+    def cut(self, text: str) -> list[str] | None:
+        """Pieces whose ids, one after the other, are the text's; None for texts that are encoded whole."""
+        if any(mark in text for mark in self._odd):
+            return None
+        if any(mark in text for mark in self._double) or (not text.isascii() and self._wide.search(text)):
             return self._cut.findall(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
@@ -92,15 +101,18 @@ class WordEncoder:
             self.forget()
         places, ends = array("q"), [0]
         for text in texts:
-            if self._odd.search(text):
+            pieces = self.cut(text)
+            if pieces is None:
                 places.append(self.pieces.add(self.whole(text)))
             else:
-                places.extend(map(self.pieces.__getitem__, self.cut(text)))
+                places.extend(map(self.pieces.__getitem__, pieces))
             ends.append(len(places))
-        at = np.array(places, dtype=np.int64)
-        starts, sizes = np.array(self.pieces.starts, dtype=np.int64)[at], np.array(self.pieces.sizes, dtype=np.int64)[at]
+        at = np.frombuffer(places, dtype=np.int64) if places else np.zeros(0, dtype=np.int64)
+        # Views on the growing arrays must be gone before the next piece is added; indexing copies.
+        starts, sizes = (np.frombuffer(a, dtype=np.int64)[at] if len(at) else at for a in (self.pieces.starts, self.pieces.sizes))
         before = np.concatenate([[0], np.cumsum(sizes)])
-        ids = np.array(self.pieces.pool, dtype=np.uint32)[np.repeat(starts - before[:-1], sizes) + np.arange(before[-1])]
+        where = np.repeat(starts - before[:-1], sizes) + np.arange(before[-1])
+        ids = np.frombuffer(self.pieces.pool, dtype=np.uint32)[where] if len(where) else np.zeros(0, dtype=np.uint32)
         return ids, np.diff(before[np.array(ends)])
 
 
