@@ -92,14 +92,18 @@ class EliasFano:
         h = (x >> np.uint64(self.low_bits)).astype(np.int64)
         at, end = self._bucket(h), self._bucket(h + 1)
         want = x & np.uint64((1 << self.low_bits) - 1)
-        equal = np.zeros(len(x), dtype=bool)
-        open_ = np.flatnonzero(at < end)
+        # A bucket's low parts ascend. Values crowd in some buckets, so each one is halved, not walked.
+        stop = end.copy()
+        open_ = np.flatnonzero(at < stop)
         while len(open_):
-            low = self._low(at[open_])
-            equal[open_] = low == want[open_]
-            open_ = open_[low < want[open_]]
-            at[open_] += 1
-            open_ = open_[at[open_] < end[open_]]
+            middle = (at[open_] + stop[open_]) >> 1
+            below = self._low(middle) < want[open_]
+            at[open_[below]] = middle[below] + 1
+            stop[open_[~below]] = middle[~below]
+            open_ = open_[at[open_] < stop[open_]]
+        equal = np.zeros(len(x), dtype=bool)
+        inside = np.flatnonzero(at < end)
+        equal[inside] = self._low(at[inside]) == want[inside]
         return at, equal
 
     def arrays(self) -> list[np.ndarray]:

@@ -27,6 +27,17 @@ def test_elias_fano_access_and_successor(n, universe):
     assert (equal == (np.append(values, 0)[want] == asked) & (want < n)).all()
 
 
+def test_elias_fano_successor_in_crowded_buckets():
+    rng = np.random.default_rng(3)
+    crowd = (1 << 40) + rng.choice(1 << 22, 20_000, replace=False).astype(np.uint64)
+    values = np.sort(np.concatenate([crowd, rng.integers(0, 1 << 62, 200, dtype=np.uint64)]).astype(np.uint64))
+    asked = np.concatenate([(1 << 40) + rng.integers(0, 1 << 22, 5000, dtype=np.uint64), values])
+    at, equal = EliasFano.of(values, 1 << 62).successor(asked)
+    want = np.searchsorted(values, asked)
+    assert (at == want).all()
+    assert (equal == np.isin(asked, values)).all()
+
+
 def test_trie_stores_quantised_probabilities():
     contexts = np.repeat(np.array([5 << 40, 9 << 40], dtype=np.uint64), 3)
     low = np.array([1, 2, 3, 2, 7, 1 << 39], dtype=np.uint64)
