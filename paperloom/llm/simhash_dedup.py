@@ -20,10 +20,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import text_of, written
 from .components import components
 
 SHINGLE = 4
@@ -73,13 +73,20 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         prints = np.array([fingerprint(t) for t in frame["text"]], dtype=np.uint64)
-        yield pd.DataFrame({"doc_id": frame["doc_id"].values, "print": prints.view(np.int64)})
+        yield frame.drop(columns="text").assign(print=prints.view(np.int64))
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, print), print being the fingerprint as a signed long."""
-    source = docs.selectExpr(f"`{id_col}` AS doc_id", f"CAST(`{text_col}` AS STRING) AS text")
-    return source.mapInPandas(_fingerprints, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, print long")
+def _row_key(id_col: str, text_col: str) -> Column:
+    """The digest of the text (null as empty), then the id unless it is null: equal for rows that repeat both, never null."""
+    return F.concat(F.sha2(text_of(F.col(f"`{text_col}`")), 256), F.coalesce(F.concat(F.lit(":"), F.col(f"`{id_col}`").cast("string")), F.lit("")))
+
+
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_keys: bool = False) -> DataFrame:
+    """Rows (doc_id, print), print being the fingerprint as a signed long; with row_keys, rows (doc_id, row_key, print)."""
+    keys = [_row_key(id_col, text_col).alias("row_key")] if row_keys else []
+    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *keys)
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInPandas(_fingerprints, f"doc_id {kind}, row_key string, print long" if row_keys else f"doc_id {kind}, print long")
 
 
 def linked(one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -146,6 +153,13 @@ def near_links(nodes: DataFrame) -> DataFrame:
     return postings.repartition("part", "post").sortWithinPartitions("part", "post").mapInPandas(_links, "u long, v long")
 
 
+def _rooted(prints: DataFrame, first: Column) -> DataFrame:
+    """Rows (print, first, root) without repeated fingerprints; `first` aggregates the rows of a fingerprint."""
+    nodes = prints.groupBy("print").agg(first.alias("first"))
+    roots = components(near_links(nodes.select("print")))
+    return nodes.join(roots, F.col("print") == F.col("node"), "left").select("print", "first", F.coalesce("root", "print").alias("root"))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -154,18 +168,22 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     null component_id. Other columns are not read. An empty table gives an empty result.
     """
     prints = written(with_fingerprints(docs, id_col, text_col), "simhash")
-    nodes = prints.groupBy("print").agg(F.min("doc_id").alias("first_id"))
-    roots = components(near_links(nodes.select("print")))
-    rooted = nodes.join(roots, F.col("print") == F.col("node"), "left").select("print", "first_id", F.coalesce("root", "print").alias("root"))
-    heads = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    rooted = _rooted(prints, F.min("doc_id"))
+    heads = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(heads, "root").select("print", "component_id")
     return prints.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose id is not their component's smallest; all columns stay.
+    """The row of docs that stays of each component, with all its columns.
 
-    An id names a document: rows that share a representative's id all stay.
+    It is the row with the smallest id, of equal ids the one with the smallest text digest; a null
+    id stays only in a component without other ids. Rows meet their verdict by id and digest, so
+    rows that share an id are judged by their own texts; of rows that repeat both, one stays.
     """
-    gone = near_dedup(docs, id_col, text_col).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]), "left_anti")
+    prints = written(with_fingerprints(docs, id_col, text_col, row_keys=True), "simhash")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    kept = _rooted(prints, F.min(order)).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_key").alias("row_key"))
+    rows = docs.select(F.struct("*").alias("row"), _row_key(id_col, text_col).alias("row_key")).join(kept, "row_key", "left_semi")
+    repeats = Window.partitionBy("row_key").orderBy("row_key")
+    return rows.withColumn("repeat", F.row_number().over(repeats)).where("repeat = 1").select("row.*")

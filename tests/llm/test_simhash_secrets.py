@@ -85,6 +85,26 @@ def test_near_dedup_on_the_sample_equals_brute_force(spark, sf_dir):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_representatives_of_repeated_and_null_ids_equal_brute_force(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(5000)], k=400)) for _ in range(6)]
+    near = {t: [t, t.upper(), t + " end"] for t in texts}
+    assert all((simhash_dedup.fingerprint(t) ^ simhash_dedup.fingerprint(n)).bit_count() <= 4 for t, some in near.items() for n in some)
+    a, b, c, d, e, f = texts
+    rows = [(3, a), (7, near[a][1]), (7, b), (None, near[a][2]), (None, c), (None, near[c][1]), (None, near[c][2]), (None, d), (None, d), (5, e), (5, e), (5, near[e][1]), (5, f), (9, near[f][2]), (2, None), (2, ""), (None, " ")]
+    rows = [(i, t, n) for n, (i, t) in enumerate(rows)]
+    prints = [simhash_dedup.fingerprint(t) for _, t, _ in rows]
+    group = roots(range(len(rows)), [(i, j) for i, j in combinations(range(len(rows)), 2) if (prints[i] ^ prints[j]).bit_count() <= 4])
+    want = {}
+    for n, (i, t, _) in enumerate(rows):
+        digest = hashlib.sha256((t or "").encode()).hexdigest()
+        want.setdefault(group[n], []).append((i is None, i or 0, digest))
+    got = simhash_dedup.representatives(spark.createDataFrame(rows, "doc_id long, text string, print int").repartition(3)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in got) == sorted(map(min, want.values()))
+    assert len(got) == 7 and b in {r.text for r in got} and d in {r.text for r in got}
+    assert all((r.doc_id, r.text, r.print) in rows for r in got)
+
+
 BASE = {
     "assign": re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I),
     "access": re.compile(r"AKIA[A-Z0-9]+"),
