@@ -13,7 +13,7 @@ arrays that Spark shuffles twice:
 4. Blocks meet their answers and sum over documents.
 
 The model is p(w | v) = c(v w) / (c(v) + MU) + MU / (c(v) + MU) * p(w), a Dirichlet prior of weight
-MU round the smoothed unigram p(w) = (c(w) + 1) / (N + V + 1). The trie's byte holds the first term.
+MU round the smoothed unigram p(w) = (c(w) + 1) / (N + V + 1), V being counted over all blocks. The trie's byte holds the first term.
 """
 
 from __future__ import annotations
@@ -70,14 +70,16 @@ def _encoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "low": (ids & 0xFFFF).astype(np.uint16).tobytes(), "high": (ids >> 16).astype(np.uint16).tobytes(),
                 "hashes": np.concatenate([[START, END], hashes]).astype(np.uint64).tobytes(), "train": train.tobytes(),
                 "train_tokens": int(sizes[~held].sum()), "train_docs": int((~held).sum()), "tokens": int(sizes.sum()),
-                "sketch": np.sort(hashes[train[2:] > 0] >> np.uint64(1))[:SKETCH].astype(np.int64).tolist(),
             }
             number += 1
             yield pd.DataFrame([row])
 
 
-#: The distinct training words are estimated from the smallest hashes (for the model only; the base score counts them).
-SKETCH = 1024
+def _trained(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Hashes of the words that a block's training rows hold; no block counts its start and end."""
+    for frame in frames:
+        for hashes, train in zip(frame["hashes"], frame["train"], strict=True):
+            yield pd.DataFrame({"hash": np.frombuffer(hashes, dtype=np.int64)[np.frombuffer(train, dtype=np.uint32) > 0]})
 
 
 def _sequence(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -168,7 +170,7 @@ def build_shard(contexts: np.ndarray, low: np.ndarray, counts: np.ndarray, frequ
     return trie, own, totals
 
 
-_ANSWER = "block long, shard int, totals binary, codes binary, book binary, words long"
+_ANSWER = "block long, shard int, totals binary, codes binary, book binary"
 
 
 def _answers(frequent: dict[int, int]):
@@ -179,28 +181,25 @@ def _answers(frequent: dict[int, int]):
         rank = trie.rank(contexts)
         codes = trie.codes_of(np.repeat(rank, runs), low)
         total = totals[np.searchsorted(own, contexts)]
-        rare = ~np.isin(own, np.fromiter(frequent, dtype=np.uint64, count=len(frequent)))
         a, b = np.cumsum(np.append(0, rows["n_contexts"])), np.cumsum(np.append(0, rows["n_bigrams"]))
         return pd.DataFrame({
             "block": rows["block"], "shard": rows["shard"],
             "totals": [total[a[i] : a[i + 1]].astype(np.uint32 if total.max(initial=0) < 1 << 32 else np.uint64).tobytes() for i in range(len(rows))],
             "codes": [codes[b[i] : b[i + 1]].tobytes() for i in range(len(rows))],
             "book": trie.codebook.astype(np.float64).tobytes(),
-            "words": int((rare & (totals > 0)).sum()),
         })
 
     return answer
 
 
-def _summed(shards: int, frequent: dict[int, int], n: int, docs: int, distinct: float, id_type: str):
-    """Sums over documents. Of the base score, only what doesn't need the number of distinct words."""
+def _summed(shards: int, frequent: dict[int, int], n: int, docs: int, vocabulary: int, id_type: str):
+    """Sums over documents."""
     often = np.fromiter(frequent, dtype=np.uint64, count=len(frequent))
 
     def total(key, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        kinds = {"held_out": "boolean", "n_tokens": "Int64", "n_known": "Int64", "log_counts": "Float64", "score": "Float64", "shard": "Int64", "words": "Int64"}
+        kinds = {"held_out": "boolean", "n_tokens": "Int64", "n_known": "Int64", "base_score": "Float64", "score": "Float64"}
         kinds["doc_id"] = "Int64" if id_type == "bigint" else "object"
-        # The shards' word counts travel with the sums, in rows of their own.
-        out = [answers[["shard", "words"]].reindex(columns=list(kinds)).astype(kinds)]
+        out = [pd.DataFrame(columns=list(kinds)).astype(kinds)]
         for row in blocks.itertuples():
             hashes = np.frombuffer(row.hashes, dtype=np.uint64)
             keys, at, sizes, held = _sequence(row)
@@ -214,13 +213,13 @@ def _summed(shards: int, frequent: dict[int, int], n: int, docs: int, distinct:
                 first[routes.order[b]] = np.frombuffer(said.book)[np.frombuffer(said.codes, dtype=np.uint8)]
             of_context = count.copy()
             count[0], count[1], of_context[0], of_context[1] = 0, docs, docs, 0
-            single = (count + 1) / (n + distinct + 1)
+            single = (count + 1) / (n + vocabulary + 1)
             p = np.minimum(1.0, first + MU / (of_context[routes.context] + MU) * single[routes.token])
             starts = np.cumsum(sizes) - sizes
-            by_token = np.stack([np.log10(p), np.log10(count[routes.token] + 1.0), count[routes.token] > 0])[:, at]
-            score, logs, known = np.add.reduceat(by_token, starts, axis=1)
-            out.append(pd.DataFrame({"doc_id": list(row.doc_ids), "held_out": held, "n_tokens": sizes, "n_known": known.astype(np.int64), "log_counts": logs, "score": score, "shard": None, "words": None}).astype(kinds))
-        return pd.concat(out)[["doc_id", "held_out", "n_tokens", "n_known", "log_counts", "score", "shard", "words"]]
+            by_token = np.stack([np.log10(p), np.log10(single[routes.token]), count[routes.token] > 0])[:, at]
+            score, base, known = np.add.reduceat(by_token, starts, axis=1)
+            out.append(pd.DataFrame({"doc_id": list(row.doc_ids), "held_out": held, "n_tokens": sizes, "n_known": known.astype(np.int64), "base_score": base, "score": score}).astype(kinds))
+        return pd.concat(out)[["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]]
 
     return total
 
@@ -235,12 +234,12 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
     spark = docs.sparkSession
     source = docs.selectExpr(f"`{id_col}` AS doc_id", f"CAST(`{text_col}` AS STRING) AS text").selectExpr("doc_id", "text", f"{held_out} AS held_out")
     id_type = source.schema["doc_id"].dataType.simpleString()
-    schema = f"block long, doc_ids array<{id_type}>, held_out array<boolean>, sizes array<long>, low binary, high binary, hashes binary, train binary, train_tokens long, train_docs long, tokens long, sketch array<long>"
+    schema = f"block long, doc_ids array<{id_type}>, held_out array<boolean>, sizes array<long>, low binary, high binary, hashes binary, train binary, train_tokens long, train_docs long, tokens long"
     blocks = written(source.mapInPandas(_encoded, schema), "lm-blocks")
 
     n, n_docs, tokens = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("train_tokens", "train_docs", "tokens")]).first()
-    smallest = [r[0] for r in blocks.select(F.explode("sketch").alias("h")).distinct().orderBy("h").limit(SKETCH).collect()]
-    distinct = len(smallest) if len(smallest) < SKETCH else (SKETCH - 1) * 2.0**63 / smallest[-1]
+    # Distinct training words and the end token.
+    vocabulary = blocks.select("hashes", "train").mapInPandas(_trained, "hash long").distinct().count() + (n_docs > 0)
 
     # At most 1 / SHARE words can have that share of all tokens, and 2 / SHARE pass a block's test in all.
     def often(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -272,11 +271,8 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
     messages = blocks.select("block", "held_out", "sizes", "low", "high", "hashes").mapInPandas(_messages(shards, marks), _MESSAGE)
     answers = messages.groupBy("shard").applyInPandas(_answers(frequent), _ANSWER)
     asked = blocks.select("block", "doc_ids", "held_out", "sizes", "low", "high", "hashes")
-    total = _summed(shards, frequent, n, n_docs, distinct, id_type)
-    sums_schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, log_counts double, score double, shard long, words long"
+    total = _summed(shards, frequent, n, n_docs, vocabulary, id_type)
+    sums_schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     rows = written(asked.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(total, sums_schema), "lm-sums")
 
-    rare = rows.where("shard IS NOT NULL").groupBy("shard").agg(F.max("words").alias("words")).agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    vocabulary = rare + sum(c > 0 for h, c in frequent.items() if h != int(START)) + (n_docs > 0)
-    base = F.col("log_counts") - F.col("n_tokens") * F.log10(F.lit(float(n + vocabulary + 1)))
-    return rows.where("shard IS NULL").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

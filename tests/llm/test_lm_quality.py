@@ -83,6 +83,20 @@ def test_scores_equal_brute_force_over_many_blocks(spark, sf_dir, monkeypatch):
     compare(lm_score.lm_score(docs), [(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_back_off_of_many_words_uses_the_counted_vocabulary(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK_CHARS", 3000)
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(120)]
+    words = [[f"w{(37 * i + k) % 4000:04d}" for k in range(60)] for i in range(120)]
+    # Held-out texts run backwards, so that no bigram of theirs is learnt and nothing is quantised.
+    docs = [(i, " ".join(w[-2::-1] if h else w)) for i, (w, h) in enumerate(zip(words, held, strict=True))]
+    want = brute(docs)
+    got = {r.doc_id: r for r in lm_score.lm_score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum(held) > 5 and len({w for ws, h in zip(words, held, strict=True) if not h for w in ws}) > 3000
+    for i in range(120):
+        assert got[i].base_score == pytest.approx(want[i][4], rel=1e-9)
+        assert not held[i] or got[i].score == pytest.approx(want[i][5], rel=1e-9)
+
+
 def test_scores_on_edge_cases(spark):
     compare(lm_score.lm_score(frame(spark, null_id=True)), [(r.doc_id, r.text) for r in frame(spark, null_id=True).collect()])
     assert lm_score.lm_score(spark.createDataFrame([], SCHEMA)).count() == 0
