@@ -1,8 +1,12 @@
 """Secret scans: three fixed patterns, and a token-efficiency test that exposes random strings.
 
 A string that a vocabulary learnt from prose cuts into very short tokens is random: words yield
-three characters a token and more, keys and hashes below two. The scan runs inside Spark's
-tasks, batch by batch; nothing is shuffled.
+three characters a token and more, keys and hashes below two. Strings without digits take a stricter
+ratio, since rare words come near two: it passes nearly all keys of mixed case, but only most of
+those in a single case. Strings without letters are numbers and stay out. Prose before or behind a
+key dilutes its ratio, so a run that passes as a whole is one find, and else its stretches of dense
+parts, between / = _ and -, are tested on their own. The scan runs inside Spark's tasks, batch by
+batch; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -26,11 +30,16 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Random strings of this length and more are looked for, at most so many characters a token.
 MIN_RANDOM = 16
 MAX_RATIO = 2.0
+#: For strings without digits, and the least share of letters and digits in these and in stretches of parts.
+MAX_LETTERS_RATIO = 1.8
+MIN_SOLID = 0.8
 
 #: Strings that look random but are no secrets: digests by their length, and identifiers.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
-IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=.-]+|[A-Za-z+/_=.-]+|\d{4}-\d\d-\d\d.*")
+UUID = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+IDENTIFIER = re.compile(UUID + r"|[0-9+/_=.-]+|\d{4}-\d\d-\d\d.*")
+PART = re.compile(rf"({UUID})(?![A-Za-z0-9+])|[A-Za-z0-9+]+")
 
 
 def assignments(text: str) -> Iterator[tuple[int, int]]:
@@ -48,8 +57,50 @@ def assignments(text: str) -> Iterator[tuple[int, int]]:
             at = head.start() + 1
 
 
+def is_solid(string: str) -> bool:
+    return sum(map(str.isalnum, string)) >= MIN_SOLID * len(string)
+
+
+def is_digest(string: str) -> bool:
+    return len(string) in DIGEST_LENGTHS and DIGEST.fullmatch(string) is not None
+
+
 def is_random(string: str, tokens: int) -> bool:
-    return len(string) <= MAX_RATIO * tokens and not (DIGEST.fullmatch(string) and len(string) in DIGEST_LENGTHS) and not IDENTIFIER.fullmatch(string)
+    if any(map(str.isdigit, string)):
+        dense = len(string) <= MAX_RATIO * tokens
+    else:
+        dense = len(string) <= MAX_LETTERS_RATIO * tokens and is_solid(string)
+    return dense and not is_digest(string) and not IDENTIFIER.fullmatch(string)
+
+
+def stretches(run: str, count_tokens) -> Iterator[list[tuple[int, int]]]:
+    """Neighbouring parts of a run that are dense by themselves, as (start, end) in the run; digests and UUIDs part them."""
+    held: list[tuple[int, int]] = []
+    for m in PART.finditer(run):
+        if not m[1] and not is_digest(m[0]) and len(m[0]) <= MAX_RATIO * count_tokens(m[0]):
+            held.append(m.span())
+        elif held:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def random_spans(text: str, start: int, end: int, taken: list[tuple[int, int, int]], count_tokens) -> Iterator[tuple[int, int]]:
+    """Random strings in the run text[start:end] that no span of `taken` overlaps: the run, else stretches of its parts, else parts."""
+
+    def tells(a: int, b: int) -> bool:
+        return b - a >= MIN_RANDOM and not any(c < b and a < d for c, _, d in taken) and is_random(text[a:b], count_tokens(text[a:b]))
+
+    if tells(start, end):
+        yield start, end
+        return
+    for parts in stretches(text[start:end], count_tokens):
+        a, b = start + parts[0][0], start + parts[-1][1]
+        if is_solid(text[a:b]) and tells(a, b):
+            yield a, b
+        elif len(parts) > 1:
+            yield from ((start + c, start + d) for c, d in parts if tells(start + c, start + d))
 
 
 def scan(text: str, count_tokens) -> list[tuple[int, int, int]]:
@@ -58,10 +109,9 @@ def scan(text: str, count_tokens) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    taken = list(found)
     for m in CANDIDATE.finditer(text):
-        string = m.group()
-        if any(c.isdigit() for c in string) and any(c.isalpha() for c in string) and not any(a < m.end() and m.start() < b for a, _, b in found) and is_random(string, count_tokens(string)):
-            found.append((m.start(), 3, m.end()))
+        found += [(a, 3, b) for a, b in random_spans(text, m.start(), m.end(), taken, count_tokens)]
     return sorted(found)
 
 
@@ -83,7 +133,7 @@ def find_secrets(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
     """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     base_sha256 covers the three patterns; spans adds `random` where the token-efficiency test
-    finds a string that no pattern overlaps. Null and empty texts give zero counts and empty
+    finds a string, or a part of one, that no pattern overlaps. Null and empty texts give zero counts and empty
     spans; repeated rows are scanned alike; null ids pass through. Other columns are not read.
     """
 

@@ -146,6 +146,26 @@ def test_token_efficiency_finds_random_strings_only():
     assert kinds("D41D8CD98F00B204E9800998ECF8427E") == []
 
 
+def test_token_efficiency_finds_keys_without_digits_and_keys_in_paths():
+    count = secret_scan.token_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+    def found(alphabet, n, before="", after=""):
+        keys = ["".join(rng.choices(alphabet, k=n)) for _ in range(300)]
+        texts = [f"see {before}{k}{after} now" for k in keys]
+        return sum(any(kind == 3 and k in t[a:b] for a, kind, b in secret_scan.scan(t, count)) for k, t in zip(keys, texts, strict=True)) / 300
+
+    path = "/documents/reports/archive/session/"
+    assert min(found(letters, n) for n in (16, 20, 32, 40)) > 0.95
+    assert min(found(letters, 32, path), found(letters + "0123456789", 32, path), found(letters + "0123456789", 32, "session_id-", "/download")) > 0.97
+    assert found(letters + "0123456789+/", 40, path) > 0.9
+    spans = lambda text: [text[a:b] for a, k, b in secret_scan.scan(text, count) if k == 3]
+    assert spans("at reports/archive/kX9vQ2mZr7Tb4LpW8sYd1HnG/token=abcdef now") == ["kX9vQ2mZr7Tb4LpW8sYd1HnG"]
+    for text in ("a/b/c/d/e/f/g/h/i/j/k/l", "-----BEGIN-PRIVATE-KEY-----", "x_y_z_x_y_z_x_y_z_x", "/documents/articles/english/v1/id/2024/01/12/x/index/download", "getHttpResponseCodeFromServer", "how-to-document-questions-for-a-b-test-in-2024", "Donaudampfschifffahrtsgesellschaft", "4111111111111111/2024-12", "/session/id/123e4567-e89b-12d3-a456-426614174000/download/documents", "/documents/reports/D41D8CD98F00B204E9800998ECF8427E/download", "================a"):
+        assert spans(text) == [], text
+
+
 def test_secrets_on_edge_cases(spark):
     out = secret_scan.find_secrets(frame(spark, null_id=True), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     assert out.count() == frame(spark, null_id=True).count()
