@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,3 +108,31 @@ def flush_batches(chunks: DataFrame) -> DataFrame:
 
     rows = chunks.select("stream", "seq", "ms", "chars").repartition("stream").sortWithinPartitions("stream", "seq")
     return rows.mapInPandas(batches, rows._jdf.schema().toDDL() + ", batch long")
+
+
+def stream_digests(chunks: DataFrame) -> DataFrame:
+    """From (stream, seq, piece): per stream the md5 of its pieces joined in order, null ones left out, and its number of chunks.
+
+    Read like flush_batches: the digest takes a piece at a time, so no stream is one row or string.
+    """
+
+    def digests(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, md5, n = None, hashlib.md5(), 0
+
+        def row(kind: pa.DataType) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([stream], kind), pa.array([md5.hexdigest()]), pa.array([n], pa.int64())], ["stream", "digest", "chunks"])
+
+        kind = None
+        for frame in frames:
+            kind = frame.schema.field("stream").type
+            for key, piece in zip(frame.column("stream").to_pylist(), frame.column("piece").to_pylist(), strict=True):
+                if n and key != stream:
+                    yield row(kind)
+                    md5, n = hashlib.md5(), 0
+                stream, n = key, n + 1
+                md5.update((piece or "").encode())
+        if n:
+            yield row(kind)
+
+    rows = chunks.select("stream", "seq", "piece").repartition("stream").sortWithinPartitions("stream", "seq", "piece")
+    return rows.mapInArrow(digests, rows.select("stream")._jdf.schema().toDDL() + ", digest string, chunks long")

@@ -97,8 +97,7 @@ SELECT stream, seq, batch FROM f"""
 
 
 def stream_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "event_type")))
-    return _chunks(spark, sf_dir).groupBy("stream").agg(F.md5(F.array_join(F.transform(ordered, lambda c: c["event_type"]), "")).alias("digest"), F.count("*").alias("chunks"))
+    return monitoring.stream_digests(_chunks(spark, sf_dir).withColumnRenamed("event_type", "piece"))
 
 
 CONCAT_SQL = "SELECT user_id AS stream, md5(string_agg(event_type, '' ORDER BY event_id)) AS digest, count(*) AS chunks FROM events GROUP BY user_id"

@@ -1,5 +1,6 @@
 """Functions and operators on small inputs written for each rule."""
 
+import hashlib
 import io
 import random
 import zipfile
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import classify, jsonx, markdown, text
 from paperloom.functions.patterns import CHAT_DOCUMENT_TOKENS, MARKER_CHARS
 from paperloom.operators import catalogues, chat, evidence, inference, monitoring, parsers, store
+from paperloom.plans import operations
 from paperloom.sources import files, probes
 from paperloom.streaming import streams
 
@@ -286,3 +288,13 @@ def test_small_classifiers(spark):
     assert one(spark, classify.basename(F.col("t")), t="C:\\a/b.txt") == "b.txt"
     assert [one(spark, classify.server_state(F.col("a"), F.col("b")), a=a, b=b) for a, b in ((True, False), (False, True), (False, False))] == ["connected", "installed-not-running", "not-installed"]
     assert one(spark, catalogues.placeholders(F.col("t")), t="{{b}} and {{a}} {c}") == ["a", "b"]
+
+
+def test_stream_digests_take_chunks_one_by_one(spark, sf_dir):
+    rows = [(i % 5 and i % 3 or None, (i * 7919) % 10_007, None if i % 11 == 0 else f"é{i}") for i in range(30_000)]
+    want = {}
+    for stream, _, piece in sorted(rows, key=lambda r: (r[1], r[2] or "")):
+        want.setdefault(stream, []).append(piece or "")
+    got = monitoring.stream_digests(spark.createDataFrame(rows, "stream long, seq long, piece string").repartition(5)).collect()
+    assert {r.stream: (r.digest, r.chunks) for r in got} == {k: (hashlib.md5("".join(v).encode()).hexdigest(), len(v)) for k, v in want.items()}
+    assert "collect_list" not in operations.stream_concat(spark, sf_dir)._jdf.queryExecution().toString()
