@@ -42,13 +42,42 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path for a table in the run's own folder below the shared one, which goes when Spark's JVM ends."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    folder = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/paperloom-{context.applicationId}")
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return f"{folder.toString()}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing will read again."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Writes df once as Parquet to the shared folder and reads it back.
 
     Cuts the lineage: lost executors don't bring the work before this point back,
     and readers of a few columns read only those.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = path or scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Keys that spread_join() takes for hot.
+HOT_KEYS = 1000
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, key: str, weight: str = "n") -> DataFrame:
+    """rows joined to lookup, which has one row per key with the key's number of rows as `weight`.
+
+    The HOT_KEYS heaviest keys, a fixed number of lookup rows, are broadcast, so their rows stay
+    where they are; any other key has at most 1 / HOT_KEYS of all rows.
+    """
+    hot = F.broadcast(lookup.orderBy(F.desc(weight), key).limit(HOT_KEYS))
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(lookup, key)
+    return rows.join(hot, key).unionByName(cold)

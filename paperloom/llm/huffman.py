@@ -12,6 +12,13 @@ MAX_BITS = 18
 EVERY = 256
 
 
+def added(counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """counts by id, with those of ids added."""
+    own = np.bincount(ids, minlength=len(counts))
+    own[: len(counts)] += counts
+    return own
+
+
 def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
     """Bits of each id under an optimal code of at most `most` bits (package-merge); 0 for ids without counts."""
     used = np.flatnonzero(counts)
@@ -66,7 +73,7 @@ def table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 def encode(ids: np.ndarray, lengths: np.ndarray, code: np.ndarray, every: int = EVERY) -> tuple[bytes, np.ndarray]:
     """The bit string (big-endian words of 64 bits) and the bit offset of every `every`-th id."""
     if not len(ids):
-        return b"", np.zeros(0, dtype=np.uint32)
+        return b"", np.zeros(0, dtype=np.uint64)
     n, value = lengths[ids].astype(np.int64), code[ids]
     ends = np.cumsum(n)
     starts = ends - n
@@ -77,7 +84,7 @@ def encode(ids: np.ndarray, lengths: np.ndarray, code: np.ndarray, every: int =
     words[word[first]] = np.bitwise_or.reduceat(left, first)
     over = np.flatnonzero(room < 0)
     words[word[over] + 1] |= value[over] << (64 + room[over]).astype(np.uint64)
-    return words[: (int(ends[-1]) + 63) // 64].astype(">u8").tobytes(), starts[::every].astype(np.uint32)
+    return words[: (int(ends[-1]) + 63) // 64].astype(">u8").tobytes(), starts[::every].astype(np.uint64)
 
 
 def decode(bits: bytes, offsets: np.ndarray, count: int, decoder: tuple[np.ndarray, np.ndarray, int], every: int = EVERY) -> np.ndarray:

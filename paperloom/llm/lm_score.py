@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .elias_fano import SUCCESSOR_BITS, Trie
-from .tokens import batches
+from .tokens import ranges
 
 MU = 20.0
 #: Characters of text in a block, and bigram tokens that a shard takes about.
@@ -53,7 +53,7 @@ def _encoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     task, number = TaskContext.get().partitionId(), 0
     for frame in frames:
         texts = [t or "" for t in frame["text"]]
-        for first, last in batches(texts, BLOCK_CHARS):
+        for first, last in ranges(np.array([len(t) for t in texts], dtype=np.int64), BLOCK_CHARS):
             places: dict[bytes, int] = {}
             tokens, sizes = [], []
             for text in texts[first:last]:

@@ -13,12 +13,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .tokens import batches, encoder
+from .tokens import encoder, text_ranges
 
 WINDOW = 2048
 STEP = 16
@@ -26,7 +26,7 @@ STEP = 16
 DEPTH = 3
 END_ID = 1
 #: Pieces that one task ranks at a time.
-CELL_ROWS = 5000
+CELL_ROWS = 1000
 
 
 def combinations_filling(units: int, depth: int = DEPTH) -> list[tuple[int, ...]]:
@@ -108,23 +108,23 @@ def plan(histogram: dict[int, int], units: int = WINDOW // STEP, depth: int = DE
 def cut(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, window: int, end_id: int) -> DataFrame:
     """Pieces of at most a window: doc_id, start, length, ids_crc32, doc_tokens."""
 
-    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [t or "" for t in frame["text"]]
-            for first, last in batches(texts):
-                ids, counts = encoder(vocabulary).encode(texts[first:last])
-                out, at = [], 0
-                for row, n in zip(range(first, last), counts.tolist(), strict=True):
-                    own = np.append(ids[at : at + n], end_id).astype("<u4")
-                    at += n
-                    out += [(row, start, min(window, n + 1 - start), zlib.crc32(own[start : start + window].tobytes()), n + 1) for start in range(0, n + 1, window)]
-                made = pd.DataFrame(out, columns=["row", "start", "length", "ids_crc32", "doc_tokens"])
-                made.insert(0, "doc_id", frame["doc_id"].to_numpy()[made.pop("row").to_numpy()])
-                yield made
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last in text_ranges(batch.column("text")):
+                ids, sizes = encoder(vocabulary).encode(batch.column("text")[first:last])
+                ids, sizes = np.insert(ids, np.cumsum(sizes), end_id).astype("<u4"), sizes + 1
+                counts = -(-sizes // window)
+                row = np.repeat(np.arange(last - first), counts)
+                start = window * (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts))
+                length = np.minimum(window, sizes[row] - start)
+                at, whole = np.cumsum(length) - length, memoryview(ids).cast("B")
+                digests = [zlib.crc32(whole[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+                own = batch.column("doc_id")[first:last].take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([own, pa.array(start), pa.array(length), pa.array(digests, pa.int64()), pa.array(sizes[row])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     source = docs.selectExpr(f"`{id_col}` AS doc_id", f"CAST(`{text_col}` AS STRING) AS text")
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInPandas(pieces, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return source.mapInArrow(pieces, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, step: int = STEP, end_id: int = END_ID) -> DataFrame:
@@ -135,7 +135,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     gives an empty result.
     """
     spark = docs.sparkSession
-    pieces = written(cut(docs, vocabulary, id_col, text_col, window, end_id).withColumn("step", F.ceil(F.col("length") / step).cast("int")), "pieces")
+    pieces = written(cut(docs, vocabulary, id_col, text_col, window, end_id).withColumn("step", F.ceil(F.col("length") / step).cast("int")).withColumn("place", F.monotonically_increasing_id()), "pieces")
     histogram = {r["step"]: r["n"] for r in pieces.groupBy("step").agg(F.count("*").alias("n")).collect()}
 
     slots, sequence, taken = [], 0, dict.fromkeys(histogram, 0)
@@ -147,10 +147,10 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     plan_rows = spark.createDataFrame(slots, "plan_step int, first_rank long, end_rank long, first_sequence long, slot int")
 
     cells = max(1, -(-max(histogram.values(), default=0) // CELL_ROWS))
-    dealt = pieces.withColumn("cell", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(cells)))
+    dealt = pieces.withColumn("cell", F.pmod(F.xxhash64("place"), F.lit(cells)))
     before = Window.partitionBy("step").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("step", "cell").agg(F.count("*").alias("n")).select(F.col("step").alias("of_step"), F.col("cell").alias("of_cell"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ranked_before"))
-    inside = Window.partitionBy(F.xxhash64("step", "cell"), "step", "cell").orderBy("doc_id", "start", "ids_crc32")
+    inside = Window.partitionBy(F.xxhash64("step", "cell"), "step", "cell").orderBy("place")
     ranked = (
         dealt.withColumn("inside", F.row_number().over(inside) - 1)
         .join(offsets, (F.col("step") == F.col("of_step")) & (F.col("cell") == F.col("of_cell")))

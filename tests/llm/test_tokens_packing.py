@@ -132,7 +132,7 @@ def test_token_files_round_trip(spark, sf_dir, tokenizer):
 
 
 def test_token_files_edge_cases(spark, tokenizer, monkeypatch):
-    monkeypatch.setattr(token_files, "BLOCK_CHARS", 10)
+    monkeypatch.setattr(token_files, "BLOCK_TOKENS", 10)
     docs = frame(spark, repeats=False)
     check_files(token_files.round_trip(docs, PATH).collect(), sorted((r.doc_id, r.text) for r in docs.collect()), tokenizer)
     many = token_files.round_trip(frame(spark, null_id=True), PATH).collect()
