@@ -1,7 +1,7 @@
 """Mixing sources to target weights: capped water-filling, then seeded whole and fractional repetitions.
 
-Only DataFrame functions. Texts are read once, for their sizes; what follows works on
-(id, source, size) rows. The one unpartitioned window runs over one row per source.
+Only DataFrame functions. Targets come from rows of sizes; what is dealt out are rows of a cell, a
+bounded part of a source. The one unpartitioned window runs over one row per source.
 """
 
 from __future__ import annotations
@@ -45,55 +45,69 @@ def _hash_part(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
+def _sized(docs: DataFrame, carried: Column, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
+    """Rows (row, source, size, draw, place); `row` is what is carried along, so names can't clash."""
+    return docs.select(
+        carried.alias("row"),
+        F.col(f"`{source_col}`").alias("source"),
+        F.size(words_of(text_of(F.col(f"`{text_col}`")))).cast("long").alias("size"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))).alias("draw"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+
+
+def _dealt(rows: DataFrame, sizes: DataFrame, cell_rows: int, **fill) -> DataFrame:
+    """Adds source_size, target and taken to rows (row, source, size, draw, place), whose (source, size, draw) are those of sizes."""
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
+    rates = water_fill(totals, **fill).withColumnRenamed("source", "rate_source")
+    # An id (or null) that fills cells by itself is dealt over several by the places of its rows.
+    often = sizes.groupBy("source", "draw").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows)
+    often = often.select(F.col("source").alias("often_source"), F.col("draw").alias("often_draw"), F.ceil(F.col("n") / cell_rows).alias("salts"))
+    cells = (
+        rows.join(rates, F.col("source").eqNullSafe(F.col("rate_source")))
+        .join(often, F.col("source").eqNullSafe(F.col("often_source")) & (F.col("draw") == F.col("often_draw")), "left")
+        .withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+        .withColumn("cell", _hash_part(F.col("draw")) % F.ceil(F.col("source_rows") / cell_rows))
+        .withColumn("salt", F.coalesce(F.pmod(F.xxhash64("place"), "salts"), F.lit(-1).cast("long")))
+        .select("row", "source", "size", "source_size", "target", "draw", "place", "rate", "cell", "salt")
+    )
+    cell = Window.partitionBy("source", "cell", "salt")
+    dealt = cell.orderBy("draw", "size", "place").rowsBetween(Window.unboundedPreceding, 0)
+    whole = F.floor("rate")
+    share = F.floor((F.col("rate") - whole) * F.sum("size").over(cell) + 0.5)
+    part = F.greatest(F.lit(0), F.least(F.col("size"), share - (F.sum("size").over(dealt) - F.col("size"))))
+    return cells.select("row", "source", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, cell_rows: int = CELL_ROWS, **fill) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, taken.
 
     A source with rate r = target / source_size repeats every row floor(r) times. The fraction left
     is dealt out inside cells of about cell_rows rows of a source: in seeded order, rows are taken
     until the cell's share of words is reached; the row at the boundary is taken in part. So each
-    source meets its target to within half a word a cell, and hot sources split into many cells.
-    Null texts and texts without words have size 0 and take 0; a null source is a source of its own,
-    last in order. Repeated rows are rows like others; equal rows take interchangeable parts. Other
-    columns are not read. An empty table gives an empty result.
+    source meets its target to within half a word a cell, and hot sources split into many cells, as
+    do ids that repeat more than cell_rows times. Null texts and texts without words have size 0 and
+    take 0; a null source is a source of its own, last in order. Repeated rows are rows like others;
+    rows equal in id, source and size take interchangeable parts. Other columns are not read. An
+    empty table gives an empty result.
     """
-    sizes = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).alias("source"),
-        F.size(words_of(text_of(F.col(text_col)))).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("draw"),
-    )
-    sizes = written(sizes, "mix-sizes")
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
-    rates = water_fill(totals, **fill).withColumnRenamed("source", "rate_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    cells = (
-        sizes.join(rates, F.col("source").eqNullSafe(F.col("rate_source")))
-        .withColumn("rate", rate)
-        .withColumn("cell", F.xxhash64("source", _hash_part(F.col("draw")) % F.ceil(F.col("source_rows") / cell_rows)))
-    )
-    dealt = Window.partitionBy("cell").orderBy("draw", "doc_id", "size")
-    whole = F.floor("rate")
-    share = F.floor((F.col("rate") - whole) * F.sum("size").over(Window.partitionBy("cell")) + 0.5)
-    before = F.sum("size").over(dealt.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), share - before))
-    return cells.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"))
+    sizes = written(_sized(docs, F.struct(F.col(f"`{id_col}`").alias("doc_id")), id_col, text_col, source_col, seed), "mix-sizes")
+    return _dealt(sizes, sizes, cell_rows, **fill).select("row.doc_id", "source", "size", "source_size", "target", "taken")
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, cell_rows: int = CELL_ROWS, **fill) -> DataFrame:
     """The mix itself: docs with all its columns, each row as often as the mix takes it.
 
-    Rows that repeat (id, source, size) share their takes; a row taken in part counts as taken once
-    more when at least half of it is. Rows without words follow their source's whole repetitions.
+    Each row is carried through the deal, so its copies are its own takes, whatever other rows share
+    its id; reruns on the same rows agree. A row taken in part counts as taken once more when at
+    least half of it is. Rows without words follow their source's whole repetitions. Null ids and
+    sources, repeated rows, other columns and empty tables are as in mix().
     """
-    taken = mix(docs, id_col=id_col, source_col=source_col, **options)
+    names = (id_col, text_col, source_col, seed)
+    sizes = written(_sized(docs, F.lit(None).cast("string"), *names).select("source", "size", "draw"), "mix-sizes")
+    dealt = _dealt(_sized(docs, F.struct("*"), *names), sizes, cell_rows, **fill)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.floor(F.col("target") / F.greatest("source_size", F.lit(1))))
-    # Rows with one id may differ in source and size; what they take together is split evenly by rank.
-    shares = taken.select(F.col("doc_id").alias("mix_id"), copies.cast("int").alias("mix_copies"))
-    by_id = Window.partitionBy("mix_id").orderBy("mix_copies")
-    ranked = shares.withColumn("mix_rank", F.row_number().over(by_id))
-    rows = docs.withColumn("mix_id", F.col(id_col)).withColumn("mix_rank", F.row_number().over(Window.partitionBy("mix_id").orderBy("mix_id")))
-    same = rows["mix_id"].eqNullSafe(ranked["mix_id"]) & (rows["mix_rank"] == ranked["mix_rank"])
-    return rows.join(ranked, same).where("mix_copies > 0").select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "mix_copies")).alias("mix_copy")).drop("mix_copy")
+    return dealt.select("row", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select("row.*")
 
 
 ORACLE_SQL = f"""

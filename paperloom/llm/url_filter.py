@@ -1,8 +1,10 @@
 """URL filters: fixed rules first, then an empirical-Bayes reputation of hosts.
 
 Pages that a rule decides are the labelled outcomes. Block rates are shrunk level by level
-through beta-binomial priors: all pages, public suffix, registered domain, host. A host
-is blocked when the lower bound of its posterior block rate passes a threshold.
+through beta-binomial priors: all pages, public suffix, registered domain, host. A group's prior
+has its parent's posterior mean, and a variance that adds the spread of the level to what is
+unknown of the parent; so without outcomes of its own or its kin, a host's rate stays wide open.
+A host is blocked when the lower bound of its posterior block rate passes a threshold.
 """
 
 from __future__ import annotations
@@ -28,6 +30,18 @@ THRESHOLD = 0.5
 MIN_RHO, MAX_RHO = 0.01, 0.9
 
 
+#: Public suffixes of two labels; any other last label is a suffix of its own. A small table of common ones.
+SUFFIXES = (
+    "ac.jp", "ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx",
+    "com.tr", "edu.au", "gov.au", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.nz", "org.uk",
+)
+#: Addresses have no domain: they share a suffix, and each is a domain of its own.
+ADDRESS = r"^(?:\d{1,3}(?:\.\d{1,3}){3}|\[.*\])\z"
+ADDRESSES = "(address)"
+#: What a host has round its name: a user, a port, dots at its end.
+ROUND_NAME = (r"^.*@", r":\d*\z", r"\.+\z")
+
+
 def host_of(url: Column) -> Column:
     """After the first ://, up to /, ?, # or the end; A-Z lower-cased. Null or no ://: empty."""
     host = F.regexp_extract(F.coalesce(url, F.lit("")), "://([^/?#]*)", 1)
@@ -47,41 +61,61 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _shrunk(groups: DataFrame, parent_mean: str) -> DataFrame:
-    """Adds strength, mean and bound: one prior strength for the level, from the spread of its rates round their parents'."""
-    mean = F.least(F.greatest(F.col(parent_mean), F.lit(1e-6)), F.lit(1 - 1e-6))
+def name_parts(host: Column) -> tuple[Column, Column]:
+    """The public suffix and the registered domain of a host."""
+    name = host
+    for pattern in ROUND_NAME:
+        name = F.regexp_replace(name, pattern, "")
+    labels = F.split(name, r"\.")
+    last = lambda n: F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - (n - 1)), n), ".")
+    address, double = name.rlike(ADDRESS), last(2).isin(*SUFFIXES)
+    suffix = F.when(address, ADDRESSES).when(double, last(2)).otherwise(last(1))
+    return suffix, F.when(address, name).when(double, last(3)).otherwise(last(2))
+
+
+def _shrunk(groups: DataFrame, parent: str) -> DataFrame:
+    """Adds mean, var and bound of each group's block rate, its prior coming from <parent>_mean and <parent>_var.
+
+    One strength for the level, from the spread of its rates round their parents' means.
+    """
+    mean = F.least(F.greatest(F.col(f"{parent}_mean"), F.lit(1e-6)), F.lit(1 - 1e-6))
     seen = F.col("n") > 0
     rate = F.when(seen, F.col("k") / F.col("n"))
     spread = F.sum(F.when(seen, F.col("n") * (rate - mean) * (rate - mean) / (mean * (1 - mean))))
     count, total = F.sum(seen.cast("long")), F.sum("n")
     level = groups.agg(F.when(total > count, (spread - count) / (total - count)).alias("rho"))
     rho = F.least(F.greatest(F.coalesce(F.round("rho", 6), F.lit(MAX_RHO)), F.lit(MIN_RHO)), F.lit(MAX_RHO))
-    a, b = F.col("strength") * F.col(parent_mean) + F.col("k"), F.col("strength") * (1 - F.col(parent_mean)) + F.col("n") - F.col("k")
+    unknown = F.col(f"{parent}_var")
+    widest = mean * (1 - mean)
     # One row, an aggregate without keys: safe to broadcast at any size of the input.
     return (
-        groups.crossJoin(F.broadcast(level.select((1 / rho - 1).alias("strength"))))
-        .withColumn("a", a).withColumn("b", b)
-        .withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
-        .withColumn("bound", F.col("mean") - Z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("a") + F.col("b") + 1)))
-        .drop("a", "b", "strength")
-    )
+        groups.crossJoin(F.broadcast(level.select(rho.alias("rho"))))
+        .withColumn("prior_var", F.least((widest - unknown) * F.col("rho") + unknown, widest * 0.999))
+        .withColumn("strength", widest / F.col("prior_var") - 1)
+        .withColumn("mean", (F.col("strength") * mean + F.col("k")) / (F.col("strength") + F.col("n")))
+        .withColumn("var", F.col("mean") * (1 - F.col("mean")) / (F.col("strength") + F.col("n") + 1))
+        .withColumn("bound", F.col("mean") - Z * F.sqrt("var"))
+        .drop("rho", "prior_var", "strength")
+    )
 
 
 def host_reputation(outcomes: DataFrame) -> DataFrame:
     """From rows (host, bad, labelled): one row per host with n, k, mean and bound of its block rate."""
-    labels = F.split("host", r"\.")
+    suffix, domain = name_parts(F.col("host"))
     hosts = (
         outcomes.groupBy("host")
         .agg(F.sum(F.col("labelled").cast("long")).alias("n"), F.sum((F.col("labelled") & F.col("bad")).cast("long")).alias("k"))
-        .withColumn("domain", F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), 2), "."))
-        .withColumn("suffix", F.element_at(labels, -1))
+        .withColumn("domain", domain)
+        .withColumn("suffix", suffix)
     )
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    overall = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("overall"))
-    suffixes = _shrunk(suffixes.crossJoin(F.broadcast(overall)), "overall").select("suffix", F.col("mean").alias("suffix_mean"))
-    domains = _shrunk(domains.join(suffixes, "suffix"), "suffix_mean").select("domain", F.col("mean").alias("domain_mean"))
-    return _shrunk(hosts.join(domains, "domain"), "domain_mean").select("host", "n", "k", "mean", "bound")
+    total, mean = F.coalesce(F.sum("n"), F.lit(0)), (F.coalesce(F.sum("k"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)
+    overall = suffixes.agg(mean.alias("all_mean"), total.alias("all_n")).select("all_mean", (F.col("all_mean") * (1 - F.col("all_mean")) / (F.col("all_n") + 3)).alias("all_var"))
+    named = lambda rows, key: rows.select(key, F.col("mean").alias(f"{key}_mean"), F.col("var").alias(f"{key}_var"))
+    suffixes = named(_shrunk(suffixes.crossJoin(F.broadcast(overall)), "all"), "suffix")
+    domains = named(_shrunk(domains.join(suffixes, "suffix"), "suffix"), "domain")
+    return _shrunk(hosts.join(domains, "domain"), "domain").select("host", "n", "k", "mean", "bound")
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -102,11 +136,11 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def _level_sql(groups: str, parent: str) -> str:
-    m = f"least(greatest({parent}, 1e-6), 1 - 1e-6)"
-    return f"""(SELECT *, (s * {parent} + k) / (s + n) AS mean,
-      (s * {parent} + k) / (s + n) - {Z} * sqrt((s * {parent} + k) / (s + n) * (1 - (s * {parent} + k) / (s + n)) / (s + n + 1)) AS bound
-    FROM {groups}, (SELECT 1 / least(greatest(coalesce(round(CASE WHEN sum(n) > sum((n > 0)::INT) THEN
-        (sum(CASE WHEN n > 0 THEN n * (k / n - {m}) * (k / n - {m}) / ({m} * (1 - {m})) END) - sum((n > 0)::INT)) / (sum(n) - sum((n > 0)::INT)) END, 6), {MAX_RHO}), {MIN_RHO}), {MAX_RHO}) - 1 AS s FROM {groups}))"""
+    m, v = f"least(greatest({parent}_mean, 1e-6), 1 - 1e-6)", f"{parent}_var"
+    rho = f"""least(greatest(coalesce(round(CASE WHEN sum(n) > sum((n > 0)::INT) THEN
+        (sum(CASE WHEN n > 0 THEN n * (k / n - {m}) * (k / n - {m}) / ({m} * (1 - {m})) END) - sum((n > 0)::INT)) / (sum(n) - sum((n > 0)::INT)) END, 6), {MAX_RHO}), {MIN_RHO}), {MAX_RHO})"""
+    return f"""(SELECT *, mean - {Z} * sqrt(var) AS bound FROM (SELECT *, mean * (1 - mean) / (s + n + 1) AS var FROM (SELECT *, (s * {m} + k) / (s + n) AS mean FROM (
+      SELECT *, {m} * (1 - {m}) / least(({m} * (1 - {m}) - {v}) * rho + {v}, {m} * (1 - {m}) * 0.999) - 1 AS s FROM {groups}, (SELECT {rho} AS rho FROM {groups})))))"""
 
 
 def oracle_sql(rules=RULES) -> str:
@@ -114,19 +148,27 @@ def oracle_sql(rules=RULES) -> str:
     fits = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in ordered]
     rule = " ".join(f"{f} THEN '{h}{p}'" for f, (_, h, p) in zip(fits, ordered, strict=True))
     said = " ".join(f"{f} THEN '{v}'" for f, (v, _, _) in zip(fits, ordered, strict=True))
+    name = "host"
+    for pattern in ROUND_NAME:
+        name = f"regexp_replace({name}, '{pattern}', '')"
+    double = f"array_to_string(labels[-2:], '.') IN ({', '.join(repr(x) for x in SUFFIXES)})"
+    address = f"regexp_matches(name, '{ADDRESS}')"
     return rf"""
 WITH named AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host,
                       regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 judged AS (SELECT *, CASE {rule} END AS rule, CASE {said} END AS said FROM named),
-hosts AS (SELECT host, sum((said IS NOT NULL)::INT)::DOUBLE AS n, sum((said IS NOT NULL AND said = 'block')::INT)::DOUBLE AS k,
-                 array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM judged GROUP BY host),
+counted AS (SELECT host, sum((said IS NOT NULL)::INT)::DOUBLE AS n, sum((said IS NOT NULL AND said = 'block')::INT)::DOUBLE AS k FROM judged GROUP BY host),
+split AS (SELECT *, string_split(name, '.') AS labels FROM (SELECT *, {name} AS name FROM counted)),
+hosts AS (SELECT host, n, k, CASE WHEN {address} THEN '{ADDRESSES}' WHEN {double} THEN array_to_string(labels[-2:], '.') ELSE labels[-1] END AS suffix,
+                 CASE WHEN {address} THEN name WHEN {double} THEN array_to_string(labels[-3:], '.') ELSE array_to_string(labels[-2:], '.') END AS domain FROM split),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
-suffixes1 AS (SELECT *, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM suffixes) AS overall FROM suffixes),
-suffixes2 AS (SELECT suffix, mean AS suffix_mean FROM {_level_sql("suffixes1", "overall")}),
+overall AS (SELECT all_mean, all_mean * (1 - all_mean) / (all_n + 3) AS all_var FROM (SELECT (sum(k) + 1) / (sum(n) + 2) AS all_mean, sum(n) AS all_n FROM suffixes)),
+suffixes1 AS (SELECT * FROM suffixes, overall),
+suffixes2 AS (SELECT suffix, mean AS suffix_mean, var AS suffix_var FROM {_level_sql("suffixes1", "all")}),
 domains1 AS (SELECT * FROM domains JOIN suffixes2 USING (suffix)),
-domains2 AS (SELECT domain, mean AS domain_mean FROM {_level_sql("domains1", "suffix_mean")}),
+domains2 AS (SELECT domain, mean AS domain_mean, var AS domain_var FROM {_level_sql("domains1", "suffix")}),
 hosts1 AS (SELECT * FROM hosts JOIN domains2 USING (domain)),
-hosts2 AS (SELECT host, bound > {THRESHOLD} AS bad_host FROM {_level_sql("hosts1", "domain_mean")})
+hosts2 AS (SELECT host, bound > {THRESHOLD} AS bad_host FROM {_level_sql("hosts1", "domain")})
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN bad_host THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged LEFT JOIN hosts2 USING (host)"""

@@ -1,5 +1,9 @@
+import random
+from collections import Counter
+
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.llm import exact_dedup, mixing, quality_rules, url_filter
 
@@ -71,16 +75,46 @@ def test_water_fill_equals_rounds_of_clamping(spark, sizes):
     assert got == pytest.approx(want)
 
 
-def test_mixed_rows_keep_columns_and_copies(spark):
-    docs = frame(spark)
-    out = mixing.mixed_rows(docs)
+def mixed_cases(spark):
+    """Ids that repeat over sources, null ids, repeated rows, null sources, and columns named like helpers."""
+    rng = random.Random(4)
+    rows = [(rng.choice((None, 7, *range(40))), " ".join(["w"] * rng.randint(0, 60)), rng.choice((None, "a", "a", "b", "c")), n, f"r{n}", 2 * n, 3 * n) for n in range(600)]
+    rows += rows[:20]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, mix_id long, row string, mix_rank long, mix_copies long").repartition(3)
+
+
+@pytest.mark.parametrize("cell_rows", [mixing.CELL_ROWS, 16])
+def test_mixed_rows_are_what_mix_takes(spark, cell_rows):
+    docs = mixed_cases(spark)
+    out = mixing.mixed_rows(docs, cell_rows=cell_rows)
     assert out.columns == docs.columns
-    taken = {r.doc_id: r.c for r in out.groupBy("doc_id").count().withColumnRenamed("count", "c").collect()}
-    assert max(taken.values()) <= 4
+    rows, inputs = [tuple(r) for r in out.collect()], {tuple(r) for r in docs.collect()}
+    assert set(rows) <= inputs
+    assert sorted(map(repr, rows)) == sorted(repr(tuple(r)) for r in mixing.mixed_rows(docs, cell_rows=cell_rows).collect())
+    taken = mixing.mix(docs, cell_rows=cell_rows).collect()
+    words = Counter()
+    for r in rows:
+        words[r[2]] += len(r[1].split())
+    for source in {r.source for r in taken}:
+        own = [r for r in taken if r.source == source]
+        cells = max(1, -(-len(own) // cell_rows)) + sum(-(-n // cell_rows) for n in Counter(r.doc_id for r in own).values() if n > cell_rows)
+        assert abs(sum(r.taken for r in own) - own[0].target) <= cells
+        assert abs(words[source] - own[0].target) <= 60 / 2 * cells + cells
+    # Copies of a row differ from its rate by less than one.
+    rates, sizes, copies = {r.source: r.target / r.source_size for r in taken}, Counter(tuple(r) for r in docs.collect()), Counter(rows)
+    assert all(n * int(rates[r[2]]) <= copies[r] <= n * (int(rates[r[2]]) + 1) for r, n in sizes.items())
+
+
+def test_a_hot_id_is_dealt_over_several_cells(spark):
+    docs = spark.createDataFrame([(None, "a b c", "s", n) for n in range(500)] + [(n, "a b c", "s", n) for n in range(250)], "doc_id long, text string, source string, salt int")
+    got = mixing.mix(docs, cell_rows=50, share=0.5, max_epochs=1).collect()
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 30 and len(got) == 750
+    by_null = [r.taken for r in got if r.doc_id is None]
+    assert 0.3 < sum(t > 0 for t in by_null) / len(by_null) < 0.7
 
 
 def test_url_filter_matches_sql_and_rules(spark):
-    urls = ["http://WWW.Example.com/en/1?x#y", "https://example.com/en/", "https://a.example.com/en/2", "https://example.com", "http://com/", "ftp://x.net/es/3", "http://x.net/de/3#z", "no scheme", "", None, "http://org.example?x=://b.com/", "http://notexample.com/en/1", "http://x.net/fr/", "http://x.net/fr/2"]
+    urls = ["http://WWW.Example.com/en/1?x#y", "https://example.com/en/", "https://a.example.com/en/2", "https://example.com", "http://com/", "ftp://x.net/es/3", "http://x.net/de/3#z", "no scheme", "", None, "http://org.example?x=://b.com/", "http://notexample.com/en/1", "http://x.net/fr/", "http://x.net/fr/2", "http://u@1.2.3.4:80/a", "http://b.co.uk.:8080/es/", "http://[::1]:80/", "http://x.net:99/es/"]
     rows = [(i, u, "h") for i, u in enumerate(urls)] + [(5, urls[5], "h")]
     df = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, host string"))
     same_rows(df, url_filter.oracle_sql(), pages=pd.DataFrame(rows, columns=["page_id", "url", "host"]))
@@ -96,5 +130,31 @@ def test_reputation_shrinks_from_host_to_suffix(spark):
     rows = [("bad.x.net", True, True)] * 200 + [("good.x.net", False, True)] * 200 + [("new.x.net", False, False)] * 3 + [("one.y.net", True, True)]
     got = {r.host: r for r in url_filter.host_reputation(spark.createDataFrame(rows, "host string, bad boolean, labelled boolean")).collect()}
     assert got["bad.x.net"].bound > 0.9 and got["good.x.net"].bound < 0.1
-    assert got["new.x.net"].n == 0 and 0.1 < got["new.x.net"]["mean"] < 0.95
+    assert got["new.x.net"].n == 0 and 0.1 < got["new.x.net"]["mean"] < 0.95 and got["new.x.net"].bound < 0.5
     assert got["one.y.net"].bound < got["bad.x.net"].bound
+
+
+def test_hosts_without_kin_stay_open(spark):
+    """Suffixes, and domains in a mixed suffix, that no rule ever judged aren't blocked; hosts among blocked kin are."""
+    rows = [(f"h{i}.d{i % 9}.net", True, True) for i in range(90)] * 5 + [(f"h{i}.d{i % 9}.com", False, True) for i in range(90)] * 2
+    rows += [("new.d3.net", False, False), ("x.org", False, False), ("y.co.uk", False, False), ("", False, False), ("10.0.0.1:80", False, False)]
+    got = {r.host: r for r in url_filter.host_reputation(spark.createDataFrame(rows, "host string, bad boolean, labelled boolean")).collect()}
+    assert got["new.d3.net"].bound > 0.5
+    assert all(got[h].bound < 0.2 for h in ("x.org", "y.co.uk", "", "10.0.0.1:80", "h1.d1.com"))
+
+
+def test_name_parts(spark):
+    want = {
+        "a.b.example.com": ("com", "example.com"), "a.co.uk": ("co.uk", "a.co.uk"), "x.a.co.uk": ("co.uk", "a.co.uk"), "co.uk": ("co.uk", "co.uk"), "1.2.3.4": ("(address)", "1.2.3.4"), "1.2.3.4:8080": ("(address)", "1.2.3.4"),
+        "[::1]:80": ("(address)", "[::1]"), "a.net:8080": ("net", "a.net"), "a.net.": ("net", "a.net"), "u:p@b.net": ("net", "b.net"), "com": ("com", "com"), "": ("", ""),
+    }
+    suffix, domain = url_filter.name_parts(F.col("host"))
+    rows = spark.createDataFrame([(h,) for h in want], "host string").select("host", suffix, domain).collect()
+    assert {r[0]: (r[1], r[2]) for r in rows} == want
+
+
+def test_both_verdicts_occur_where_no_rule_fits(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    judged = url_filter.filter_urls(pages).where("rule IS NULL").collect()
+    assert {r.verdict for r in judged} == {"allow", "block"}
+    assert {r.verdict for r in judged if r.host.endswith(".org")} <= {"allow"}
