@@ -16,7 +16,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 KINDS = ("assign", "access", "hex", "random")
@@ -38,7 +38,8 @@ MIN_SOLID = 0.8
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
-IDENTIFIER = re.compile(UUID + r"|[0-9+/_=.-]+|\d{4}-\d\d-\d\d.*")
+TIMESTAMP = r"\d{4}-\d\d-\d\d[T_-]?\d{0,9}(?:Z|[+-]\d{2,4})?"
+IDENTIFIER = re.compile(rf"{UUID}|[0-9+/_=.-]+|{TIMESTAMP}(?:[/_-]{TIMESTAMP})?")
 PART = re.compile(rf"({UUID})(?![A-Za-z0-9+])|[A-Za-z0-9+]+")
 
 
@@ -137,7 +138,7 @@ def find_secrets(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
     spans; repeated rows are scanned alike; null ids pass through. Other columns are not read.
     """
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = None
 
         def count(string: str) -> int:
@@ -145,17 +146,16 @@ def find_secrets(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
             counter = counter or token_counter(vocabulary, pattern)
             return counter(string)
 
-        for frame in frames:
-            rows = []
-            for text in frame["text"]:
+        for batch in rows:
+            found = []
+            for text in batch.column("text").to_pylist():
                 spans = scan(text or "", count)
                 base = [s for s in spans if s[1] < 3]
-                counts = [sum(s[1] == kind for s in base) for kind in range(3)]
-                rows.append((*counts, hashlib.sha256(written_spans(base).encode()).hexdigest(), written_spans(spans)))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-            out.insert(0, "doc_id", frame["doc_id"].values)
-            yield out
+                found.append((*(sum(s[1] == kind for s in base) for kind in range(3)), hashlib.sha256(written_spans(base).encode()).hexdigest(), written_spans(spans)))
+            columns = list(zip(*found, strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     source = docs.selectExpr(f"`{id_col}` AS doc_id", f"CAST(`{text_col}` AS STRING) AS text")
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInPandas(batches, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return source.mapInArrow(batches, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
