@@ -176,3 +176,8 @@ def is_managed(path: Column, folder: Column) -> Column:
 def effective_theme(mode: Column, system_dark: Column) -> Column:
     """'system' follows the operating system."""
     return F.when(mode != "system", mode).otherwise(F.when(system_dark, "dark").otherwise("light"))
+
+
+def priority_key(priority: Column) -> Column:
+    """The priority to show; an item without one counts as low."""
+    return F.coalesce(priority, F.lit("low"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .patterns import WS
@@ -18,7 +18,7 @@ def _java(literal: str) -> str:
 
 def first_group(text: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match; null without one (an empty group stays empty)."""
-    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), 0)
+    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
 
 def section(md: Column, *titles: str) -> Column:
@@ -46,7 +46,8 @@ def field(block: Column, *labels: str) -> Column:
 
     def value(label: str) -> Column:
         end = rf"(?=\n[{WS}]*\*\*[A-ZÄÖÜa-zäöü0-9]|\n[{WS}]*\n|\n[{WS}]*#|\z)"
-        found = first_group(block, rf"(?isu)\*\*{_java(label)}[{WS}]*:?[{WS}]*\*\*[{WS}]*:?[{WS}]*(.+?){end}")
+        # The group is never empty, so nothing found is empty.
+        found = F.regexp_extract(block, rf"(?isu)\*\*{_java(label)}[{WS}]*:?[{WS}]*\*\*[{WS}]*:?[{WS}]*(.+?){end}", 1)
         return F.nullif(trim_ws(F.regexp_replace(trim_ws(found), f"^{_QUOTES_AHEAD}+|{_QUOTES_AFTER}+\\z", "")), F.lit(""))
 
     return F.coalesce(*[value(label) for label in labels])
@@ -108,10 +109,8 @@ def _inline(text: Column) -> Column:
 def html(md: Column) -> Column:
     """Markdown as HTML, line by line: fences, four heading levels, quotes, lists (all as ul), breaks, paragraphs.
 
-    Whether a line lies inside a fence is known from the number of fence lines before it: a fold
-    over the lines carries that state along with the lines rendered so far.
+    The text is split at its fence lines; every second part is code. So no state goes from line to line.
     """
-    line = lambda x: F.split(x, "\n", -1)
 
     def rendered(x: Column) -> Column:
         tag = lambda name, pattern: F.concat(F.lit(f"<{name}>"), _inline(F.regexp_replace(x, pattern, "")), F.lit(f"</{name}>"))
@@ -123,12 +122,35 @@ def html(md: Column) -> Column:
         out = out.when(x.rlike(rf"^[{WS}]*\d+\.[{WS}]+"), tag("li", rf"^[{WS}]*\d+\.[{WS}]+"))
         return out.when(trim_ws(x) == "", F.lit("<br>")).otherwise(F.concat(F.lit("<p>"), _inline(x), F.lit("</p>")))
 
-    start = F.struct(F.lit(False).alias("code"), F.array().cast("array<string>").alias("out"))
+    # (?d): lines end in line feeds only.
+    parts = F.split(md, r"(?md)^```.*$", -1)
 
-    def step(state: Column, x: Column) -> Column:
-        fence = x.startswith("```")
-        said = F.when(fence, F.when(state["code"], F.lit("</code></pre>")).otherwise(F.lit("<pre><code>"))).when(state["code"], escape_html(x)).otherwise(rendered(x))
-        return F.struct(F.when(fence, ~state["code"]).otherwise(state["code"]).alias("code"), F.array_append(state["out"], said).alias("out"))
+    def lines(part: Column, k: Column, more: Column) -> Column:
+        """The lines of a part, without the empty ends that its fence lines leave."""
+        split = F.split(part, "\n", -1)
+        first = F.when(k > 0, 2).otherwise(1)
+        return F.slice(split, first, F.greatest(F.lit(0), F.size(split) - first + 1 - F.when(more, 1).otherwise(0)))
 
-    joined = F.aggregate(line(md), start, step, lambda state: F.array_join(state["out"], "\n"))
+    def written(part: Column, k: Column) -> Column:
+        more, code = k < F.size(parts) - 1, k % 2 == 1
+        fence = F.when(code, F.lit("</code></pre>")).otherwise(F.lit("<pre><code>"))
+        body = F.transform(lines(part, k, more), lambda x: F.when(code, escape_html(x)).otherwise(rendered(x)))
+        return F.concat(body, F.when(more, F.array(fence)).otherwise(F.array().cast("array<string>")))
+
+    joined = F.array_join(F.flatten(F.transform(parts, written)), "\n")
     return F.regexp_replace(joined, r"((?:<li>[\s\S]*?</li>\n?)+)", "<ul>$1</ul>")
+
+
+#: A page: round its title and its body. PAGE_END parts the pages of a file; no page holds it.
+PAGE = ('<!DOCTYPE html><html><head><meta charset="utf-8"><title>', "</title></head><body>\n", "\n</body></html>")
+PAGE_END = "\f"
+
+
+def page(title: Column, md: Column) -> Column:
+    """A whole HTML page of a Markdown text."""
+    return F.concat(F.lit(PAGE[0]), escape_html(title), F.lit(PAGE[1]), F.replace(html(md), F.lit(PAGE_END), F.lit(" ")), F.lit(PAGE[2]))
+
+
+def write_pages(rows: DataFrame, path: str) -> None:
+    """Writes rows (title, md) as HTML pages, many to a file."""
+    rows.select(page(F.col("title"), F.col("md")).alias("value")).write.option("lineSep", PAGE_END).text(path)

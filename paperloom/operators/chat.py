@@ -37,15 +37,20 @@ def window(history: DataFrame, base_chars: Column, key: str = "conv_id", order:
     return sized.where((base_chars + F.col("chars_from_here") <= HISTORY_MAX) | (F.col("from_end") == 1))
 
 
-def messages(kept: DataFrame, system: Column, new_message: Column, key: str = "conv_id", order: str = "turn", content: str = "text") -> DataFrame:
-    """One row per conversation: the system prompt, the kept history in order, the new message."""
+def parents(docs: DataFrame, key: str = "doc_id", content: str = "text", code: str = "lang") -> DataFrame:
+    """Rows (key, system) of the documents that can be chatted about: those with a text that isn't empty."""
+    return docs.where(F.length(content) > 0).select(key, fitted_system(F.col(content), F.col(code)).alias("system"))
+
+
+def messages(documents: DataFrame, kept: DataFrame, new_message: Column, key: str = "conv_id", order: str = "turn", content: str = "text") -> DataFrame:
+    """One row per document (key, system): the system prompt, the kept history in order if there is any, the new message."""
     entry = lambda role, said: F.struct(role.alias("role"), said.alias("content"))
     grouped = kept.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("role").alias("role"), F.col(content).alias("content")))).alias("history"),
-        F.first(system).alias("system"),
+        F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("role").alias("role"), F.col(content).alias("content")))).alias("history")
     )
     past = F.transform("history", lambda m: entry(m["role"], m["content"]))
-    return grouped.select(key, F.concat(F.array(entry(F.lit("system"), F.col("system"))), past, F.array(entry(F.lit("user"), new_message))).alias("messages"))
+    past = F.coalesce(past, F.array().cast("array<struct<role:string,content:string>>"))
+    return documents.join(grouped, key, "left").select(key, F.concat(F.array(entry(F.lit("system"), F.col("system"))), past, F.array(entry(F.lit("user"), new_message))).alias("messages"))
 
 
 def stored_pair(turns: DataFrame) -> DataFrame:
@@ -57,3 +62,8 @@ def stored_pair(turns: DataFrame) -> DataFrame:
     said = F.when(F.col("status") == "aborted", F.when(F.coalesce(F.length("answer"), F.lit(0)) == 0, ABORTED).otherwise(F.concat("answer", F.lit(f"\n\n{ABORTED}")))).otherwise(F.col("answer"))
     ask = done.select("conv_id", "turn", F.lit("user").alias("role"), F.col("question").alias("text"))
     return ask.unionByName(done.select("conv_id", "turn", F.lit("assistant").alias("role"), said.alias("text")))
+
+
+def cleared(history: DataFrame, documents: DataFrame, key: str = "conv_id") -> DataFrame:
+    """History without the chats of the given documents (one column, the key); chats of others stay."""
+    return history.join(documents.select(key).distinct(), key, "left_anti")

@@ -6,7 +6,7 @@ import re
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,27 +41,40 @@ def with_retry(run: Callable[[], str], pause: float = RETRY_SECONDS) -> str:
         return run()
 
 
-def infer(requests: DataFrame, open_backend: Callable[[], Callable[[str, str], str]] = lambda: echo, pause: float = RETRY_SECONDS) -> DataFrame:
-    """From rows with (system, user): adds answer, aborted and error. A backend is opened once per task; a row's failure stays its own."""
+def echo_messages(messages: list[dict[str, str]]) -> str:
+    """The default backend for message lists."""
+    return f"{len(messages)}:{len(messages[0]['content'])}:{messages[-1]['content'][:60]}"
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _asked(requests: DataFrame, columns: list[str], open_backend: Callable[[], Callable[..., str]], pause: float) -> DataFrame:
+    """Adds answer, aborted and error to rows whose columns are a backend's arguments. Other columns pass through Arrow untouched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         backend = open_backend()
-        for frame in frames:
-            answers, aborted, errors = [], [], []
-            for system, user in zip(frame["system"], frame["user"], strict=True):
-                answer, stopped, failed = None, False, None
+        for batch in batches:
+            said: list[tuple[str | None, bool, str | None]] = []
+            for arguments in zip(*[batch.column(c).to_pylist() for c in columns], strict=True):
                 try:
-                    answer = with_retry(lambda s=system, u=user: backend(s, u), pause)
+                    said.append((with_retry(lambda a=arguments: backend(*a), pause), False, None))
                 except Aborted as stop:
-                    answer, stopped = stop.text, True
+                    said.append((stop.text, True, None))
                 except Exception as error:  # any backend's error becomes the row's
-                    failed = str(error)
-                answers.append(answer)
-                aborted.append(stopped)
-                errors.append(failed)
-            yield frame.assign(answer=answers, aborted=aborted, error=errors)
+                    said.append((None, False, str(error)))
+            answers, aborted, errors = zip(*said, strict=True) if said else ((), (), ())
+            added = [pa.array(answers, pa.string()), pa.array(aborted, pa.bool_()), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "answer", "aborted", "error"])
+
+    return requests.mapInArrow(run, requests._jdf.schema().toDDL() + ", answer string, aborted boolean, error string")
+
+
+def infer(requests: DataFrame, open_backend: Callable[[], Callable[[str, str], str]] = lambda: echo, pause: float = RETRY_SECONDS) -> DataFrame:
+    """From rows with (system, user): adds answer, aborted and error. A backend is opened once per task; a row's failure stays its own."""
+    return _asked(requests, ["system", "user"], open_backend, pause)
+
 
-    return requests.mapInPandas(run, requests._jdf.schema().toDDL() + ", answer string, aborted boolean, error string")
+def infer_messages(requests: DataFrame, open_backend: Callable[[], Callable[[list[dict[str, str]]], str]] = lambda: echo_messages, pause: float = RETRY_SECONDS) -> DataFrame:
+    """The same for conversations: from rows with messages, an array of struct(role, content)."""
+    return _asked(requests, ["messages"], open_backend, pause)
 
 
 def missing_only(requests: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -55,12 +55,12 @@ def kept_files(files: DataFrame, most: int = LOG_FILES) -> DataFrame:
 
 
 def cpu_load(samples: DataFrame) -> DataFrame:
-    """From (sample, core, total, idle): load per sample in per cent, from differences to the sample before; 0 for the first."""
-    before = Window.partitionBy("core").orderBy("sample")
-    deltas = samples.select("sample", (F.col("total") - F.lag("total").over(before)).alias("d_total"), (F.col("idle") - F.lag("idle").over(before)).alias("d_idle"))
+    """From (host, sample, core, total, idle): load per host and sample in per cent, from differences to the sample before; 0 for the first."""
+    before = Window.partitionBy("host", "core").orderBy("sample")
+    deltas = samples.select("host", "sample", (F.col("total") - F.lag("total").over(before)).alias("d_total"), (F.col("idle") - F.lag("idle").over(before)).alias("d_idle"))
     total, idle = F.sum("d_total"), F.sum("d_idle")
     load = F.when(total > 0, F.greatest(F.lit(0), F.least(F.lit(100), round_half_up((total - idle) / total * 100)))).otherwise(0)
-    return deltas.groupBy("sample").agg(load.cast("long").alias("load"))
+    return deltas.groupBy("host", "sample").agg(load.cast("long").alias("load"))
 
 
 def active_streams(events: DataFrame, key: str, order: list[str], step: Column) -> DataFrame:

@@ -33,6 +33,11 @@ def sanitised(raw: Column) -> Column:
     return F.struct(*fields, (whole & bad).alias("repaired"))
 
 
+def defaults() -> Column:
+    """What a reset leaves: a struct of the eight fields."""
+    return F.struct(*[(F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)).alias(name) for name, v in DEFAULTS.items()])
+
+
 def merged(current: Column, partial: Column) -> Column:
     """A map with partial's entries over current's."""
     keep = F.map_filter(current, lambda k, _: ~F.map_contains_key(partial, k))

@@ -44,11 +44,46 @@ def create_tables(spark: SparkSession, database: str, buckets: int = 64) -> None
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY (created_at) INTO {buckets} BUCKETS")
 
 
+def insert(current: DataFrame, new: DataFrame) -> DataFrame:
+    """Current rows and new ones, matched by column name; columns that new rows lack are null."""
+    return current.unionByName(new, allowMissingColumns=True).select(*current.columns)
+
+
+def append(new: DataFrame, path: str) -> None:
+    """Adds rows to a table's folder; what lies there isn't read or rewritten."""
+    new.write.mode("append").parquet(path)
+
+
 def migrate(df: DataFrame, version: int, steps: list) -> tuple[DataFrame, int]:
     """Applies the steps after `version` in order; step n leads to version n. A newest version is left alone."""
     return reduce(lambda at, step: (step(at[0]), at[1] + 1), steps[version:], (df, version))
 
 
+def schema_version(spark: SparkSession, path: str) -> int:
+    """The number in a table's version marker; 0 for a table that has none yet."""
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/schema")
+    exists = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+    return spark.read.parquet(marker.toString()).first()["version"] if exists else 0
+
+
+def run_migrations(spark: SparkSession, path: str, steps: list) -> int:
+    """Brings the table of versions in path to the newest schema, one step at a time; returns its version.
+
+    Steps up to the marker's version are skipped. Each step writes a new version of the rows and then
+    the marker, so one that fails leaves the last good state. From step 2 on, the rows before the step
+    are kept as backup-<version>.
+    """
+    at = schema_version(spark, path)
+    for step in steps[at:]:
+        rows = spark.read.parquet(f"{path}/version={newest_version(spark, path):06d}")
+        if at:
+            rows.write.mode("overwrite").parquet(f"{path}/backup-{at}")
+        write_version(step(rows), path, newest_version(spark, path) + 1)
+        at += 1
+        spark.createDataFrame([(at,)], "version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/schema")
+    return at
+
+
 def update(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Rows of current with the columns of changes (one row a key) where those aren't null; other rows and columns stay."""
     renamed = changes.select(F.col(key).alias("changed_key"), *[F.col(c).alias(f"changed_{c}") for c in changes.columns if c != key])

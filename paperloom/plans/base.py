@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder for files that a query writes and reads back: below spark.checkpoint.dir, which all executors share; it goes when Spark's JVM ends.
+
+    Only a local session that names none gets a temporary folder of its own.
+    """
+    context, shared = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not context.master.startswith("local") or "cluster" in context.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="paperloom-")
+    folder = context._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return folder.toString()
+
+
 def iso(ts: Column) -> Column:
     """A timestamp as ISO-8601 text in UTC with milliseconds."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import classify
-from paperloom.functions.patterns import ERRORS, LANGUAGES, PROFILES, SMALL_MODELS, TRANSIENT
+from paperloom.functions.patterns import ERRORS, LANGUAGES, PROFILES, SMALL_MODELS, SUGGESTED_MODELS, TRANSIENT
 from paperloom.operators import settings
+from paperloom.sources import files, models, probes
 
-from .base import literal_rows, sql_value, values_sql
+from .base import literal_rows, sql_value, table, values_sql
 
 _ERRORS = [("model runner has unexpectedly STOPPED",), ("llama runner process: exit 2",), ("TypeError: fetch failed",), ("read ECONNRESET",), ("connect ECONNREFUSED 127.0.0.1",), ("request timed out",), ("ETIMEDOUT",), ("model 'x' not found",), ("unable to load model",), ("no space left on device",), ("cuda error: 2",), ("no room",), ("context length too long",), ("prompt exceeds context",), ("something else",), ("",)]
 
@@ -60,21 +61,94 @@ PLACEMENT_SQL = f"""
 WITH m AS (SELECT *, least(greatest(floor(in_vram / 1048576.0::DOUBLE / 6144 * 100 + 0.5), 0), 100)::BIGINT AS vram_percent FROM {values_sql(_LOADED, "id, name, size, in_vram")})
 SELECT id, name, CASE WHEN in_vram = 0 THEN 'cpu' WHEN in_vram >= size * 0.95::DOUBLE THEN 'gpu' ELSE 'hybrid' END AS runs_on, vram_percent, CASE WHEN vram_percent >= 95 THEN 'red' WHEN vram_percent >= 80 THEN 'amber' ELSE 'cyan' END AS band FROM m"""
 
-_SUGGESTED = [("tiny", 4, None), ("mid", 8, None), ("large", 16, 8), ("huge", 32, 24)]
-_INSTALLED = [("mid",), ("other",)]
+_INSTALLED = [("qwen2.5:3b", 1_900_000_000, "2024-05-01"), ("other", 5, "")]
+
+
+def suggested_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suggested models beside what a server says it has; a server that fails has none."""
+
+    def broken() -> list[tuple]:
+        raise ConnectionError("no server")
+
+    has = models.installed(spark, lambda: _INSTALLED).select("name", F.lit(True).alias("installed"))
+    also = models.loaded(spark, broken).select("name", F.lit(True).alias("loaded"))
+    said = models.suggested(spark).join(has, "name", "left").join(also, "name", "left")
+    return said.select("name", "display_name", "size", "min_ram_gb", "min_vram_gb", "runtime", "budget", F.coalesce("installed", F.lit(False)).alias("installed"), F.coalesce("loaded", F.lit(False)).alias("loaded"))
+
+
+_MODELS = values_sql(list(SUGGESTED_MODELS), "name, display_name, size, min_ram_gb, min_vram_gb, runtime, strengths, budget")
+SUGGESTED_SQL = f"SELECT name, display_name, size, min_ram_gb, min_vram_gb, runtime, budget, name = 'qwen2.5:3b' AS installed, false AS loaded FROM {_MODELS}"
 
 
 def model_runnable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    models = literal_rows(spark, _SUGGESTED, "name string, min_ram int, min_vram int")
-    installed = literal_rows(spark, _INSTALLED, "name string").withColumn("installed", F.lit(True))
-    able = classify.can_run(F.col("ram_gb"), F.col("vram_mb"), F.col("min_ram"), F.col("min_vram"))
+    installed = models.installed(spark, lambda: _INSTALLED).select("name", F.lit(True).alias("installed"))
+    able = classify.can_run(F.col("ram_gb"), F.col("vram_mb"), F.col("min_ram_gb"), F.col("min_vram_gb"))
     # Two literal relations of a few rows each.
-    both = literal_rows(spark, _HOSTS, _HOST).crossJoin(models.join(installed, "name", "left"))
+    both = literal_rows(spark, _HOSTS, _HOST).crossJoin(models.suggested(spark).join(installed, "name", "left"))
     return both.select("host_id", "name", able.alias("can_run"), F.coalesce("installed", F.lit(False)).alias("installed"))
 
 
-RUNNABLE_SQL = f"""SELECT host_id, name, ram_gb >= min_ram AND (min_vram IS NULL OR coalesce(vram_mb / 1024.0 >= min_vram, false)) AS can_run, name IN (SELECT name FROM {values_sql(_INSTALLED, "name")}) AS installed
-FROM (FROM {values_sql(_HOSTS, "host_id, ram_gb, gpu_name, vram_mb")}), (FROM {values_sql(_SUGGESTED, "name, min_ram, min_vram")})"""
+RUNNABLE_SQL = f"""SELECT host_id, name, coalesce(ram_gb >= min_ram_gb, true) AND (min_vram_gb IS NULL OR coalesce(vram_mb / 1024.0 >= min_vram_gb, false)) AS can_run, name = 'qwen2.5:3b' AS installed
+FROM (FROM {values_sql(_HOSTS, "host_id, ram_gb, gpu_name, vram_mb")}), (FROM {_MODELS})"""
+
+_PROBES = [
+    (1, "RTX 4090, 24564", "", "", []), (2, "", "device,VRAM Total\ncard0,17163091968", "", []), (3, " ", "device", '{"Name": "Arc A770", "VramBytes": 17179869184}', []), (4, "", "", "broken", [("Intel UHD", 1_073_741_824), ("Radeon RX", 8_589_934_592), ("RTX", 8_589_934_592)]),
+    (5, "", "", "", []),
+]
+_PROBE = "host_id int, smi string, rocm string, registry string, adapters array<struct<name:string,vram_bytes:bigint>>"
+
+
+def gpu_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What probes print, the first that found a card winning; of several adapters, the one with most memory, of equal ones the first."""
+    card = probes.first_gpu(probes.from_csv_probe(F.col("smi")), probes.from_rocm_probe(F.col("rocm")), probes.from_json_probe(F.col("registry")), probes.biggest(F.col("adapters")))
+    return literal_rows(spark, _PROBES, _PROBE).select("host_id", card.alias("gpu")).select("host_id", "gpu.name", "gpu.vram_mb", "gpu.vendor")
+
+
+_CARDS = [(1, "RTX 4090", 24564, "nvidia"), (2, "AMD GPU", 0, "amd"), (3, "Arc A770", 16384, "intel"), (4, "Radeon RX", 8192, "amd"), (5, None, None, None)]
+
+
+def settings_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stored record, whatever it says, as the defaults."""
+    rows = literal_rows(spark, _SETTINGS, "id int, raw string").select("id", settings.defaults().alias("s"))
+    return rows.select("id", "s.language", "s.theme", F.array_join("s.ocrLanguages", ",").alias("ocr"), F.col("s.ollamaUrl").alias("url"), F.col("s.selectedModel").alias("model"))
+
+
+_EXTRACTION = [("file is ENCRYPTED",), ("BadZipFile: File is not a zip file",), ("image has too many pixels",), ("Invalid PDF structure",), ("no extractor for .pdf",), ("what",), (None,)]
+_MEANINGS = [("file is ENCRYPTED", "encrypted"), ("BadZipFile: File is not a zip file", "bad_archive"), ("image has too many pixels", "too_many_pixels"), ("Invalid PDF structure", "corrupt"), ("no extractor for .pdf", "no_extractor"), ("what", "extraction_failed"), (None, "extraction_failed")]
+
+
+def extraction_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return literal_rows(spark, _EXTRACTION, "message string").select("message", files.extraction_error(F.col("message")).alias("reason"))
+
+
+def server_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of a server per event: whether it answered, else whether it is installed."""
+    rows = table(spark, sf_dir, "events")
+    return rows.select("event_id", classify.server_state(F.col("event_type") == "view", F.col("event_id") % 2 == 0).alias("state"))
+
+
+STATES_SQL = "SELECT event_id, CASE WHEN event_type = 'view' THEN 'connected' WHEN event_id % 2 = 0 THEN 'installed-not-running' ELSE 'not-installed' END AS state FROM events"
+
+
+def image_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of the events' sizes: which are small enough to read, and their size once fitted."""
+    width, height = F.col("event_id") % 997 * 31 + 1, F.col("event_id") % 389 * 47 + 1
+    rows = table(spark, sf_dir, "events").select("event_id", width.alias("w"), height.alias("h"))
+    fitted = files.fitted_size(F.col("w"), F.col("h"))
+    return rows.select("event_id", files.readable_pixels(F.col("w"), F.col("h")).alias("readable"), fitted.alias("f")).select("event_id", "readable", "f.width", "f.height")
+
+
+_SCALE = "least(1.0::DOUBLE, 4000::DOUBLE / greatest(w, h))"
+IMAGE_SQL = f"""SELECT event_id, w * h <= 100000000 AS readable, greatest(1, floor(w * {_SCALE} + 0.5))::BIGINT AS width, greatest(1, floor(h * {_SCALE} + 0.5))::BIGINT AS height
+FROM (SELECT event_id, event_id % 997 * 31 + 1 AS w, event_id % 389 * 47 + 1 AS h FROM events)"""
+
+
+def priority_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.when(F.col("event_type") == "error", "high").when(F.col("event_type") == "view", "medium")
+    return table(spark, sf_dir, "events").select("event_id", classify.priority_key(said).alias("priority"))
+
+
+PRIORITY_SQL = "SELECT event_id, CASE event_type WHEN 'error' THEN 'high' WHEN 'view' THEN 'medium' ELSE 'low' END AS priority FROM events"
 
 _REQUESTS = [(1, "mem", "set", True, ["m1"]), (2, "", "set", False, []), (3, None, "", True, ["m1", "m2"]), (4, "", None, False, ["m1"]), (5, "", "", True, [])]
 
@@ -97,7 +171,7 @@ SELECT *, CASE WHEN model = 'm1' THEN '' ELSE model END AS after_delete, coalesc
 def primary_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = literal_rows(spark, _LOADED, "id int, name string, size long, in_vram long")
     # One host's loaded models; the first of equal sizes wins.
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("size"), "id"))).where("place = 1").select("id", "name")
+    return rows.orderBy(F.desc("size"), "id").limit(1).select("id", "name")
 
 
 _SETTINGS = [
@@ -161,6 +235,13 @@ QUERIES = {
     "model_runnable": (model_runnable, RUNNABLE_SQL),
     "model_resolve": (model_resolve, RESOLVE_SQL),
     "primary_model": (primary_model, f"SELECT id, name FROM {values_sql(_LOADED, 'id, name, size, in_vram')} ORDER BY size DESC, id LIMIT 1"),
+    "suggested_models": (suggested_models, SUGGESTED_SQL),
+    "gpu_probes": (gpu_probes, f"SELECT * FROM {values_sql(_CARDS, 'host_id, name, vram_mb, vendor')}"),
+    "settings_reset": (settings_reset, f"SELECT id, 'de' AS language, 'dark' AS theme, 'deu,eng' AS ocr, 'http://localhost:11434' AS url, '' AS model FROM {values_sql(_SETTINGS, 'id, raw')}"),
+    "extraction_errors": (extraction_errors, f"SELECT * FROM {values_sql(_MEANINGS, 'message, reason')}"),
+    "server_states": (server_states, STATES_SQL),
+    "image_fit": (image_fit, IMAGE_SQL),
+    "priority_keys": (priority_keys, PRIORITY_SQL),
     "settings_sanitize": (settings_sanitize, SANITIZE_SQL),
     "settings_merge": (settings_merge, MERGE_SQL),
     "display_bands": (display_bands, f"SELECT * FROM {values_sql(_SHOWN, 'id, band, theme, managed, name')}"),

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import text
-from paperloom.functions.patterns import LANGUAGES, MODES, TEMPERATURES
-from paperloom.operators import chat, evidence, prompts
+from paperloom.functions.patterns import IMPRESSION_SAMPLE, LANGUAGES, MODES, TEMPERATURES
+from paperloom.operators import chat, evidence, inference, prompts
 
 from .base import norm_sql, sql_value, table, tokens_sql
 
@@ -82,11 +82,17 @@ def chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where("conv_id = 3").orderBy("turn").select("turn", "role", F.md5("text").alias("digest"))
 
 
+def _parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents; every thirteenth stands for one whose text could not be extracted."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.when(F.col("doc_id") % 13 == 12, "").otherwise(F.col("text")))
+    return chat.parents(docs).withColumnRenamed("doc_id", "conv_id")
+
+
 def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), chat.fitted_system(F.col("text"), F.col("lang")).alias("system")).where(F.length("system") > 0)
+    docs = _parents(spark, sf_dir)
     sized = table(spark, sf_dir, "conversations").join(docs.select("conv_id", text.js_length(F.col("system")).alias("system_chars")), "conv_id")
     kept = chat.window(sized, F.col("system_chars") + len(_NEW))
-    return kept.join(docs, "conv_id")
+    return kept
 
 
 def chat_context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,35 +100,76 @@ def chat_context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_messages_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = chat.messages(_kept(spark, sf_dir), F.col("system"), F.lit(_NEW))
+    built = chat.messages(_parents(spark, sf_dir), _kept(spark, sf_dir), F.lit(_NEW))
     said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")
     return built.select("conv_id", F.size("messages").alias("n"), F.md5(said).alias("digest"))
 
 
 _WRAP = f"CASE WHEN lang = 'de' THEN {sql_value(chat.GERMAN[0])} || fitted || {sql_value(chat.GERMAN[1])} ELSE {sql_value(chat.ENGLISH[0])} || fitted || {sql_value(chat.ENGLISH[1])} END"
 KEPT_SQL = f"""
-WITH d AS (SELECT doc_id AS conv_id, {_WRAP} AS system FROM {_fit_sql("(SELECT doc_id, lang, text AS t FROM documents)", "3500", "doc_id, lang")}),
+WITH d AS (SELECT doc_id AS conv_id, {_WRAP} AS system FROM {_fit_sql("(SELECT doc_id, lang, text AS t FROM documents WHERE text <> '' AND doc_id % 13 <> 12)", "3500", "doc_id, lang")}),
 h AS (SELECT c.*, system, length(system) + {len(_NEW)} AS base FROM conversations c JOIN d USING (conv_id) WHERE role <> 'system'),
 w AS (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS chars_from_here, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS from_end FROM h),
 kept AS (SELECT * FROM w WHERE base + chars_from_here <= 8000 OR from_end = 1)"""
 MESSAGES_SQL = KEPT_SQL + f"""
-SELECT conv_id, (count(*) + 2)::INT AS n, md5('system:' || any_value(system) || chr(10) || string_agg(role || ':' || text, chr(10) ORDER BY turn) || chr(10) || 'user:' || {sql_value(_NEW)}) AS digest FROM kept GROUP BY conv_id"""
+SELECT conv_id, (count(k.role) + 2)::INT AS n, md5('system:' || any_value(d.system) || chr(10) || coalesce(string_agg(role || ':' || text, chr(10) ORDER BY turn) || chr(10), '') || 'user:' || {sql_value(_NEW)}) AS digest
+FROM d LEFT JOIN (SELECT conv_id, role, text, turn FROM kept) k USING (conv_id) GROUP BY conv_id"""
+
+
+def chat_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chats left once those of low-quality documents are cleared."""
+    gone = table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("conv_id"))
+    return chat.cleared(table(spark, sf_dir, "conversations"), gone).select("conv_id", "turn", "role", F.md5("text").alias("digest"))
+
+
+CLEAR_SQL = "SELECT conv_id, turn, role, md5(text) AS digest FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)"
 
 
 def chat_pair_persist(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").where("role = 'user'")
     status = F.get(F.array(F.lit("complete"), F.lit("aborted"), F.lit("failed")), (F.col("turn") % 3).cast("int"))
-    answer = F.when(F.col("conv_id") % 2 == 0, F.substring("text", 1, 20)).otherwise("")
+    answer = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("re: "), "text")).otherwise("")
     pairs = chat.stored_pair(turns.select("conv_id", "turn", F.col("text").alias("question"), answer.alias("answer"), status.alias("status")))
     return pairs.select("conv_id", "turn", "role", F.md5("text").alias("digest"))
 
 
 PAIR_SQL = f"""
-WITH t AS (SELECT conv_id, turn, text AS question, CASE WHEN conv_id % 2 = 0 THEN substring(text, 1, 20) ELSE '' END AS answer, ['complete', 'aborted', 'failed'][1 + turn % 3] AS status FROM conversations WHERE role = 'user')
+WITH t AS (SELECT conv_id, turn, text AS question, CASE WHEN conv_id % 2 = 0 THEN 're: ' || text ELSE '' END AS answer, ['complete', 'aborted', 'failed'][1 + turn % 3] AS status FROM conversations WHERE role = 'user')
 SELECT conv_id, turn, 'user' AS role, md5(question) AS digest FROM t WHERE status <> 'failed'
 UNION ALL SELECT conv_id, turn, 'assistant', md5(CASE WHEN status = 'complete' THEN answer WHEN answer = '' THEN '{chat.ABORTED}' ELSE answer || chr(10) || chr(10) || '{chat.ABORTED}' END) FROM t WHERE status <> 'failed'"""
 
 
+def chat_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of the default backend to whole message lists."""
+    built = chat.messages(_parents(spark, sf_dir), _kept(spark, sf_dir), F.lit(_NEW))
+    return inference.infer_messages(built).select("conv_id", "answer", "aborted", "error")
+
+
+ANSWER_SQL = KEPT_SQL + f"""
+SELECT conv_id, (count(k.role) + 2) || ':' || any_value(length(d.system)) || ':' || {sql_value(_NEW)} AS answer, false AS aborted, NULL::VARCHAR AS error
+FROM d LEFT JOIN (SELECT conv_id, role FROM kept) k USING (conv_id) GROUP BY conv_id"""
+
+
+def impression_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = prompts.first_impression(F.col("text"), F.col("lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", asked.alias("p")).select("doc_id", "p.temperature", "p.context", F.md5("p.system").alias("system_digest"), F.md5("p.user").alias("user_digest"))
+
+
+_IMPRESSION = " || ".join((sql_value(prompts.IMPRESSION.split("{}")[0]), f"(CASE lang {' '.join(f'WHEN {sql_value(c)} THEN {sql_value(n)}' for c, _, n, _ in LANGUAGES)} ELSE 'English' END)", sql_value(prompts.IMPRESSION.split("{}")[1])))
+IMPRESSION_SQL = f"""SELECT doc_id, 0.1::DOUBLE AS temperature, 2048 AS context, md5({_IMPRESSION}) AS system_digest,
+ md5({sql_value(prompts.BEFORE)} || substring(text, 1, {IMPRESSION_SAMPLE}) || {sql_value(prompts.AFTER)}) AS user_digest FROM documents"""
+
+
+def verify_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second pass over a first answer, which here is the document's source as JSON."""
+    first = F.to_json(F.struct("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", prompts.verification(F.col("text"), first).alias("p")).select("doc_id", F.md5("p.system").alias("system_digest"), F.md5("p.user").alias("user_digest"))
+
+
+_VERIFY = prompts.VERIFY_USER.split("{}")
+VERIFY_SQL = f"""SELECT doc_id, md5({sql_value(prompts.VERIFY)}) AS system_digest, md5({sql_value(_VERIFY[0])} || text || {sql_value(_VERIFY[1])} || '{{"source":"' || source || '"}}' || {sql_value(_VERIFY[2])}) AS user_digest FROM documents"""
+
+
 def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
     # Whole passages, and their second and third words as a short quote.
@@ -154,6 +201,10 @@ QUERIES = {
     "chat_context_window": (chat_context_window, KEPT_SQL + " SELECT conv_id, turn, role, chars_from_here FROM kept"),
     "chat_messages_build": (chat_messages_build, MESSAGES_SQL),
     "chat_pair_persist": (chat_pair_persist, PAIR_SQL),
+    "chat_clear": (chat_clear, CLEAR_SQL),
+    "chat_answer": (chat_answer, ANSWER_SQL),
+    "impression_prompt": (impression_prompt, IMPRESSION_SQL),
+    "verify_prompt": (verify_prompt, VERIFY_SQL),
     "evidence_join": (evidence_join, QUOTES_SQL + " SELECT doc_id, item_id FROM hits"),
     "evidence_counts": (evidence_counts, QUOTES_SQL + " SELECT item_id, count(doc_id) AS documents, min(doc_id) AS first_id FROM q LEFT JOIN hits USING (item_id) GROUP BY item_id"),
 }

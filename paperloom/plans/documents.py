@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+from xml.sax.saxutils import escape
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import classify, text
 from paperloom.functions.patterns import CHAT_MAX, CONTROL, GERMAN_WORDS, LEGACY_EXTENSIONS, MAX_FILE_BYTES, MIME_TYPES, OTHER_MIME, PRINTABLE_RE2, QUESTION_MAX, WS_RE2
 from paperloom.operators import search
+from paperloom.sources import files as importer
 
 from .base import STORED_SQL, iso, iso_sql, literal_rows, stored, table, tokens_sql, values_sql, words_sql
 
@@ -99,10 +106,10 @@ def doc_point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_list_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir).orderBy(F.desc("created_at"), "id").select("id", "filename", iso(F.col("created_at")).alias("created"))
+    return stored(spark, sf_dir).orderBy(F.desc("created_at"), "id").select("id", "filename", "text", "lang", iso(F.col("created_at")).alias("created"))
 
 
-NEWEST_SQL = f"WITH {STORED_SQL} SELECT id, filename, {iso_sql('created_at')} AS created FROM stored ORDER BY created_at DESC, id"
+NEWEST_SQL = f"WITH {STORED_SQL} SELECT id, filename, text, lang, {iso_sql('created_at')} AS created FROM stored ORDER BY created_at DESC, id"
 
 #: One stand-in file per document: its type and size come from the id.
 _KINDS = (".pdf", ".DOCX", ".xlsx", ".png", ".doc", ".xls", ".txt", ".webp")
@@ -115,13 +122,53 @@ def _files(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.concat("source", ext).alias("filename"), size.alias("file_size"), (F.col("doc_id") % 11 != 0).alias("regular"), "text")
 
 
-def bulk_import_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _judged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (doc_id, filename, text, reason); no reason for what is imported."""
     files = _files(table(spark, sf_dir, "documents"))
     gate = classify.file_reject(classify.extension(F.col("filename")), F.col("file_size"), F.col("regular"), MAX_FILE_BYTES)
     content = text.trim_ws(F.col("text"))
     verdict = text.print_verdict(text.js_length(content), text.printable_chars(content), text.control_chars(content))
-    reason = F.coalesce(gate, F.when(verdict != "ok", verdict), F.lit("accepted"))
-    return files.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+    return files.select("doc_id", "filename", "text", F.coalesce(gate, F.when(verdict != "ok", verdict)).alias("reject_reason"))
+
+
+def bulk_import_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reason = F.coalesce("reject_reason", F.lit("accepted"))
+    return _judged_files(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+
+
+def bulk_import_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both outputs of a load: what is stored of the accepted files, and a message for each other one."""
+    judged = _judged_files(spark, sf_dir)
+    stored_rows = importer.accepted(judged).select("doc_id", "filename", text.word_count(F.col("text")).alias("word_count"), F.lit(None).cast("string").alias("message"))
+    return stored_rows.unionByName(importer.rejects(judged), allowMissingColumns=True)
+
+
+#: What office files of this query hold: printable text, a paragraph a line.
+_PLAIN = "[^ -~\\x{00A0}-\\x{00FF}\\n]"
+
+
+def _office(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A text document per row, as its office file."""
+    names = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    for batch in batches:
+        made = []
+        for body in batch.column("text").to_pylist():
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w") as parts:
+                lines = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in body.split("\n"))
+                parts.writestr("word/document.xml", f"<w:document {names}><w:body>{lines}</w:body></w:document>")
+            made.append(held.getvalue())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([".docx"] * len(made)), pa.array(made, pa.binary())], names=["doc_id", "ext", "content"])
+
+
+def extract_office(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document through an office file and its extractor."""
+    plain = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", _PLAIN, "").alias("text"))
+    done = importer.extract(plain.mapInArrow(_office, "doc_id long, ext string, content binary"))
+    return done.select("doc_id", F.md5(F.regexp_replace("text", "^[ \\n\u00a0]+|[ \\n\u00a0]+\\z", "")).alias("digest"), "error")
+
+
+EXTRACT_SQL = r"""SELECT doc_id, md5(regexp_replace(replace(regexp_replace(text, '[^ -~\x{00A0}-\x{00FF}\n]', '', 'g'), chr(10), chr(10) || chr(10)), '^[ \n\x{00a0}]+|[ \n\x{00a0}]+\z', '', 'g')) AS digest, NULL::VARCHAR AS error FROM documents"""
 
 
 _LEGACY = ", ".join(f"'{e}'" for e in LEGACY_EXTENSIONS)
@@ -133,6 +180,9 @@ c AS (SELECT *, length(t) AS chars, {_class_sql(PRINTABLE_RE2, "t")} AS printabl
 r AS (SELECT doc_id, CASE WHEN ext IN ({_LEGACY}) THEN 'legacy_format' WHEN ext NOT IN ({_KNOWN}) THEN 'unsupported_type' WHEN NOT regular THEN 'not_found'
                   WHEN size > {MAX_FILE_BYTES} THEN 'too_large' WHEN size = 0 THEN 'empty_file' WHEN ({_VERDICT}) <> 'ok' THEN ({_VERDICT}) ELSE 'accepted' END AS reason FROM c)
 SELECT reason, count(*) AS n, min(doc_id) AS first_id FROM r GROUP BY reason"""
+OUTPUTS_SQL = REJECTS_SQL[: REJECTS_SQL.rindex("SELECT")] + f"""SELECT CASE WHEN reason = 'accepted' THEN r.doc_id END AS doc_id, CASE WHEN reason = 'accepted' THEN name END AS filename,
+ CASE WHEN reason = 'accepted' THEN len({words_sql("text")}) END AS word_count, CASE WHEN reason <> 'accepted' THEN name || ': ' || reason END AS message
+FROM r JOIN (SELECT doc_id, text, source || {list(_KINDS)}[1 + doc_id % 8] AS name FROM documents) d USING (doc_id)"""
 
 
 def mime_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,6 +225,8 @@ QUERIES = {
     "doc_point_lookup": (doc_point_lookup, "SELECT doc_id AS id, source AS filename, md5(text) AS digest FROM documents WHERE doc_id = 17"),
     "doc_list_newest": (doc_list_newest, NEWEST_SQL),
     "bulk_import_rejects": (bulk_import_rejects, REJECTS_SQL),
+    "bulk_import_outputs": (bulk_import_outputs, OUTPUTS_SQL),
+    "extract_office": (extract_office, EXTRACT_SQL),
     "mime_map": (mime_map, MIME_SQL),
     "id_validate": (id_validate, rf"SELECT value, coalesce(regexp_full_match(value, '[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}'), false) AS valid FROM {values_sql(_IDS, 'value')}"),
     "mode_validate": (

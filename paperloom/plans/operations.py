@@ -11,7 +11,7 @@ from paperloom.functions import dates
 from paperloom.operators import catalogues, monitoring
 from paperloom.streaming import streams
 
-from .base import literal_rows, table, values_sql
+from .base import literal_rows, scratch, table, values_sql
 
 _CAP = 3_000
 
@@ -52,16 +52,17 @@ FROM (SELECT CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'info' W
 
 
 def cpu_load_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sample = F.floor(F.col("event_id") / 4)
+    # Four cores of 40 hosts, sampled in turn.
+    sample = F.floor(F.col("event_id") / 160)
     idle = sample * 20 + (F.col("event_id") * 31) % 17
-    samples = table(spark, sf_dir, "events").select(sample.alias("sample"), (F.col("event_id") % 4).alias("core"), (idle + sample * 9 + (F.col("event_id") * 17) % 13).alias("total"), idle.alias("idle"))
+    samples = table(spark, sf_dir, "events").select((F.floor(F.col("event_id") / 4) % 40).alias("host"), sample.alias("sample"), (F.col("event_id") % 4).alias("core"), (idle + sample * 9 + (F.col("event_id") * 17) % 13).alias("total"), idle.alias("idle"))
     return monitoring.cpu_load(samples)
 
 
 CPU_SQL = """
-WITH s AS (SELECT event_id // 4 AS sample, event_id % 4 AS core, (event_id // 4) * 20 + (event_id * 31) % 17 AS idle, (event_id // 4) * 9 + (event_id * 17) % 13 AS busy FROM events),
-d AS (SELECT sample, idle + busy - lag(idle + busy) OVER w AS d_total, idle - lag(idle) OVER w AS d_idle FROM s WINDOW w AS (PARTITION BY core ORDER BY sample))
-SELECT sample, CASE WHEN sum(d_total) > 0 THEN greatest(0, least(100, floor((sum(d_total) - sum(d_idle))::DOUBLE / sum(d_total)::DOUBLE * 100 + 0.5)))::BIGINT ELSE 0 END AS load FROM d GROUP BY sample"""
+WITH s AS (SELECT event_id // 4 % 40 AS host, event_id // 160 AS sample, event_id % 4 AS core, (event_id // 160) * 20 + (event_id * 31) % 17 AS idle, (event_id // 160) * 9 + (event_id * 17) % 13 AS busy FROM events),
+d AS (SELECT host, sample, idle + busy - lag(idle + busy) OVER w AS d_total, idle - lag(idle) OVER w AS d_idle FROM s WINDOW w AS (PARTITION BY host, core ORDER BY sample))
+SELECT host, sample, CASE WHEN sum(d_total) > 0 THEN greatest(0, least(100, floor((sum(d_total) - sum(d_idle))::DOUBLE / sum(d_total)::DOUBLE * 100 + 0.5)))::BIGINT ELSE 0 END AS load FROM d GROUP BY host, sample"""
 
 
 def active_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,21 +78,20 @@ SELECT event_id, (plain - least(0, min(plain) OVER (PARTITION BY user_id ORDER B
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chunk per event: its stream is the user, its length comes from the id; time runs in steps of 7 ms."""
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), F.col("event_id").alias("seq"), (F.col("event_id") * 7 % 1000).cast("long").alias("ms"), (F.col("event_id") * 37 % 400).alias("chars"), "event_type")
+    """A chunk per event: its stream is the user, its length comes from the id; time runs in steps of a tenth of the id."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 10).alias("ms"), (F.col("event_id") * 37 % 400).alias("chars"), "event_type")
 
 
 def stream_flush_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The size rule alone: all chunks at one time.
-    chunks = _chunks(spark, sf_dir).withColumn("ms", F.lit(0).cast("long"))
-    return monitoring.flush_batches(chunks).select("stream", "seq", "batch")
+    return monitoring.flush_batches(_chunks(spark, sf_dir)).select("stream", "seq", "batch")
 
 
 FLUSH_SQL = """
-WITH RECURSIVE c AS (SELECT user_id AS stream, event_id AS seq, event_id * 37 % 400 AS chars, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
-f AS (SELECT stream, seq, rn, 0::BIGINT AS batch, CASE WHEN chars >= 1024 THEN 0 ELSE chars END AS pending, (chars >= 1024)::BIGINT AS closed FROM c WHERE rn = 1
+WITH RECURSIVE c AS (SELECT user_id AS stream, event_id AS seq, event_id // 10 AS ms, event_id * 37 % 400 AS chars, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+f AS (SELECT stream, seq, rn, 0::BIGINT AS batch, CASE WHEN chars >= 1024 THEN 0 ELSE chars END AS pending, ms AS last, (chars >= 1024)::BIGINT AS closed FROM c WHERE rn = 1
       UNION ALL
-      SELECT c.stream, c.seq, c.rn, f.batch + f.closed, CASE WHEN c.chars > 0 AND f.pending + c.chars >= 1024 THEN 0 ELSE f.pending + c.chars END, (c.chars > 0 AND f.pending + c.chars >= 1024)::BIGINT
+      SELECT c.stream, c.seq, c.rn, f.batch + f.closed, CASE WHEN c.chars > 0 AND (f.pending + c.chars >= 1024 OR c.ms - f.last >= 90) THEN 0 ELSE f.pending + c.chars END,
+             CASE WHEN c.chars > 0 AND (f.pending + c.chars >= 1024 OR c.ms - f.last >= 90) THEN c.ms ELSE f.last END, (c.chars > 0 AND (f.pending + c.chars >= 1024 OR c.ms - f.last >= 90))::BIGINT
       FROM f JOIN c ON c.stream = f.stream AND c.rn = f.rn + 1)
 SELECT stream, seq, batch FROM f"""
 
@@ -174,7 +174,28 @@ def stream_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PHASE_SQL = "SELECT user_id, event_type AS phase, event_id % 101 AS percent FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
 
+def log_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines appended to day folders, read back from them."""
+    path = scratch(spark, "logs")
+    rows = table(spark, sf_dir, "events").select("ts", F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "info").otherwise(F.col("event_type")).alias("level"), F.lit("events").alias("source"), F.col("event_type").alias("message"), F.col("event_id").cast("string").alias("meta"))
+    monitoring.write_logs(rows, path)
+    return spark.read.schema("lvl string, src string, msg string, meta string, day string").json(path).select(F.col("day").cast("string"), "lvl", "src", "msg", F.col("meta").cast("long").alias("event_id"))
+
+
+LOG_WRITE_SQL = """SELECT strftime(ts, '%Y-%m-%d') AS day, CASE event_type WHEN 'view' THEN 'info' ELSE event_type END AS lvl, 'events' AS src, event_type AS msg, event_id
+FROM events WHERE event_type IN ('view', 'error')"""
+
+
+def derived_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", dates.derived_id(F.col("event_type"), F.col("event_id")).alias("id"))
+
+
+_HASH = "sha256(event_type || chr(1) || event_id)"
+DERIVED_SQL = f"SELECT event_id, concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) AS id FROM (SELECT event_id, {_HASH} AS h FROM events)"
+
 QUERIES = {
+    "log_write": (log_write, LOG_WRITE_SQL),
+    "derived_ids": (derived_ids, DERIVED_SQL),
     "log_retention": (log_retention, RETENTION_SQL),
     "log_size_cap": (log_size_cap, CAP_SQL),
     "log_level_filter": (log_level_filter, LEVEL_SQL),

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.functions import classify, text
+from paperloom.functions import classify, markdown, text
 from paperloom.operators import prompts, store
 
-from .base import STORED_SQL, sql_value, stored, table
+from .base import STORED_SQL, scratch, sql_value, stored, table
 
 
 def store_insert_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     current = stored(spark, sf_dir).select("id", "filename", "text", "created_at")
-    changes = current.where("id % 3 = 0").select("id", F.concat(F.lit("again: "), F.substring("text", 1, 100)).alias("text"), F.when(F.col("id") % 2 == 0, F.lit("renamed")).alias("filename"))
+    changes = current.where("id % 3 = 0").select("id", F.concat(F.lit("again: "), "text").alias("text"), F.when(F.col("id") % 2 == 0, F.lit("renamed")).alias("filename"))
     return store.update(current, changes, "id").select("id", "filename", F.md5("text").alias("digest"))
 
 
-UPDATE_SQL = f"""WITH {STORED_SQL} SELECT id, CASE WHEN id % 6 = 0 THEN 'renamed' ELSE filename END AS filename, md5(CASE WHEN id % 3 = 0 THEN 'again: ' || substring(text, 1, 100) ELSE text END) AS digest FROM stored"""
+UPDATE_SQL = f"""WITH {STORED_SQL} SELECT id, CASE WHEN id % 6 = 0 THEN 'renamed' ELSE filename END AS filename, md5(CASE WHEN id % 3 = 0 THEN 'again: ' || text ELSE text END) AS digest FROM stored"""
 
 
 def store_delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,11 +40,11 @@ UNION ALL SELECT 'labels', count(*), min(doc_id) FROM labels WHERE doc_id NOT IN
 def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     existing = docs.where("doc_id % 4 = 0").select("doc_id", F.lit("old").alias("impression"))
-    new = docs.where("doc_id % 2 = 0").select("doc_id", F.concat(F.lit("new "), "source").alias("impression"))
+    new = docs.select("doc_id", F.concat(F.lit("new "), "source").alias("impression"))
     return store.insert_absent(existing, new, "doc_id")
 
 
-UPSERT_SQL = "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'old' ELSE 'new ' || source END AS impression FROM documents WHERE doc_id % 2 = 0"
+UPSERT_SQL = "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'old' ELSE 'new ' || source END AS impression FROM documents"
 
 
 def latest_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,53 @@ APPEND_SQL = f"""SELECT doc_id AS analysis_id, md5('answer ' || doc_id || CASE W
  NULL::VARCHAR AS structured_result FROM labels"""
 
 
+def store_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and, as new ones, pages: appended to a stored table, which is read back."""
+    path = scratch(spark, "documents")
+    old = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("filename"), F.col("text").alias("extracted_text"), F.lit("text/plain").alias("mime_type"))
+    new = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("url").alias("filename"), F.col("html").alias("extracted_text"))
+    empty = spark.createDataFrame([], store.DOCUMENTS)
+    store.append(store.insert(empty, old), path)
+    store.append(store.insert(empty, new), path)
+    return spark.read.schema(store.DOCUMENTS).parquet(path).select("id", "filename", "mime_type", F.md5("extracted_text").alias("digest"))
+
+
+INSERT_SQL = """SELECT doc_id::VARCHAR AS id, source AS filename, 'text/plain' AS mime_type, md5(text) AS digest FROM documents
+UNION ALL SELECT 'p' || page_id, url, NULL, md5(html) FROM pages"""
+
+#: Steps of a table's schema: a text length, then a flag, then the length renamed.
+_STEPS = [lambda df: df.withColumn("chars", F.length("text")), lambda df: df.withColumn("long", F.col("chars") > 1000), lambda df: df.withColumnRenamed("chars", "text_chars")]
+
+
+def store_migrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table migrated by one step, then by all: rows at the newest version, with its number and the columns of the backups."""
+    path = scratch(spark, "migrated")
+    store.write_version(table(spark, sf_dir, "documents").select("doc_id", "text"), path, 1)
+    store.run_migrations(spark, path, _STEPS[:1])
+    version = store.run_migrations(spark, path, _STEPS)
+    rows = spark.read.parquet(f"{path}/version={store.newest_version(spark, path):06d}")
+    backups = [",".join(spark.read.parquet(f"{path}/backup-{n}").columns) for n in (1, 2)]
+    return rows.select("doc_id", "text_chars", "long", F.lit(version).alias("version"), F.lit(";".join(backups)).alias("backups"))
+
+
+MIGRATE_SQL = "SELECT doc_id, length(text)::INT AS text_chars, length(text) > 1000 AS long, 3 AS version, 'doc_id,text,chars;doc_id,text,chars,long' AS backups FROM documents"
+
+
+def export_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as HTML pages and read back."""
+    path = scratch(spark, "pages")
+    body = F.concat(F.lit("# "), "source", F.lit("\n\n**"), F.col("doc_id").cast("string"), F.lit("**"))
+    markdown.write_pages(table(spark, sf_dir, "documents").select(F.col("source").alias("title"), body.alias("md")), path)
+    return spark.read.text(path, wholetext=False, lineSep=markdown.PAGE_END).select(F.md5("value").alias("digest"))
+
+
+EXPORT_PAGE_SQL = f"""SELECT md5({" || ".join(x if i % 2 else sql_value(x) for i, x in enumerate((markdown.PAGE[0], "source", markdown.PAGE[1], "'<h1>' || source || '</h1>' || chr(10) || '<br>' || chr(10) || '<p><strong>' || doc_id || '</strong></p>'", markdown.PAGE[2])))}) AS digest FROM documents"""
+
+
 QUERIES = {
+    "store_insert": (store_insert, INSERT_SQL),
+    "store_migrate": (store_migrate, MIGRATE_SQL),
+    "export_page": (export_page, EXPORT_PAGE_SQL),
     "store_insert_update": (store_insert_update, UPDATE_SQL),
     "store_delete_cascade": (store_delete_cascade, CASCADE_SQL),
     "store_upsert": (store_upsert, UPSERT_SQL),
@@ -112,7 +158,7 @@ QUERIES = {
     "analysis_export_join": (analysis_export_join, EXPORT_SQL),
     "export_filename": (export_filename, NAME_SQL),
     "analysis_list_newest": (analysis_list_newest, "SELECT event_id, user_id AS document_id, event_type AS mode FROM events ORDER BY ts DESC, event_id"),
-    "first_impression_lookup": (first_impression_lookup, UPSERT_SQL + " AND doc_id = 18"),
+    "first_impression_lookup": (first_impression_lookup, UPSERT_SQL + " WHERE doc_id = 18"),
     "analysis_append": (analysis_append, APPEND_SQL),
     "analysis_history": (analysis_history, "SELECT event_id AS id, event_type AS mode FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id"),
 }

@@ -14,12 +14,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import classify, text
-from paperloom.functions.patterns import MAX_FILE_BYTES, MIME_TYPES
+from paperloom.functions.patterns import MAX_EDGE, MAX_FILE_BYTES, MAX_PIXELS, MIME_TYPES
 
 
 @dataclass(frozen=True)
@@ -103,7 +103,7 @@ def extraction_error(message: Column) -> Column:
 
 
 def _empty_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """Paths and times (ms) of files without bytes, which Spark's file readers pass over."""
+    """Paths and times (ms) of files without bytes, which Spark's file readers pass over; listed like Spark lists its input."""
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return [(s.getPath().toString(), s.getModificationTime()) for s in fs.listStatus(root) if s.isFile() and s.getLen() == 0]
@@ -123,33 +123,41 @@ def extract(files: DataFrame) -> DataFrame:
     extractors = dict(_EXTRACTORS)
     kept = [f for f in files.schema.fields if f.name != "content"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts, pages, errors = [], [], []
-            for ext, content in zip(frame["ext"], frame["content"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[str | None, int | None, str | None]] = []
+            for ext, content in zip(batch.column("ext").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 try:
                     if ext not in extractors:
                         raise ValueError(f"no extractor for {ext}")
-                    found = extractors[ext](bytes(content))
-                    texts.append(found.text.strip())
-                    pages.append(found.page_count)
-                    errors.append(None)
+                    said = extractors[ext](content)
+                    found.append((said.text.strip(), said.page_count, None))
                 except Exception as error:  # any extractor's error becomes the file's reject reason
-                    texts.append(None)
-                    pages.append(None)
-                    errors.append(f"{type(error).__name__}: {error}")
-            yield frame.drop(columns="content").assign(text=texts, page_count=pd.array(pages, dtype="Int32"), error=errors)
+                    found.append((None, None, f"{type(error).__name__}: {error}"))
+            texts, pages, errors = zip(*found, strict=True) if found else ((), (), ())
+            names = [n for n in batch.schema.names if n != "content"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(texts, pa.string()), pa.array(pages, pa.int32()), pa.array(errors, pa.string())], names=[*names, "text", "page_count", "error"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return files.mapInPandas(run, f"{schema}, text string, page_count int, error string")
+    return files.mapInArrow(run, f"{schema}, text string, page_count int, error string")
+
+
+def _any_case(extensions: list[str]) -> str:
+    """A path pattern for file names with one of the extensions, in upper or lower case."""
+    return "*{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions) + "}"
 
 
 def import_folder(spark: SparkSession, path: str, most: int = MAX_FILE_BYTES) -> DataFrame:
-    """One row per file: what is stored of it, or its reject_reason. Bytes are read only of files that pass the first gates."""
+    """One row per file: what is stored of it, or its reject_reason.
+
+    Bytes are read only of files that pass the first gates: their names are matched before the scan,
+    and their length is a filter that the scan itself applies.
+    """
     scanned = scan_folder(spark, path).withColumn("gate", classify.file_reject(F.col("ext"), F.col("file_size"), F.lit(True), most))
-    passed = scanned.where("gate IS NULL").drop("gate")
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path).select("path", "content")
-    done = extract(passed.join(content, "path"))
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", _any_case(list(MIME_TYPES)))
+    name = classify.basename(F.col("path"))
+    passed = reader.load(path).where((F.col("length") > 0) & (F.col("length") <= most))
+    done = extract(passed.select("path", name.alias("filename"), classify.extension(name).alias("ext"), F.col("length").alias("file_size"), "content"))
     body = F.coalesce("text", F.lit(""))
     verdict = text.print_verdict(text.js_length(body), text.printable_chars(body), text.control_chars(body))
     reason = F.coalesce(F.when(F.col("error").isNotNull(), extraction_error(F.col("error"))), F.when(verdict != "ok", verdict))
@@ -159,5 +167,27 @@ def import_folder(spark: SparkSession, path: str, most: int = MAX_FILE_BYTES) ->
     return derived.select("*", classify.mime_type(F.col("ext")).alias("mime_type"), text.word_count(F.col("text")).alias("word_count"), text.language(F.col("text")).alias("detected_language"))
 
 
+def accepted(imported: DataFrame) -> DataFrame:
+    """The rows of an import that are stored."""
+    return imported.where("reject_reason IS NULL").drop("reject_reason")
+
+
+def rejects(imported: DataFrame) -> DataFrame:
+    """The others, each as `name: reason`."""
+    return imported.where("reject_reason IS NOT NULL").select(F.concat("filename", F.lit(": "), "reject_reason").alias("message"))
+
+
+def readable_pixels(width: Column, height: Column) -> Column:
+    """Whether a picture is small enough to be read at all."""
+    return width.cast("long") * height <= MAX_PIXELS
+
+
+def fitted_size(width: Column, height: Column) -> Column:
+    """struct(width, height) of a picture fitted to the longest edge; small ones aren't enlarged."""
+    scale = F.least(F.lit(1.0), F.lit(float(MAX_EDGE)) / F.greatest(width, height))
+    fit = lambda edge: F.greatest(F.lit(1), classify.round_half_up(edge * scale)).cast("long")
+    return F.struct(fit(width).alias("width"), fit(height).alias("height"))
+
+
 def dialog_extensions() -> list[str]:
     return [e[1:] for e in MIME_TYPES]

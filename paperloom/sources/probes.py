@@ -25,6 +25,21 @@ def from_json_probe(output: Column) -> Column:
     return F.when(F.try_parse_json(output).isNotNull(), F.struct(name.alias("name"), vram.alias("vram_mb"), gpu_vendor(name).alias("vendor")))
 
 
+def from_rocm_probe(output: Column) -> Column:
+    """The same from a header line and a line with the memory in bytes; null without a second line. It names no card."""
+    lines = F.split(F.trim(output), "\n")
+    # The first digits of the line count, also where they belong to the device's name.
+    vram = round_half_up(F.coalesce(F.regexp_extract(F.get(lines, 1), r"\d+", 0).try_cast("double"), F.lit(0.0)) / (1024 * 1024)).cast("int")
+    return F.when(F.size(lines) > 1, F.struct(F.lit("AMD GPU").alias("name"), vram.alias("vram_mb"), F.lit("amd").alias("vendor")))
+
+
+def biggest(adapters: Column) -> Column:
+    """The same for array<struct(name, vram_bytes)>: the adapter with most memory, of equal ones the first; null for none."""
+    ranked = F.transform(adapters, lambda a, k: F.struct(a["vram_bytes"].alias("vram_bytes"), (-k).alias("place"), a["name"].alias("name")))
+    best = F.array_max(ranked)
+    return F.when(best.isNotNull(), F.struct(best["name"].alias("name"), round_half_up(best["vram_bytes"] / (1024 * 1024)).cast("int").alias("vram_mb"), gpu_vendor(best["name"]).alias("vendor")))
+
+
 def first_gpu(*probes: Column) -> Column:
     """The first probe that found one."""
     return F.coalesce(*probes)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paperloom.functions.patterns import FLUSH_MS
 from paperloom.operators.monitoring import Flusher
 
+#: How often host metrics are read.
+POLL_SECONDS = 3
+
 BATCH = "stream long, batch long, text string, final boolean"
 _STATE = "pending string, last_ms double, batch long"
 
@@ -20,11 +24,17 @@ def flush_stream(chunks: DataFrame) -> DataFrame:
     """From a stream of (stream, seq, ms, text, end): batches of text as they fill up or get late.
 
     State per stream: the pending text, the time of the last flush and the batch number. A chunk
-    with end set flushes what is pending and forgets the stream.
+    with end set flushes what is pending and forgets the stream. A stream that falls silent with
+    text pending is flushed by a timer of FLUSH_MS.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pending, last, batch = state.get if state.exists else ("", -1.0, 0)
+        columns = ["stream", "batch", "text", "final"]
+        if state.hasTimedOut:
+            state.update(("", last + FLUSH_MS, batch + 1))
+            yield pd.DataFrame([(key[0], batch, pending, False)] if pending else [], columns=columns)
+            return
         out = []
         rows = pd.concat(list(frames)).sort_values("seq")
         for text, ms, end in zip(rows["text"], rows["ms"], rows["end"], strict=True):
@@ -40,9 +50,11 @@ def flush_stream(chunks: DataFrame) -> DataFrame:
             state.remove()
         else:
             state.update((pending, last, batch))
-        yield pd.DataFrame(out, columns=["stream", "batch", "text", "final"])
+            if pending:
+                state.setTimeoutDuration(FLUSH_MS)
+        yield pd.DataFrame(out, columns=columns)
 
-    return chunks.groupBy("stream").applyInPandasWithState(step, BATCH, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("stream").applyInPandasWithState(step, BATCH, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def latest(events: DataFrame, key: str, order: Column, value: Column) -> DataFrame:
@@ -63,3 +75,43 @@ def windowed_metrics(samples: DataFrame, late: str = "10 minutes", width: str =
 
 #: What a trigger should be set to for chunk batches.
 FLUSH_TRIGGER = f"{FLUSH_MS} milliseconds"
+
+
+def polled(samples: DataFrame, seconds: int = POLL_SECONDS) -> DataStreamWriter:
+    """A writer that takes what has come in every few seconds."""
+    return samples.writeStream.trigger(processingTime=f"{seconds} seconds")
+
+
+def stop_all(spark: SparkSession) -> int:
+    """Stops every streaming query and cancels every running job of the session; how many queries there were."""
+    active = spark.streams.active
+    for query in active:
+        query.stop()
+    spark.sparkContext.cancelAllJobs()
+    return len(active)
+
+
+class Lifecycle(StreamingQueryListener):
+    """Passes on what happens to queries: started, progress with its number of rows, then complete or error as the last event.
+
+    Register it with spark.streams.addListener(). Events after a query's last one are dropped.
+    """
+
+    def __init__(self, tell: Callable[[str, str, str | int | None], None]):
+        self.tell, self.open = tell, set()
+
+    def onQueryStarted(self, event) -> None:
+        self.open.add(str(event.runId))
+        self.tell(str(event.runId), "started", event.name)
+
+    def onQueryProgress(self, event) -> None:
+        if str(event.progress.runId) in self.open:
+            self.tell(str(event.progress.runId), "progress", event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        """Nothing came in: no event."""
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.runId) in self.open:
+            self.open.discard(str(event.runId))
+            self.tell(str(event.runId), "error" if event.exception else "complete", event.exception)

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import time
 import zipfile
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import classify, jsonx, markdown, text
 from paperloom.functions.patterns import CHAT_DOCUMENT_TOKENS, MARKER_CHARS
-from paperloom.operators import catalogues, chat, evidence, inference, monitoring, parsers, store
+from paperloom.operators import catalogues, chat, evidence, inference, monitoring, parsers, prompts, store
 from paperloom.plans import operations
 from paperloom.sources import files, probes
 from paperloom.streaming import streams
@@ -179,20 +180,32 @@ def test_flushes_by_size_and_time(spark):
 
 
 def test_streamed_batches_join_to_the_whole(spark, tmp_path):
-    rows = [(s, i, i * 20, "x" * (i * 53 % 500), i == 29) for s in range(3) for i in range(30)]
+    """Streams 0 to 2 end; stream 3 falls silent with text pending, which a timer flushes."""
+    rows = [(s, i, i * 20, "x" * (i * 53 % 500), i == 29 and s < 3) for s in range(4) for i in range(30)]
     schema = "stream long, seq long, ms long, text string, end boolean"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = streams.flush_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    seen = []
+    listener = streams.Lifecycle(lambda run, kind, what: seen.append(kind))
+    spark.streams.addListener(listener)
     query = stream.writeStream.format("memory").queryName("flushed").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
+    whole = lambda s: "".join(r[3] for r in rows if r[0] == s)
+    text = lambda s: "".join(t for _, t in sorted((r.batch, r.text) for r in spark.table("flushed").collect() if r.stream == s))
     try:
-        query.processAllAvailable()
+        until = time.monotonic() + 60
+        while time.monotonic() < until and any(text(s) != whole(s) for s in range(4)):
+            time.sleep(1)
     finally:
-        query.stop()
-    out = spark.table("flushed").collect()
-    for s in range(3):
-        own = sorted((r.batch, r.text) for r in out if r.stream == s)
-        assert "".join(t for _, t in own) == "".join(r[3] for r in rows if r[0] == s)
+        assert streams.stop_all(spark) == 1
+    for s in range(4):
+        own = sorted((r.batch, r.text) for r in spark.table("flushed").collect() if r.stream == s)
+        assert text(s) == whole(s)
         assert [b for b, _ in own] == list(range(len(own)))
+    until = time.monotonic() + 20
+    while time.monotonic() < until and "complete" not in seen:
+        time.sleep(0.5)
+    spark.streams.removeListener(listener)
+    assert seen[0] == "started" and seen[-1] == "complete" and "progress" in seen
 
 
 def test_latest_progress_and_windows(spark):
@@ -282,6 +295,49 @@ def test_probes(spark):
     assert one(spark, probes.first_gpu(csv, js), a="", b="") is None
 
 
+def test_messages_go_to_the_backend_whole_and_ids_stay(spark):
+    rows = spark.createDataFrame([(2**53 + 1, [("system", "s"), ("user", "u")]), (None, [("user", "x")])], "id long, messages array<struct<role:string,content:string>>").coalesce(1)
+    got = {r.id: (r.answer, r.error) for r in inference.infer_messages(rows, lambda: lambda m: "/".join(f"{x['role']}={x['content']}" for x in m)).collect()}
+    assert got == {2**53 + 1: ("system=s/user=u", None), None: ("user=x", None)}
+
+
+def test_registered_modes_build_prompts(spark):
+    prompts.register_mode("poem", "Schreibe ein Gedicht.", "Write a poem.", 0.9)
+    try:
+        got = one(spark, prompts.prompt(F.lit("poem"), F.col("t"), F.lit("en"), F.lit(None).cast("string")), t="text")
+    finally:
+        del prompts.SYSTEM["poem"], prompts.TEMPERATURES["poem"]
+    assert (got["system"], got["temperature"]) == ("Write a poem.", 0.9)
+
+
+def test_tables_are_made(spark):
+    store.create_tables(spark, "paperloom_made", 2)
+    try:
+        assert {r.tableName for r in spark.sql("SHOW TABLES IN paperloom_made").collect() if not r.isTemporary} == {"documents", "analyses", "chat_messages", "first_impressions"}
+        assert spark.table("paperloom_made.analyses").columns[:2] == ["id", "document_id"]
+    finally:
+        spark.sql("DROP DATABASE paperloom_made CASCADE")
+
+
+def test_html_of_fences(spark):
+    md = "a\n```py\n# x <b>\n\n```\n- p\n- q\n```"
+    assert one(spark, markdown.html(F.col("t")), t=md) == "<p>a</p>\n<pre><code>\n# x &lt;b&gt;\n<br>\n</code></pre>\n<ul><li>p</li>\n<li>q</li>\n</ul><pre><code>".replace("\n<br>\n</code>", "\n\n</code>")
+
+
+def test_quotes_meet_texts_without_a_nested_loop(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "xalpha")], "doc_id int, text string")
+    quotes = spark.createDataFrame([(1, "alpha"), (2, "pha bet"), (3, "alpha beta gamma")], "item_id int, quote string")
+    for most in (evidence.BROADCAST_CHARS, -1):
+        evidence.BROADCAST_CHARS, kept = most, evidence.BROADCAST_CHARS
+        try:
+            found = evidence.find_quotes(docs, quotes)
+        finally:
+            evidence.BROADCAST_CHARS = kept
+        assert sorted(map(tuple, found.collect())) == [(1, 1), (1, 2), (1, 3), (2, 1)]
+        plan = found._jdf.queryExecution().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_small_classifiers(spark):
     assert [one(spark, classify.extension(F.col("t")), t=t) for t in ("a.PDF", "dir.x/file", ".bashrc", "a.b.docx", "C:\\x\\y.png")] == [".pdf", "", "", ".docx", ".png"]
     assert [one(spark, classify.grade_band(F.col("g")), g=g) for g in (1, 2, 3, 4, 6)] == ["green", "cyan", "amber", "orange", "red"]
