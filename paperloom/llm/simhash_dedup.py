@@ -19,17 +19,20 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import spread_join, text_of, written
 from .components import components
 
 SHINGLE = 4
 SEED = 42
 MAX_BITS = 4
 MIN_MATCHES = 4
+#: Posting lists of more fingerprints are searched by a fourth byte.
+LONG_LIST = 4096
 
 _PARTS = ((0, 1, 2), (3, 4, 5), (6, 7))
 
@@ -52,28 +55,29 @@ def covering_triples() -> list[tuple[int, int, int]]:
 KEYS = covering_triples()
 
 
-def fingerprint(text: str | None) -> int:
-    """The unsigned 64-bit SimHash of a text's word shingles; 0 without words."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
+def fingerprint(text: str | bytes | None, shingle: int = SHINGLE) -> int:
+    """The unsigned 64-bit SimHash of a text's word shingles (of its UTF-8 if bytes); 0 without words."""
+    words = (text.encode("utf-8", "replace") if isinstance(text, str) else text or b"").lower().split()
     if not words:
         return 0
     joined, n = b" ".join(words), len(words)
-    if n <= SHINGLE:
+    if n <= shingle:
         hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
     else:
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=n)
         ends = np.cumsum(lengths + 1) - 1
-        spans = zip((ends - lengths)[: n - SHINGLE + 1].tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)
+        spans = zip((ends - lengths)[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
         hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans], dtype=np.uint64)
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = bits.sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        prints = np.array([fingerprint(t) for t in frame["text"]], dtype=np.uint64)
-        yield frame.drop(columns="text").assign(print=prints.view(np.int64))
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = np.array([fingerprint(t) for t in batch.column("text").cast(pa.binary()).to_pylist()], dtype=np.uint64)
+        others = [name for name in batch.schema.names if name != "text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, others), pa.array(prints.view(np.int64))], names=[*others, "print"])
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
@@ -86,7 +90,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keys = [_row_key(id_col, text_col).alias("row_key")] if row_keys else []
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *keys)
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInPandas(_fingerprints, f"doc_id {kind}, row_key string, print long" if row_keys else f"doc_id {kind}, print long")
+    return source.mapInArrow(_fingerprints, f"doc_id {kind}, row_key string, print long" if row_keys else f"doc_id {kind}, print long")
 
 
 def linked(one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -97,7 +101,17 @@ def linked(one: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 
 def _forest(prints: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links in one posting list, by breadth-first search."""
+    """A spanning forest of the links in one posting list, by breadth-first search.
+
+    Links share a byte beyond the three of the list, so a long list is searched byte by byte at each
+    other position, unless a fourth byte is the same in all of it.
+    """
+    if len(prints) > LONG_LIST:
+        octets = prints[:, None].view(np.uint8)
+        others = np.flatnonzero((octets != octets[0]).any(axis=0))
+        if len(others) >= 8 - (MIN_MATCHES - 1):
+            parts = [prints[octets[:, p] == value] for p in others for value in np.unique(octets[:, p])]
+            return [link for part in parts for link in _forest(part)]
     rest, links = prints, []
     while len(rest) > 1:
         reached, rest = [rest[0]], rest[1:]
@@ -154,10 +168,10 @@ def near_links(nodes: DataFrame) -> DataFrame:
 
 
 def _rooted(prints: DataFrame, first: Column) -> DataFrame:
-    """Rows (print, first, root) without repeated fingerprints; `first` aggregates the rows of a fingerprint."""
-    nodes = prints.groupBy("print").agg(first.alias("first"))
+    """Rows (print, n, first, root) without repeated fingerprints; `first` aggregates the n rows of a fingerprint."""
+    nodes = prints.groupBy("print").agg(F.count("*").alias("n"), first.alias("first"))
     roots = components(near_links(nodes.select("print")))
-    return nodes.join(roots, F.col("print") == F.col("node"), "left").select("print", "first", F.coalesce("root", "print").alias("root"))
+    return nodes.join(roots, F.col("print") == F.col("node"), "left").select("print", "n", "first", F.coalesce("root", "print").alias("root"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,10 +182,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     null component_id. Other columns are not read. An empty table gives an empty result.
     """
     prints = written(with_fingerprints(docs, id_col, text_col), "simhash")
-    rooted = _rooted(prints, F.min("doc_id"))
-    heads = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(heads, "root").select("print", "component_id")
-    return prints.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = written(_rooted(prints, F.min("doc_id")), "roots")
+    heads = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members"))
+    named = spread_join(rooted, heads, "root", "members").select("print", "n", "component_id")
+    return spread_join(prints, named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
