@@ -17,6 +17,8 @@ MAX_EPOCHS = 2
 SEED = "mix-1"
 #: Rows of a cell, the unit in which fractional repetitions are dealt out.
 CELL_ROWS = 4096
+#: The same where whole rows are carried through the deal.
+CARRIED_ROWS = 512
 
 
 def water_fill(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -95,7 +97,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return _dealt(sizes, sizes, cell_rows, **fill).select("row.doc_id", "source", "size", "source_size", "target", "taken")
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, cell_rows: int = CELL_ROWS, **fill) -> DataFrame:
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, cell_rows: int = CARRIED_ROWS, **fill) -> DataFrame:
     """The mix itself: docs with all its columns, each row as often as the mix takes it.
 
     Each row is carried through the deal, so its copies are its own takes, whatever other rows share
