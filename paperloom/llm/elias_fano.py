@@ -1,4 +1,4 @@
-"""Elias-Fano sequences and a two-level n-gram trie on top of them, in numpy.
+"""Elias-Fano sequences and a three-level n-gram trie on top of them, in numpy.
 
 A monotone sequence of n values below u takes about 2 + log2(u / n) bits a value: the low bits are
 packed side by side, the high bits are written in unary. All queries work on arrays of positions
@@ -8,6 +8,7 @@ or values at once, and every array may lie in a memory-mapped file.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -129,44 +130,75 @@ SUCCESSOR_BITS = 40
 LEVELS = 255
 
 
+def quantised(values: np.ndarray, levels: int = LEVELS) -> tuple[np.ndarray, tuple[float, float]]:
+    """The place of each positive value in a codebook of `levels` entries evenly spaced in the logarithm, from 1; and its ends."""
+    logs = np.log10(values)
+    low, high = (float(logs.min()), float(logs.max())) if len(logs) else (0.0, 0.0)
+    return (np.rint((logs - low) / ((high - low) / (levels - 1) or 1)) + 1).astype(np.uint8 if levels < 256 else np.uint16), (low, high)
+
+
+def codebook(ends: tuple[float, float], nothing: float, levels: int = LEVELS) -> np.ndarray:
+    """The value of each code; code 0 is `nothing`."""
+    return np.concatenate([[nothing], 10 ** np.linspace(*ends, levels)])
+
+
+class _Level:
+    """Nodes below the nodes of another level: identifiers relative to the parent's rank, and pointers to each parent's first node."""
+
+    def __init__(self, parents: int, rank: np.ndarray, ids: np.ndarray):
+        """One entry per node, ascending by (rank of its parent, identifier)."""
+        keys = (rank.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | ids
+        pointers = np.searchsorted(rank, np.arange(parents + 1)).astype(np.uint64)
+        self.keys = EliasFano.of(keys, max(1, parents) << SUCCESSOR_BITS)
+        self.pointers = EliasFano.of(pointers, len(keys) + 1)
+
+    def place(self, arrays: Iterator[np.ndarray]) -> None:
+        """Takes over the mapped forms of its arrays, in the order of arrays()."""
+        self.keys = EliasFano(self.keys.n, self.keys.low_bits, next(arrays), next(arrays))
+        self.pointers = EliasFano(self.pointers.n, self.pointers.low_bits, next(arrays), next(arrays))
+
+    def arrays(self) -> list[np.ndarray]:
+        return [*self.keys.arrays(), *self.pointers.arrays()]
+
+    def find(self, parent: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The rank of each parent's successor with that identifier; -1 without one, or for parent -1."""
+        out = np.full(len(parent), -1, dtype=np.int64)
+        known = np.flatnonzero(parent >= 0)
+        if len(known) and self.keys.n:
+            own = parent[known]
+            at, equal = self.keys.successor((own.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | ids[known])
+            # The successor must lie in the parent's own range.
+            hit = np.flatnonzero(equal)
+            inside = at[hit] < self.pointers.access(own[hit] + 1).astype(np.int64)
+            out[known[hit[inside]]] = at[hit[inside]]
+        return out
+
+
 class Trie:
-    """Contexts (64-bit hashes), monotone pointers to their successors, and quantised probabilities.
+    """Words (64-bit hashes), pairs below them and triples below those, in one memory-mapped file.
 
-    Level one holds the contexts. Pointers give each context's range in level two, whose values are
-    the successors' identifiers relative to their context: context rank * 2**40 + identifier, a
-    monotone sequence. Each successor has one byte: the place of its probability in a codebook whose
-    entries are evenly spaced in the logarithm.
+    A pair holds the code of its smoothed probability and that of the weight its own triples leave to
+    shorter contexts; a triple holds the code of its probability.
     """
 
-    def __init__(self, contexts: np.ndarray, rank: np.ndarray, successors: np.ndarray, probabilities: np.ndarray):
-        """contexts ascending; rank and successors: one entry per n-gram, ascending by (rank, successor)."""
-        self.n = len(contexts)
-        keys = (rank.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | successors
-        logs = np.log10(probabilities)
-        low, high = (float(logs.min()), float(logs.max())) if len(logs) else (0.0, 0.0)
-        self.codebook = np.concatenate([[0.0], 10 ** np.linspace(low, high, LEVELS)])
-        codes = (np.rint((logs - low) / ((high - low) / (LEVELS - 1) or 1)) + 1).astype(np.uint8)
-        pointers = np.searchsorted(rank, np.arange(self.n + 1)).astype(np.uint64)
-        one = EliasFano.of(contexts >> _ONE, 1 << 63)
-        point, two = EliasFano.of(pointers, len(keys) + 1), EliasFano.of(keys, max(1, self.n) << SUCCESSOR_BITS)
-        *parts, self.codes = mapped([*one.arrays(), *point.arrays(), *two.arrays(), codes])
-        self.contexts = EliasFano(one.n, one.low_bits, *parts[:2])
-        self.pointers = EliasFano(point.n, point.low_bits, *parts[2:4])
-        self.successors = EliasFano(two.n, two.low_bits, *parts[4:6])
-
-    def rank(self, contexts: np.ndarray) -> np.ndarray:
-        """Each context's rank, -1 if the trie lacks it. Contexts are told apart by 63 bits."""
-        at, equal = self.contexts.successor(contexts >> _ONE)
+    def __init__(self, words: np.ndarray, pair_word: np.ndarray, pair_ids: np.ndarray, triple_pair: np.ndarray, triple_ids: np.ndarray, pair_p: np.ndarray, pair_rest: np.ndarray, triple_p: np.ndarray, levels: int = LEVELS):
+        """words ascending; one entry per pair and per triple, ascending by (rank in the level above, identifier)."""
+        one = EliasFano.of(words >> _ONE, 1 << 63)
+        self.pairs, self.triples = _Level(len(words), pair_word, pair_ids), _Level(len(pair_ids), triple_pair, triple_ids)
+        coded = [quantised(v, levels) for v in (pair_p, pair_rest, triple_p)]
+        self.ends = [e for _, e in coded]
+        arrays = iter(mapped([*one.arrays(), *self.pairs.arrays(), *self.triples.arrays(), *[c for c, _ in coded]]))
+        self.words = EliasFano(one.n, one.low_bits, next(arrays), next(arrays))
+        self.pairs.place(arrays)
+        self.triples.place(arrays)
+        self.codes = list(arrays)
+
+    def rank(self, words: np.ndarray) -> np.ndarray:
+        """Each word's rank, -1 if the trie lacks it. Words are told apart by 63 bits."""
+        at, equal = self.words.successor(words >> _ONE)
         return np.where(equal, at, -1)
 
-    def codes_of(self, rank: np.ndarray, successors: np.ndarray) -> np.ndarray:
-        """The probability code of each successor of the context of that rank; 0 if it was never seen there."""
-        out = np.zeros(len(rank), dtype=np.uint8)
-        known = np.flatnonzero(rank >= 0)
-        if not len(known) or not len(self.codes):
-            return out
-        own = rank[known]
-        at, equal = self.successors.successor((own.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | successors[known])
-        found = equal & (at < self.pointers.access(own + 1).astype(np.int64))
-        out[known[found]] = self.codes[at[found]]
-        return out
+    def code(self, kind: int, rank: np.ndarray) -> np.ndarray:
+        """Codes at ranks (0 for rank -1): kind 0 and 1 for pairs, 2 for triples."""
+        held = self.codes[kind]
+        return np.where(rank >= 0, held[np.maximum(rank, 0)], 0).astype(held.dtype) if len(held) else np.zeros(len(rank), dtype=held.dtype)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from paperloom.llm import lm_score, rule_ensemble
-from paperloom.llm.elias_fano import EliasFano
+from paperloom.llm.elias_fano import EliasFano, codebook
 
 from .cases import SCHEMA, frame
 
@@ -39,15 +39,18 @@ def test_elias_fano_successor_in_crowded_buckets():
 
 
 def test_trie_stores_quantised_probabilities():
-    contexts = np.repeat(np.array([5 << 40, 9 << 40], dtype=np.uint64), 3)
-    low = np.array([1, 2, 3, 2, 7, 1 << 39], dtype=np.uint64)
-    counts = np.array([4, 0, 6, 1, 1, 8])
-    trie, own, totals = lm_score.build_shard(np.tile(contexts, 2), np.tile(low, 2), np.tile(counts, 2), {9 << 40: 100}, mu=10)
-    assert totals.tolist() == [20, 100]
-    rank = trie.rank(np.append(contexts, np.uint64(77)))
-    assert rank.tolist() == [0, 0, 0, 1, 1, 1, -1]
-    got = trie.codebook[trie.codes_of(rank, np.append(low, np.uint64(1)))]
-    assert got == pytest.approx([8 / 30, 0, 12 / 30, 2 / 110, 2 / 110, 16 / 110, 0], rel=0.02)
+    low = int(lm_score._LOW)
+    words = np.array([5 << 40, 9 << 40], dtype=np.uint64)
+    # 5: (1: 10 x3, 11 x1), (2: 10 x6); 9: (2: 7 x1, 8 x0), (low: 10 x8). The tree is sent twice.
+    tree = (words, [2, 2], np.array([1, 2, 2, low], dtype=np.uint64), [2, 1, 2, 1], np.array([10, 11, 10, 7, 8, 10], dtype=np.uint64), [3, 1, 6, 1, 0, 8])
+    shard = lm_score.Shard(*[np.tile(x, 2) for x in tree], lm_score._Frequent({9 << 40: 100}, {(9 << 40, low): 60}))
+    assert shard.totals.tolist() == [20, 100]
+    assert shard.trie.rank(np.append(words, np.uint64(77))).tolist() == [0, 1, -1]
+    assert shard.trie.pairs.find(np.array([0, 0, 1, 1, -1]), np.array([1, 3, 2, low, 1], dtype=np.uint64)).tolist() == [0, -1, 2, 3, -1]
+    books = [codebook(e, nothing) for e, nothing in zip(shard.trie.ends, (0.0, 1.0, 0.0), strict=True)]
+    assert books[0][shard.pair_codes] == pytest.approx([8 / 40, 12 / 40, 2 / 120, 60 / 120], rel=0.02)
+    assert books[1][shard.rest_codes] == pytest.approx([10 / 18, 10 / 22, 10 / 12, 10 / 70], rel=0.02)
+    assert books[2][shard.triple_codes] == pytest.approx([6 / 18, 2 / 18, 12 / 22, 2 / 12, 0, 16 / 70], rel=0.02)
 
 
 def brute(docs):
@@ -55,42 +58,50 @@ def brute(docs):
     held = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in docs]
     texts = [[*(t or "").encode().lower().split(), END] for _, t in docs]
     train = [q for q, h in zip(texts, held, strict=True) if not h]
+    ahead = lambda q, n: [*[b" first", START][2 - n :], *q]
     one = Counter(w for q in train for w in q)
-    two = Counter(b for q in train for b in zip([START, *q], q, strict=False))
-    context = Counter()
+    two = Counter(b for q in train for b in zip(ahead(q, 1), q, strict=False))
+    three = Counter(b for q in train for b in zip(ahead(q, 2), ahead(q, 1), q, strict=False))
+    after_one, after_two = Counter(), Counter()
     for (a, _), n in two.items():
-        context[a] += n
-    n, v, mu = sum(one.values()), len(one), lm_score.MU
+        after_one[a] += n
+    for (a, b, _), n in three.items():
+        after_two[a, b] += n
+    n, v, mu, nu = sum(one.values()), len(one), lm_score.MU_2, lm_score.MU_3
+    single = lambda c: (one[c] + 1) / (n + v + 1)
+    given_one = lambda b, c: (two[b, c] + mu * single(c)) / (after_one[b] + mu)
+    given_two = lambda a, b, c: (three[a, b, c] + nu * given_one(b, c)) / (after_two[a, b] + nu)
     out = []
     for q, h in zip(texts, held, strict=True):
-        p = [two[a, b] / (context[a] + mu) + mu / (context[a] + mu) * (one[b] + 1) / (n + v + 1) for a, b in zip([START, *q], q, strict=False)]
-        out.append((h, len(q), sum(one[w] > 0 for w in q), n, sum(math.log10((one[w] + 1) / (n + v + 1)) for w in q), sum(math.log10(min(1, x)) for x in p)))
+        p = [given_two(*t) for t in zip(ahead(q, 2), ahead(q, 1), q, strict=False)]
+        out.append((h, len(q), sum(one[w] > 0 for w in q), n, sum(math.log10(single(w)) for w in q), sum(math.log10(min(1, x)) for x in p)))
     return out
 
 
-def compare(df, docs):
+def compare(df, docs, rel=0.02, near=0.05):
     key = lambda r: tuple((x is not None, x) for x in r)
     got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in df.collect()), key=key)
     want = sorted(((d, *w) for (d, _), w in zip(docs, brute(docs), strict=True)), key=key)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert [g[5] for g in got] == pytest.approx([w[5] for w in want], rel=1e-9)
-    assert [g[6] for g in got] == pytest.approx([w[6] for w in want], rel=0.02, abs=0.05)
+    assert [g[6] for g in got] == pytest.approx([w[6] for w in want], rel=rel, abs=near)
 
 
-def test_scores_equal_brute_force_over_many_blocks(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(lm_score, "BLOCK_CHARS", 50_000)
+def test_scores_equal_brute_force_over_many_blocks(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    compare(lm_score.lm_score(docs), [(r.doc_id, r.text) for r in docs.collect()])
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    compare(lm_score.lm_score(docs, block_bytes=50_000, shard_tokens=5000), rows)
+    # With finer steps nothing but the steps' own error is left.
+    compare(lm_score.lm_score(docs, block_bytes=50_000, shard_tokens=20_000, levels=65_535), rows, rel=1e-4, near=1e-4)
 
 
-def test_back_off_of_many_words_uses_the_counted_vocabulary(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "BLOCK_CHARS", 3000)
+def test_back_off_of_many_words_uses_the_counted_vocabulary(spark):
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(120)]
     words = [[f"w{(37 * i + k) % 4000:04d}" for k in range(60)] for i in range(120)]
     # Held-out texts run backwards, so that no bigram of theirs is learnt and nothing is quantised.
     docs = [(i, " ".join(w[-2::-1] if h else w)) for i, (w, h) in enumerate(zip(words, held, strict=True))]
     want = brute(docs)
-    got = {r.doc_id: r for r in lm_score.lm_score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in lm_score.lm_score(spark.createDataFrame(docs, "doc_id long, text string"), block_bytes=3000).collect()}
     assert sum(held) > 5 and len({w for ws, h in zip(words, held, strict=True) if not h for w in ws}) > 3000
     for i in range(120):
         assert got[i].base_score == pytest.approx(want[i][4], rel=1e-9)
