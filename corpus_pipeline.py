@@ -49,10 +49,14 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over documents."""
-    docs = common.table(spark, sf_dir, "documents")
+    """The rows of the last stage over documents. A stage's table is dropped once the next one is written."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), name)
+        path = common.scratch_path(spark, name)
+        docs = common.written(stage(spark, docs, sf_dir), name, path)
+        if before:
+            common.drop_table(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -29,8 +29,10 @@ def scratch(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="paperloom-")
     folder = context._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}")
-    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return folder.toString()
+    fs = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return f"{folder.toString()}/files"
 
 
 def iso(ts: Column) -> Column:
