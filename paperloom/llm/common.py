@@ -46,7 +46,9 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path for a table in the run's own folder below the shared one, which goes when Spark's JVM ends."""
     jvm, context = spark.sparkContext._jvm, spark.sparkContext
     folder = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/paperloom-{context.applicationId}")
-    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    fs = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
     return f"{folder.toString()}/{label}-{uuid.uuid4().hex}"
 
 

@@ -1,8 +1,12 @@
 """The pipeline's stages, each against brute force on its own input."""
 
 import re
+import subprocess
+import sys
+import time
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import pytest
 
@@ -94,7 +98,43 @@ def test_run_equals_the_stages(spark, sf_dir, stages):
 
 def test_stages_on_edge_cases_and_empty_tables(spark):
     for docs in (frame(spark, null_id=True), spark.createDataFrame([], SCHEMA)):
+        inputs = Counter(map(tuple, docs.collect()))
+        texts = {re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in inputs}
+        prints = {simhash_dedup.fingerprint(r[1]) for r in inputs}
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, "")
-            assert name == "packing" or out.columns == docs.columns
-            assert out.count() <= 4 * docs.count() + 20
+            rows = Counter(map(tuple, out.collect()))
+            if name == "packing":
+                assert sum(n for r, n in rows.items() if r[1] == 0) == sum(inputs.values())
+                continue
+            assert out.columns == docs.columns and set(rows) <= set(inputs)
+            if name == "mixing":
+                assert all(n <= 2 * inputs[r] for r, n in rows.items())
+            else:
+                assert rows <= inputs
+            if name == "exact_dedup":
+                assert sum(rows.values()) == len(texts) == len({re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in rows})
+            if name == "simhash_dedup":
+                kept = [simhash_dedup.fingerprint(r[1]) for r in rows.elements()]
+                assert len(kept) == len(set(roots(sorted(prints), [(a, b) for a, b in combinations(sorted(prints), 2) if (a ^ b).bit_count() <= 4]).values())) and len(set(kept)) == len(kept)
+
+
+def test_the_run_cleans_up_after_itself(tmp_path):
+    """Tables of a run lie below spark.checkpoint.dir and are gone when it ends."""
+    script = f"""
+from pyspark.sql import SparkSession
+from paperloom.llm import common
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "{tmp_path}/shared").getOrCreate()
+one, two = common.scratch_path(spark, "one"), common.scratch_path(spark, "two")
+for path in (one, two):
+    assert common.written(spark.range(3), "rows", path).count() == 3
+common.drop_table(spark, one)
+import os
+assert one.startswith("{tmp_path}/shared/") and not os.path.exists(one) and os.path.exists(two)
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", script], check=True, timeout=120, cwd=Path(__file__).parents[2])
+    until = time.monotonic() + 30  # Spark's JVM may end after Python
+    while list(tmp_path.glob("shared/paperloom-*")) and time.monotonic() < until:
+        time.sleep(0.5)
+    assert not list(tmp_path.glob("shared/paperloom-*"))
