@@ -1,13 +1,16 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.llm import lm_score, rule_ensemble
 from paperloom.llm.elias_fano import EliasFano, codebook
+from paperloom.llm.quality_rules import STOP_WORDS
 
 from .cases import SCHEMA, frame
 
@@ -141,6 +144,44 @@ def test_rules_come_from_every_node():
     assert [r.tests for r in rule_ensemble.tree_rules(text, ["a", "b"])] == [(("a", "<=", 0.5),), (("a", "<=", 0.5), ("b", "<=", 2.0)), (("a", "<=", 0.5), ("b", ">", 2.0)), (("a", ">", 0.5),)]
 
 
+def brute_statistics(text):
+    """The statistics of a text, in plain Python."""
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [line for line in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+    known = {form for w in STOP_WORDS for form in (w, w.capitalize())}
+    share = lambda part, whole: part / whole if whole else 0.0
+    found = lambda pattern: len(re.findall(pattern, text))
+    inside = sum(map(len, words))
+    return {
+        "log_words": math.log1p(len(words)), "word_length": share(inside, len(words)), "symbol_share": share(found(r"[#*$%&|<>]"), len(words)), "bang_share": share(found("!"), len(words)),
+        "capital_share": share(found("[A-ZÀ-ÖØ-Þ]"), inside), "digit_share": share(found("[0-9]"), inside), "punctuation_share": share(found("[.,;:?]"), len(words)), "distinct_share": share(len(set(words)), len(words)),
+        "function_word_share": share(sum(w in known for w in words), len(words)), "same_line_share": share(len(lines) - len(set(lines)), len(lines)), "words_by_line": share(len(words), len(lines)),
+    }
+
+
+def test_statistics_and_scores_equal_brute_force(spark, sf_dir):
+    """Statistics by plain Python, and every score as the logistic of the weights of the rules that hold."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(frame(spark, null_id=True).where("doc_id IS NULL OR doc_id < 100").selectExpr("doc_id + 1000000 AS doc_id", "text"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    stats = rule_ensemble.statistics(docs, "doc_id", "text")
+    rows = stats.collect()
+    for r in rows:
+        want = brute_statistics(texts[r.doc_id])
+        assert set(want) == set(stats.columns[1:])
+        assert all(r[name] == pytest.approx(x, rel=1e-12) for name, x in want.items()), r.doc_id
+    names = stats.columns[1:]
+    training = stats.join(labels, "doc_id").where("crc32(CAST(doc_id AS STRING)) % 5 <> 0").select(F.col("quality").cast("double").alias("label"), *names)
+    ensemble = rule_ensemble.fit(training, names, trees=6)
+    assert ensemble.weights
+    got = {r.doc_id: r.score for r in stats.select("doc_id", ensemble.column().alias("score")).collect()}
+    for r in rows:
+        holds = lambda rule: all(r[name] <= at if sign == "<=" else r[name] > at for name, sign, at in rule.tests)  # noqa: B023, E731
+        total = ensemble.intercept + sum(w for rule, w in ensemble.weights if holds(rule))
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-total)), rel=1e-9)
+
+
 def test_classifier_is_accurate_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")

@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from paperloom.llm import huffman, packing, token_files
-from paperloom.llm.tokens import WordEncoder
+from paperloom.llm.tokens import LONG_PIECE, WordEncoder
 
 from .cases import SCHEMA, TEXTS, frame
 
@@ -33,6 +33,42 @@ def test_word_encoder_equals_the_library(tokenizer, spark, sf_dir):
     assert at == len(ids)
 
 
+def test_every_character_in_varied_surroundings(tokenizer):
+    """Characters below U+30000 beside white space, signs, letters, digits and marks, and long pieces."""
+    rng = random.Random(8)
+    before, after = ["a ", "a", " ", "", "1", "\n ", ". ", "'", "<|"], [" a", "a", " ", "", "1", " \n", ".", "'s", "|>"]
+    points = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    texts = [rng.choice(before) + c + rng.choice(after) for c in [*points[:0x3100], *rng.sample(points, 20_000)]]
+    texts += ["x" * 300 + " y", "日本" * 200 + " z " + "é" * 500, " " * 500 + "a", " " * 500, "w" * 150_000, "see <|endoftext|> and <|x|> " * 3]
+    own = WordEncoder(PATH, max_bytes=100_000)  # which makes it forget
+    for first in range(0, len(texts), 5000):
+        part = texts[first : first + 5000]
+        ids, counts = own.encode(part)
+        ends = np.cumsum(counts)
+        for text, end, n, said in zip(part, ends.tolist(), counts.tolist(), tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            assert ids[end - n : end].tolist() == said.ids, text[:60]
+
+
+def test_the_encoder_keeps_what_it_may(tokenizer):
+    """What is kept is bounded by bytes, and long pieces and whole texts aren't kept at all."""
+    own = WordEncoder(PATH, max_bytes=200_000)
+    most = 0
+    for n in range(40):
+        own.encode([" ".join(f"word{n}x{i}" for i in range(300)), "字" * 5000 + str(n), f"<|{n} " * 200])
+        most = max(most, own.pieces.held())
+        assert all(len(p) <= LONG_PIECE for p in own.pieces.places)
+    assert most < 400_000
+
+
+def test_a_text_beyond_a_batch_and_a_block(spark, tokenizer):
+    """Texts longer than a batch of the encoder, one of them a single word, among short ones."""
+    rng = random.Random(2)
+    texts = ["short", " ".join(rng.choices(["alpha", "beta", "gamma,", "δ", "\n"], k=900_000)), "q" * 120_000, "end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_files(token_files.round_trip(docs, PATH).collect(), sorted(enumerate(texts)), tokenizer)
+    check_packed(packing.pack(docs, PATH).collect(), dict(enumerate(texts)), tokenizer)
+
+
 def whole(tokenizer, text, end):
     return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, end], dtype="<u4")
 
