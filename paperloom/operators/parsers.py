@@ -12,21 +12,24 @@ from paperloom.functions.patterns import IMPRESSION_MAX, MODES, RED_FLAGS, WS
 
 def _checked(findings: Column, normal: Column | None, *quotes: str) -> Column:
     """Adds verified to each finding and drops unverified ones. Without a document nothing is dropped and verified is null."""
-
-    def said(f: Column) -> Column:
-        hit = F.lit(False)
-        for quote in quotes:
-            hit = hit | text.contains_quote(normal, f[quote])
-        return F.when(F.coalesce(F.length(normal), F.lit(0)) > 0, hit)
-
     if normal is None:
         return F.transform(findings, lambda f: f.withField("verified", F.lit(None).cast("boolean")))
-    return F.filter(F.transform(findings, lambda f: f.withField("verified", said(f))), lambda f: F.coalesce(f["verified"], F.lit(True)))
+
+    def checked(document: Column) -> Column:
+        def said(f: Column) -> Column:
+            hit = F.lit(False)
+            for quote in quotes:
+                hit = hit | text.contains_quote(document, f[quote])
+            return F.when(F.coalesce(F.length(document), F.lit(0)) > 0, hit)
+
+        return F.filter(F.transform(findings, lambda f: f.withField("verified", said(f))), lambda f: F.coalesce(f["verified"], F.lit(True)))
+
+    return text.let(normal, checked)
 
 
 def grammar(md: Column, normal: Column | None = None) -> Column:
     """struct(error_count, quality, summary, errors); null without an overall section. normal: the normalised document."""
-    overall = section(md, "Gesamtbewertung", "Gesamtquality", "Uebersicht", "Overall Assessment", "Overall")
+    whole = section(md, "Gesamtbewertung", "Gesamtquality", "Uebersicht", "Overall Assessment", "Overall")
     listed = F.coalesce(section(md, "Fehler-Liste", "Fehlerliste", "Error List", "Errors"), F.lit(""))
 
     def error(b: Column) -> Column:
@@ -42,15 +45,19 @@ def grammar(md: Column, normal: Column | None = None) -> Column:
         )
 
     errors = F.filter(F.transform(numbered_blocks(listed), error), lambda e: e["original"].isNotNull() & e["correction"].isNotNull())
-    return F.when(
-        F.length(overall) > 0,
-        F.struct(
-            digits(F.coalesce(field(overall, "Anzahl Fehler", "Fehleranzahl", "Error Count"), F.lit("0"))).alias("error_count"),
-            F.coalesce(field(overall, "Qualitaet", "Qualität", "Quality", "Bewertung", "Note"), F.lit("Unbekannt")).alias("quality"),
-            F.coalesce(field(overall, "Kurzfassung", "Zusammenfassung", "Summary"), F.lit("")).alias("summary"),
-            _checked(errors, normal, "original", "context").alias("errors"),
-        ),
-    )
+
+    def parsed(overall: Column) -> Column:
+        return F.when(
+            F.length(overall) > 0,
+            F.struct(
+                digits(F.coalesce(field(overall, "Anzahl Fehler", "Fehleranzahl", "Error Count"), F.lit("0"))).alias("error_count"),
+                F.coalesce(field(overall, "Qualitaet", "Qualität", "Quality", "Bewertung", "Note"), F.lit("Unbekannt")).alias("quality"),
+                F.coalesce(field(overall, "Kurzfassung", "Zusammenfassung", "Summary"), F.lit("")).alias("summary"),
+                _checked(errors, normal, "original", "context").alias("errors"),
+            ),
+        )
+
+    return text.let(whole, parsed)
 
 
 def filtered_count(parsed: Column) -> Column:
@@ -151,11 +158,14 @@ def letter(block: Column, normal: Column | None = None) -> Column:
 
     Sections keep unverified excerpts and say so; coded phrases without evidence in the document go.
     """
-    parsed = F.try_parse_json(block)
+    document = normal if normal is not None else F.lit(None).cast("string")
+    return text.let(F.struct(F.try_parse_json(block).alias("parsed"), document.alias("normal")), lambda both: _letter(both["parsed"], both["normal"]))
+
+
+def _letter(parsed: Column, normal: Column) -> Column:
     content = F.coalesce(_grade(parsed, "contentGrade"), _grade(parsed, "overallGrade"))
     missing_craft = F.struct(F.lit(3).alias("grade"), F.lit(_NO_CRAFT_LABEL).alias("label"), F.lit("low").alias("confidence"), F.lit(_NO_CRAFT_REASON).alias("reasoning"))
-    has_document = F.coalesce(F.length(normal), F.lit(0)) > 0 if normal is not None else F.lit(False)
-    norm = normal if normal is not None else F.lit("")
+    has_document, norm = F.coalesce(F.length(normal), F.lit(0)) > 0, F.coalesce(normal, F.lit(""))
 
     def one_section(s: Column) -> Column:
         evidence, excerpt = jsonx.string(s, "evidence"), jsonx.string(s, "excerpt")
