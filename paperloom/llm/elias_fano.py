@@ -126,7 +126,7 @@ def mapped(arrays: list[np.ndarray]) -> list[np.ndarray]:
 
 
 #: Bits of a successor's identifier; it is looked up among its context's successors only.
-SUCCESSOR_BITS = 40
+SUCCESSOR_BITS = 32
 LEVELS = 255
 
 

@@ -1,10 +1,11 @@
 """LM scoring: a trigram model in Elias-Fano tries, one per shard, queried block by block.
 
-Words are 64-bit hashes, so no vocabulary has to be agreed on or broadcast. The work is bulk
-arrays that Spark shuffles twice:
+Words are 64-bit hashes, so no vocabulary has to be agreed on or broadcast; the successors of a
+context are told apart by 32 bits. The work is bulk arrays that Spark shuffles twice:
 
-1. Documents become blocks (written to the shared folder): the block's words, and per document its
-   words as places in that list.
+1. Documents become blocks (a table in the shared folder, bucketed by block, so that it meets the
+   answers without a shuffle of its own): the block's words, and per document its words as places
+   in that list.
 2. Each block sends every shard its distinct triples of words with their training counts, as a small
    tree. A shard is a part of all first words; first words with more than a thousandth of all tokens
    are spread over all shards by their second words, and pairs as frequent by their third, so no
@@ -22,6 +23,7 @@ and c(v w) / (c(v) + MU_2).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,6 +45,9 @@ SHARD_TOKENS = 2_000_000
 #: Words and pairs with this share of all training tokens and more are spread over all shards.
 SHARE = 0.001
 
+#: Spark refuses tables of more buckets.
+MAX_BUCKETS = 100_000
+
 #: Hashes of the two marks before a text and of its end; no word holds white space.
 FIRST, START, END = (np.uint64(xxhash.xxh64_intdigest(mark)) for mark in (b" first", b" start", b" end"))
 #: Their places in a block's words.
@@ -79,19 +84,19 @@ def _blocks(source: DataFrame, block_bytes: int) -> DataFrame:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for first, last in text_ranges(batch.column("text"), block_bytes):
-                ids, words, sizes = word_places(batch.column("text")[first:last])
-                held = batch.column("held_out")[first:last]
+        for whole in _gathered(batches, block_bytes):
+            for first, last in text_ranges(whole.column("text"), block_bytes):
+                ids, words, sizes = word_places(whole.column("text")[first:last])
+                held = whole.column("held_out")[first:last]
                 learnt = ~held.to_numpy(zero_copy_only=False).astype(bool)
                 train = np.bincount(ids[np.repeat(learnt, sizes)] + _WORDS, minlength=len(words) + _WORDS)
                 hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
                 sizes = sizes + 1
-                whole = pa.array([0, last - first], pa.int32())
-                bits = lambda values, kind: pa.array([np.ascontiguousarray(values, dtype=kind).tobytes()], pa.binary())
+                row = pa.array([0, last - first], pa.int32())
+                bits = lambda values, kind: pa.array([_packed(np.ascontiguousarray(values, dtype=kind).tobytes())], pa.binary())
                 number_of = lambda n: pa.array([int(n)], pa.int64())
                 columns = {
-                    "block": number_of((task << 32) | number), "doc_ids": pa.ListArray.from_arrays(whole, batch.column("doc_id")[first:last]), "held_out": pa.ListArray.from_arrays(whole, held),
+                    "block": number_of((task << 32) | number), "doc_ids": pa.ListArray.from_arrays(row, whole.column("doc_id")[first:last]), "held_out": bits(~learnt, "<u1"),
                     "sizes": bits(sizes, "<u4"), "low": bits((ids + _WORDS) & 0xFFFF, "<u2"), "high": bits((ids + _WORDS) >> 16, "<u2"),
                     "hashes": bits(np.concatenate([[FIRST, START, END], hashes]), "<u8"), "train": bits(train, "<u4"),
                     "train_tokens": number_of(sizes[learnt].sum()), "train_docs": number_of(learnt.sum()), "tokens": number_of(sizes.sum()),
@@ -99,14 +104,43 @@ def _blocks(source: DataFrame, block_bytes: int) -> DataFrame:
                 number += 1
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return source.mapInArrow(encoded, f"block long, doc_ids array<{kind}>, held_out array<boolean>, sizes binary, low binary, high binary, hashes binary, train binary, train_tokens long, train_docs long, tokens long")
+    return source.mapInArrow(encoded, f"block long, doc_ids array<{kind}>, held_out binary, sizes binary, low binary, high binary, hashes binary, train binary, train_tokens long, train_docs long, tokens long")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until their texts hold about `size` bytes, so that a task's blocks are full."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.column("text").nbytes
+        if n >= size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+_CODEC = pa.Codec("zstd", compression_level=3)
+
+
+def _packed(held: bytes) -> bytes:
+    """Compressed bytes behind their plain length: what shuffles and tables write of these columns is small already."""
+    return len(held).to_bytes(8, "little") + _CODEC.compress(held, asbytes=True)
+
+
+def _unpacked(held: bytes) -> bytes:
+    return _CODEC.decompress(held[8:], int.from_bytes(held[:8], "little"), asbytes=True)
 
 
 def _rows(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
-    """The rows of blocks or messages with binary columns as buffers; doc_ids stay behind."""
+    """The rows of blocks or answers, with binary columns unpacked; doc_ids stay behind."""
     columns = {name: batch.column(name) for name in batch.schema.names if name != "doc_ids"}
     for k in range(batch.num_rows):
-        yield {name: c[k].as_py() for name, c in columns.items()}
+        yield {name: _unpacked(c[k].as_py()) if pa.types.is_binary(c.type) else c[k].as_py() for name, c in columns.items()}
+
+
+def _key(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return (high.astype(np.int64) << 32) | low
 
 
 class _Sequence:
@@ -114,12 +148,12 @@ class _Sequence:
 
     def __init__(self, row: dict):
         self.hashes, self.sizes = np.frombuffer(row["hashes"], dtype="<u8"), np.frombuffer(row["sizes"], dtype="<u4").astype(np.int64)
-        self.held = np.array(row["held_out"], dtype=bool)
-        ids = np.frombuffer(row["low"], dtype="<u2").astype(np.int64) | (np.frombuffer(row["high"], dtype="<u2").astype(np.int64) << 16)
+        self.held = np.frombuffer(row["held_out"], dtype="<u1").astype(bool)
+        ids = np.frombuffer(row["low"], dtype="<u2").astype(np.int32) | (np.frombuffer(row["high"], dtype="<u2").astype(np.int32) << 16)
         # first, start, the words, end, end.
         after = np.cumsum(self.sizes + 3)
         before = after - self.sizes - 3
-        line = np.full(int(after[-1]) if len(after) else 0, -1, dtype=np.int64)
+        line = np.full(int(after[-1]) if len(after) else 0, -1, dtype=np.int32)
         line[before], line[before + 1], line[after - 1], line[after - 2] = _FIRST, _START, _END, _END
         line[line < 0] = ids
         self.begins = before - 2 * np.arange(len(before))
@@ -133,10 +167,10 @@ class _Sequence:
 
     def fold(self) -> None:
         """Finds the distinct pairs (pair_u, pair_v) and triples (triple_pair, triple_w), and those of each token."""
-        pairs, self.pair_of = np.unique((self.u << 32) | self.v, return_inverse=True)
-        self.pair_u, self.pair_v = pairs >> 32, pairs & 0xFFFFFFFF
-        triples, self.triple_of = np.unique((self.pair_of << 32) | self.w, return_inverse=True)
-        self.triple_pair, self.triple_w = triples >> 32, triples & 0xFFFFFFFF
+        pairs, self.pair_of = np.unique(_key(self.u, self.v), return_inverse=True)
+        self.pair_u, self.pair_v = (pairs >> 32).astype(np.int32), pairs.astype(np.int32)
+        triples, self.triple_of = np.unique(_key(self.pair_of, self.w), return_inverse=True)
+        self.triple_pair, self.triple_w = (triples >> 32).astype(np.int32), triples.astype(np.int32)
 
 
 @dataclass(frozen=True)
@@ -154,7 +188,7 @@ class _Frequent:
         members = np.array(sorted({h for pair in self.pairs for h in pair}), dtype=np.uint64)
         place = {int(hashes[k]): int(k) for k in np.flatnonzero(np.isin(hashes, members))}
         wanted = np.array(sorted((place[a] << 32) | place[b] for a, b in self.pairs if a in place and b in place), dtype=np.int64)
-        return np.isin((u << 32) | v, wanted)
+        return np.isin(_key(u, v), wanted)
 
 
 class _Routes:
@@ -195,8 +229,8 @@ def _wide(held: bytes, n: int) -> np.ndarray:
     return np.frombuffer(held, dtype=f"<u{len(held) // n if n else 1}").astype(np.int64)
 
 
-_MESSAGE = "shard int, block long, n_words int, n_pairs int, n_triples int, words binary, pairs_of_word binary, pair_low binary, pair_high binary, triples_of_pair binary, triple_low binary, triple_high binary, counts binary"
-_MESSAGE_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("n_words", pa.int32()), ("n_pairs", pa.int32()), ("n_triples", pa.int32())] + [(n, pa.binary()) for n in ("words", "pairs_of_word", "pair_low", "pair_high", "triples_of_pair", "triple_low", "triple_high", "counts")])
+_MESSAGE = "shard int, block long, n_words int, n_pairs int, n_triples int, words binary, pairs_of_word binary, pairs binary, triples_of_pair binary, triples binary, counts binary"
+_MESSAGE_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("n_words", pa.int32()), ("n_pairs", pa.int32()), ("n_triples", pa.int32())] + [(n, pa.binary()) for n in ("words", "pairs_of_word", "pairs", "triples_of_pair", "triples", "counts")])
 _ANSWER = "block long, shard int, totals binary, pair_codes binary, rest_codes binary, triple_codes binary, ends array<double>"
 _ANSWER_ARROW = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("totals", pa.binary()), ("pair_codes", pa.binary()), ("rest_codes", pa.binary()), ("triple_codes", pa.binary()), ("ends", pa.list_(pa.float64()))])
 
@@ -209,20 +243,25 @@ def _messages(shards: int, frequent: _Frequent):
                 block.fold()
                 counts = np.bincount(block.triple_of[block.learnt], minlength=len(block.triple_w))
                 routes = _Routes(block, shards, frequent)
-                second, third = block.hashes[block.pair_v[routes.pair]] & _LOW, block.hashes[block.triple_w[routes.order]] & _LOW
-                split = lambda ids: ((ids & np.uint64(0xFFFFFFFF)).astype("<u4"), (ids >> np.uint64(32)).astype("<u1"))
-                (pair_low, pair_high), (triple_low, triple_high), counts = split(second), split(third), counts[routes.order]
+                ids = (block.hashes & _LOW).astype("<u4")
+                second, third, counts = ids[block.pair_v[routes.pair]], ids[block.triple_w[routes.order]], counts[routes.order]
                 yield pa.RecordBatch.from_pylist([
                     {
                         "shard": s, "block": row["block"], "n_words": a.stop - a.start, "n_pairs": b.stop - b.start, "n_triples": c.stop - c.start,
-                        "words": block.hashes[routes.word[a]].tobytes(), "pairs_of_word": _narrow(routes.pairs_of_word[a]), "pair_low": pair_low[b].tobytes(), "pair_high": pair_high[b].tobytes(),
-                        "triples_of_pair": _narrow(routes.triples_of_pair[b]), "triple_low": triple_low[c].tobytes(), "triple_high": triple_high[c].tobytes(), "counts": _narrow(counts[c]),
+                        "words": block.hashes[routes.word[a]].tobytes(), "pairs_of_word": _packed(_narrow(routes.pairs_of_word[a])), "pairs": _packed(second[b].tobytes()),
+                        "triples_of_pair": _packed(_narrow(routes.triples_of_pair[b])), "triples": _packed(third[c].tobytes()), "counts": _packed(_narrow(counts[c])),
                     } for s, a, b, c in routes.parts()
                 ], schema=_MESSAGE_ARROW)
 
     return send
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with an inverse of 32 bits."""
+    found, inverse = np.unique(keys, return_inverse=True)
+    return found, inverse.astype(np.int32)
+
+
 class Shard:
     """Adds up the trees of a shard's messages, and holds the trie of what was learnt."""
 
@@ -231,8 +270,8 @@ class Shard:
         key = lambda rank, ids: (rank.astype(np.uint64) << bits) | ids
         parts = lambda keys: ((keys >> bits).astype(np.int64), keys & _LOW)
         self.words, self.word_of = np.unique(words, return_inverse=True)
-        pairs, self.pair_of = np.unique(key(np.repeat(self.word_of, pairs_of_word), pair_ids), return_inverse=True)
-        triples, self.triple_of = np.unique(key(np.repeat(self.pair_of, triples_of_pair), triple_ids), return_inverse=True)
+        pairs, self.pair_of = _distinct(key(np.repeat(self.word_of, pairs_of_word), pair_ids))
+        triples, self.triple_of = _distinct(key(np.repeat(self.pair_of, triples_of_pair), triple_ids))
         (word, second), (pair, third) = parts(pairs), parts(triples)
         of_triple = np.bincount(self.triple_of, weights=counts, minlength=len(triples)).astype(np.int64)
         of_pair = np.bincount(pair, weights=of_triple, minlength=len(pairs)).astype(np.int64)
@@ -261,17 +300,19 @@ class Shard:
 def _answers(frequent: _Frequent, levels: int):
     def answer(rows: pa.Table) -> pa.Table:
         n_words, n_pairs, n_triples = (rows.column(n).to_numpy() for n in ("n_words", "n_pairs", "n_triples"))
-        held = {n: rows.column(n).to_pylist() for n in ("words", "pairs_of_word", "pair_low", "pair_high", "triples_of_pair", "triple_low", "triple_high", "counts")}
+        held = {n: [_unpacked(b) for b in rows.column(n).to_pylist()] for n in ("pairs_of_word", "pairs", "triples_of_pair", "triples", "counts")}
+        held["words"] = rows.column("words").to_pylist()
         joined = lambda name, kind: np.frombuffer(b"".join(held[name]), dtype=kind)
         narrow = lambda name, sizes: np.concatenate([_wide(b, n) for b, n in zip(held[name], sizes.tolist(), strict=True)])
-        ids = lambda name: joined(f"{name}_low", "<u4").astype(np.uint64) | (joined(f"{name}_high", "<u1").astype(np.uint64) << np.uint64(32))
-        shard = Shard(joined("words", "<u8"), narrow("pairs_of_word", n_words), ids("pair"), narrow("triples_of_pair", n_pairs), ids("triple"), narrow("counts", n_triples), frequent, levels)
+        ids = lambda name: joined(name, "<u4").astype(np.uint64)
+        shard = Shard(joined("words", "<u8"), narrow("pairs_of_word", n_words), ids("pairs"), narrow("triples_of_pair", n_pairs), ids("triples"), narrow("counts", n_triples), frequent, levels)
+        held.clear()
         ends = [x for pair in shard.trie.ends for x in pair]
         totals, pair, rest, triple = shard.totals[shard.word_of], shard.pair_codes[shard.pair_of], shard.rest_codes[shard.pair_of], shard.triple_codes[shard.triple_of]
         a, b, c = (np.concatenate([[0], np.cumsum(n)]).tolist() for n in (n_words, n_pairs, n_triples))
         blocks, number = rows.column("block").to_pylist(), rows.column("shard").to_pylist()
         return pa.Table.from_pylist([
-            {"block": blocks[i], "shard": number[i], "totals": _narrow(totals[a[i] : a[i + 1]]), "pair_codes": pair[b[i] : b[i + 1]].tobytes(), "rest_codes": rest[b[i] : b[i + 1]].tobytes(), "triple_codes": triple[c[i] : c[i + 1]].tobytes(), "ends": ends}
+            {"block": blocks[i], "shard": number[i], "totals": _packed(_narrow(totals[a[i] : a[i + 1]])), "pair_codes": _packed(pair[b[i] : b[i + 1]].tobytes()), "rest_codes": _packed(rest[b[i] : b[i + 1]].tobytes()), "triple_codes": _packed(triple[c[i] : c[i + 1]].tobytes()), "ends": ends}
             for i in range(len(blocks))
         ], schema=_ANSWER_ARROW)
 
@@ -326,7 +367,7 @@ def _frequent(blocks: DataFrame, n: int, docs: int) -> _Frequent:
         def counted(row: dict) -> tuple[np.ndarray, np.ndarray]:
             block = _Sequence(row)
             mark = np.isin(block.hashes.view(np.int64), words)[block.u] & block.learnt
-            pairs, found = np.unique((block.u[mark] << 32) | block.v[mark], return_counts=True)
+            pairs, found = np.unique(_key(block.u[mark], block.v[mark]), return_counts=True)
             return np.stack([block.hashes[pairs >> 32], block.hashes[pairs & 0xFFFFFFFF]], axis=1).view(np.int64).reshape(-1, 2), found
 
         return counted
@@ -383,10 +424,15 @@ def lm_score(
     source = docs.selectExpr(f"`{id_col}` AS doc_id", f"CAST(`{text_col}` AS STRING) AS text").selectExpr("doc_id", "text", f"{held_out} AS held_out")
     id_type = source.schema["doc_id"].dataType.simpleString()
     kept = scratch_path(spark, "lm-blocks")
-    blocks = written(_blocks(source, block_bytes), "lm-blocks", kept)
+    made = _blocks(source, block_bytes)
+    # A bucket per input partition, as far as Spark lets tables have them.
+    buckets = min(max(1, made.rdd.getNumPartitions()), MAX_BUCKETS)
+    name = f"lm_blocks_{uuid.uuid4().hex}"
+    made.write.option("compression", "zstd").option("path", kept).bucketBy(buckets, "block").saveAsTable(name)
+    blocks = spark.table(name)
 
     sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("train_tokens", "train_docs", "tokens")]
-    n, n_docs, tokens, n_blocks = blocks.agg(*sums, F.count("*")).first()
+    n, n_docs, tokens = blocks.agg(*sums).first()
     # Distinct training words and the end token.
     vocabulary = blocks.select("hashes", "train").mapInArrow(_trained, "hash long").distinct().count() + (n_docs > 0)
     frequent = _frequent(blocks, n, n_docs)
@@ -395,10 +441,10 @@ def lm_score(
     shards = max(spark.sparkContext.defaultParallelism, -(-tokens // shard_tokens))
     messages = blocks.select("block", "held_out", "sizes", "low", "high", "hashes").mapInArrow(_messages(shards, frequent), _MESSAGE)
     answers = messages.repartition(shards, "shard").groupBy("shard").applyInArrow(_answers(frequent, levels), _ANSWER)
-    reducers = max(1, n_blocks)
-    asked = blocks.select("block", "doc_ids", "held_out", "sizes", "low", "high", "hashes").repartition(reducers, "block").groupBy("block")
+    asked = blocks.select("block", "doc_ids", "held_out", "sizes", "low", "high", "hashes").groupBy("block")
     total = _summed(shards, frequent, n, n_docs, vocabulary, levels)
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    rows = written(asked.cogroup(answers.repartition(reducers, "block").groupBy("block")).applyInArrow(total, schema), "lm-sums")
+    rows = written(asked.cogroup(answers.repartition(buckets, "block").groupBy("block")).applyInArrow(total, schema), "lm-sums")
+    spark.sql(f"DROP TABLE {name}")
     drop_table(spark, kept)
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
