@@ -19,9 +19,9 @@ import regex
 from tokenizers import Tokenizer
 
 #: A worker forgets its pieces when they hold about so many bytes, so its memory stays bounded.
-MAX_BYTES = 200_000_000
+MAX_BYTES = 160_000_000
 #: Bytes of text that are encoded at a time; a longer text is encoded on its own.
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 4_000_000
 #: Longer pieces (in bytes) hardly come back: they are encoded and not kept.
 LONG_PIECE = 128
 
