@@ -437,10 +437,10 @@ def lm_score(
     vocabulary = blocks.select("hashes", "train").mapInArrow(_trained, "hash long").distinct().count() + (n_docs > 0)
     frequent = _frequent(blocks, n, n_docs)
 
-    # Shards and reducers grow with the tokens.
+    # Shards and reducers grow with the tokens, a shard to a reducer.
     shards = max(spark.sparkContext.defaultParallelism, -(-tokens // shard_tokens))
     messages = blocks.select("block", "held_out", "sizes", "low", "high", "hashes").mapInArrow(_messages(shards, frequent), _MESSAGE)
-    answers = messages.repartition(shards, "shard").groupBy("shard").applyInArrow(_answers(frequent, levels), _ANSWER)
+    answers = messages.repartitionById(shards, "shard").groupBy("shard").applyInArrow(_answers(frequent, levels), _ANSWER)
     asked = blocks.select("block", "doc_ids", "held_out", "sizes", "low", "high", "hashes").groupBy("block")
     total = _summed(shards, frequent, n, n_docs, vocabulary, levels)
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
