@@ -17,6 +17,11 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text_of(text), f"[{SPACE}]+", " ")
 
 
+def _digest(t: Column) -> Column:
+    """Never null, and said so: else the optimizer guards joins by a second pass over the texts."""
+    return F.coalesce(F.sha2(t, 256), F.lit(""))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -26,7 +31,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     with equal hashes but different bytes are different classes.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("t"))
-    key = F.unhex(F.md5("t")).alias("content_key")
+    key = F.coalesce(F.unhex(F.md5("t")), F.lit(b"")).alias("content_key")
 
     # Copies fold inside each partition before the shuffle, so a hot group is a row per partition, not its rows.
     classes = (
@@ -34,10 +39,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .groupBy("content_key", "t")
         .agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .where("group_size > 1")
-        .select("content_key", F.sha2("t", 256).alias("text_sha256"), "keep_id", "group_size", F.lit(True).alias("shared"))
+        .select("content_key", _digest(F.col("t")).alias("text_sha256"), "keep_id", "group_size", F.lit(True).alias("shared"))
     )
     copies = Window.partitionBy("doc_id", "content_key", "text_sha256").orderBy("doc_id")
-    rows = source.select("doc_id", key, F.sha2("t", 256).alias("text_sha256")).withColumn("copy", F.row_number().over(copies))
+    rows = source.select("doc_id", key, _digest(F.col("t")).alias("text_sha256")).withColumn("copy", F.row_number().over(copies))
     keep = F.when(F.col("shared"), F.col("keep_id")).otherwise(F.col("doc_id"))
     return rows.join(classes, ["content_key", "text_sha256"], "left").select(
         "doc_id",
@@ -51,13 +56,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row of docs that stays of each class, with all its columns.
 
-    Rows meet their verdict by id and digest; of rows that repeat both, one passes.
+    Rows meet their verdict by id and digest, in one key, by which they are shuffled once; of rows
+    that repeat both, one passes.
     """
-    keep = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_digest"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"), F.sha2(normalised(F.col(text_col)), 256).alias("row_digest"))
-    same = F.col("row_id").eqNullSafe(F.col("kept_id")) & (F.col("row_digest") == F.col("kept_digest"))
-    repeats = Window.partitionBy("row_id", "row_digest").orderBy("row_id")
-    return rows.join(keep, same, "left_semi").withColumn("repeat", F.row_number().over(repeats)).where("repeat = 1").select("row.*")
+
+    def key(doc_id: Column, digest: Column) -> Column:
+        """Equal for rows that repeat both, never null."""
+        return F.coalesce(F.concat(digest, F.coalesce(F.concat(F.lit(":"), doc_id.cast("string")), F.lit(""))), F.lit(""))
+
+    keep = exact_dedup(docs, id_col, text_col).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("row_key"))
+    rows = docs.select(F.struct("*").alias("row"), key(F.col(f"`{id_col}`"), _digest(normalised(F.col(f"`{text_col}`")))).alias("row_key"))
+    repeats = Window.partitionBy("row_key").orderBy("row_key")
+    return rows.join(keep, "row_key", "left_semi").withColumn("repeat", F.row_number().over(repeats)).where("repeat = 1").select("row.*")
 
 
 ORACLE_SQL = f"""

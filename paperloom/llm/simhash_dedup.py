@@ -82,7 +82,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _row_key(id_col: str, text_col: str) -> Column:
     """The digest of the text (null as empty), then the id unless it is null: equal for rows that repeat both, never null."""
-    return F.concat(F.sha2(text_of(F.col(f"`{text_col}`")), 256), F.coalesce(F.concat(F.lit(":"), F.col(f"`{id_col}`").cast("string")), F.lit("")))
+    key = F.concat(F.sha2(text_of(F.col(f"`{text_col}`")), 256), F.coalesce(F.concat(F.lit(":"), F.col(f"`{id_col}`").cast("string")), F.lit("")))
+    # Said to be never null, it needs no guard in joins, which would take the digests twice.
+    return F.coalesce(key, F.lit(""))
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_keys: bool = False) -> DataFrame:
