@@ -16,6 +16,7 @@ from . import quality_rules as _rules
 from . import rule_ensemble as _ensemble
 from . import secret_scan as _secrets
 from . import simhash_dedup as _simhash
+from . import token_count as _counts
 from . import token_files as _tokens
 from . import url_filter as _urls
 from .common import table
@@ -61,8 +62,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _secrets.find_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_classifier, op2_quality_rules, op3_lm_score, op4_mixing, op5_url_filters, op6_simhash_dedup, op7_packing, op8_token_files, op9_exact_dedup, op10_secret_scan)
+    found = (op1_quality_classifier, op2_quality_rules, op3_lm_score, op4_mixing, op5_url_filters, op6_simhash_dedup, op7_packing, op8_token_files, op9_exact_dedup, op10_secret_scan, op11_token_count)
     return {f.__name__: f for f in found}
 
 
