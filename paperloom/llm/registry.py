@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
+from . import conversation_repair as _repair
 from . import exact_dedup as _dedup
 from . import fill_middle as _middle
 from . import lm_score as _lm
@@ -67,12 +68,16 @@ def op11_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repair.repair(_repair.damaged(table(spark, sf_dir, "conversations")), "copies")
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _middle.digests(_middle.fill_in_middle(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_classifier, op2_quality_rules, op3_lm_score, op4_mixing, op5_url_filters, op6_simhash_dedup, op7_packing, op8_token_files, op9_exact_dedup, op10_secret_scan, op11_token_count, op13_fill_middle)
+    found = (op1_quality_classifier, op2_quality_rules, op3_lm_score, op4_mixing, op5_url_filters, op6_simhash_dedup, op7_packing, op8_token_files, op9_exact_dedup, op10_secret_scan, op11_token_count, op12_conversation_repair, op13_fill_middle)
     return {f.__name__: f for f in found}
 
 
