@@ -1,9 +1,11 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from itertools import combinations
 from pyspark.sql import functions as F
@@ -171,6 +173,80 @@ def test_token_efficiency_finds_keys_without_digits_and_keys_in_paths():
         assert spans(text) == [], text
 
 
+def brute_random(text, count):
+    """All random spans by the rules as README and the module state them: character by character, every pair of spans compared."""
+    base, spans = brute_base(text), []
+    free = lambda a, b: all(b <= c or d <= a for c, _, d in base)
+    solid = lambda s: 10 * sum(c.isascii() and c.isalnum() for c in s) >= 8 * len(s)
+    uuid, stamp = r"[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}", r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T_-]?[0-9]{0,9}(Z|[+-][0-9]{2,4})?"
+    digest = lambda s: len(s) in (32, 40, 56, 64, 96, 128) and (set(s) <= set("0123456789abcdef") or set(s) <= set("0123456789ABCDEF"))
+
+    def tells(a, b):
+        s = text[a:b]
+        known = digest(s) or not any(c.isalpha() for c in s) or re.fullmatch(uuid, s) or re.fullmatch(f"{stamp}([/_-]{stamp})?", s)
+        dense = len(s) / count(s) <= 2 if any(c.isdigit() for c in s) else len(s) / count(s) <= 1.8 and solid(s)
+        return len(s) >= 16 and free(a, b) and dense and not known
+
+    letters = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+    start = 0
+    while start < len(text):
+        end = start
+        while end < len(text) and text[end] in letters:
+            end += 1
+        if end - start >= 16:
+            if tells(start, end):
+                spans.append((start, end))
+            else:
+                groups, group, at = [], [], start
+                while at < end:
+                    told = re.match(uuid + "(?![A-Za-z0-9+])", text[at:end])
+                    stop = at + told.end() if told else at
+                    while not told and stop < end and text[stop] not in "/_=-":
+                        stop += 1
+                    if stop == at:
+                        at += 1
+                        continue
+                    part = text[at:stop]
+                    if not told and not digest(part) and len(part) / count(part) <= 2:
+                        group.append((at, stop))
+                    else:
+                        groups.append(group)
+                        group = []
+                    at = stop
+                for g in [*groups, group]:
+                    if g and solid(text[g[0][0] : g[-1][1]]) and tells(g[0][0], g[-1][1]):
+                        spans.append((g[0][0], g[-1][1]))
+                    elif len(g) > 1:
+                        spans += [p for p in g if tells(*p)]
+        start = end + 1
+    return sorted(base + [(a, 3, b) for a, b in spans])
+
+
+def test_all_spans_equal_a_second_implementation(sf_dir):
+    count = secret_scan.token_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(8)
+    key = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    bits = [lambda: key(rng.randint(1, 40)), lambda: rng.choice(["/", "_", "=", "-", "+", " ", ".", "é", "token=", "documents", "session", "2024-01-02", "123e4567-e89b-12d3-a456-426614174000", "d41d8cd98f00b204e9800998ecf8427e", "AKIA", "secret: "])]
+    texts = ["".join(rng.choice(bits)() for _ in range(rng.randint(1, 16))) for _ in range(3000)]
+    texts += [r["text"] for r in pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"]).to_pylist()]
+    hits = 0
+    for text in texts:
+        spans = secret_scan.scan(text, count)
+        assert spans == brute_random(text, count), text
+        hits += sum(s[1] == 3 for s in spans)
+    assert hits > 1000
+
+
+def test_a_text_with_very_many_findings_takes_time_in_proportion():
+    count = secret_scan.token_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(9)
+    key = lambda: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=24))
+    text = "".join(f"token=abcdef1 see {key()} " for _ in range(25_000))
+    began = time.process_time()
+    assert len(secret_scan.scan(text, count)) > 49_000
+    assert time.process_time() - began < 10  # comparing all with all would take minutes
+
+
 def test_secrets_on_edge_cases(spark):
     out = secret_scan.find_secrets(frame(spark, null_id=True), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     assert out.count() == frame(spark, null_id=True).count()
