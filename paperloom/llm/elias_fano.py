@@ -127,19 +127,24 @@ def mapped(arrays: list[np.ndarray]) -> list[np.ndarray]:
 
 #: Bits of a successor's identifier; it is looked up among its context's successors only.
 SUCCESSOR_BITS = 32
-LEVELS = 255
+LEVELS = 65_535
 
 
-def quantised(values: np.ndarray, levels: int = LEVELS) -> tuple[np.ndarray, tuple[float, float]]:
-    """The place of each positive value in a codebook of `levels` entries evenly spaced in the logarithm, from 1; and its ends."""
-    logs = np.log10(values)
-    low, high = (float(logs.min()), float(logs.max())) if len(logs) else (0.0, 0.0)
-    return (np.rint((logs - low) / ((high - low) / (levels - 1) or 1)) + 1).astype(np.uint8 if levels < 256 else np.uint16), (low, high)
+def _scale(logs: np.ndarray | tuple[float, float]) -> np.ndarray:
+    """The square root of the negative logarithm: steps are finer where probabilities come near 1."""
+    return np.sqrt(np.maximum(0.0, -np.asarray(logs)))
+
+
+def quantised(values: np.ndarray, ends: tuple[float, float], levels: int = LEVELS) -> np.ndarray:
+    """The place, from 1, of each probability above 0 in a codebook of `levels` entries, evenly spaced on the scale between the logarithms `ends`."""
+    first, last = _scale(ends)
+    place = np.rint((_scale(np.log10(values)) - first) / ((last - first) / (levels - 1) or 1))
+    return (np.clip(place, 0, levels - 1) + 1).astype(np.uint8 if levels < 256 else np.uint16)
 
 
 def codebook(ends: tuple[float, float], nothing: float, levels: int = LEVELS) -> np.ndarray:
     """The value of each code; code 0 is `nothing`."""
-    return np.concatenate([[nothing], 10 ** np.linspace(*ends, levels)])
+    return np.concatenate([[nothing], 10 ** -(np.linspace(*_scale(ends), levels) ** 2)])
 
 
 class _Level:
@@ -181,13 +186,13 @@ class Trie:
     shorter contexts; a triple holds the code of its probability.
     """
 
-    def __init__(self, words: np.ndarray, pair_word: np.ndarray, pair_ids: np.ndarray, triple_pair: np.ndarray, triple_ids: np.ndarray, pair_p: np.ndarray, pair_rest: np.ndarray, triple_p: np.ndarray, levels: int = LEVELS):
-        """words ascending; one entry per pair and per triple, ascending by (rank in the level above, identifier)."""
+    def __init__(self, words: np.ndarray, pair_word: np.ndarray, pair_ids: np.ndarray, triple_pair: np.ndarray, triple_ids: np.ndarray, pair_p: np.ndarray, pair_rest: np.ndarray, triple_p: np.ndarray, ends: list[tuple[float, float]], levels: int = LEVELS):
+        """words ascending; one entry per pair and per triple, ascending by (rank in the level above, identifier). ends: of the three codebooks."""
         one = EliasFano.of(words >> _ONE, 1 << 63)
         self.pairs, self.triples = _Level(len(words), pair_word, pair_ids), _Level(len(pair_ids), triple_pair, triple_ids)
-        coded = [quantised(v, levels) for v in (pair_p, pair_rest, triple_p)]
-        self.ends = [e for _, e in coded]
-        arrays = iter(mapped([*one.arrays(), *self.pairs.arrays(), *self.triples.arrays(), *[c for c, _ in coded]]))
+        coded = [quantised(v, e, levels) for v, e in zip((pair_p, pair_rest, triple_p), ends, strict=True)]
+        self.ends = ends
+        arrays = iter(mapped([*one.arrays(), *self.pairs.arrays(), *self.triples.arrays(), *coded]))
         self.words = EliasFano(one.n, one.low_bits, next(arrays), next(arrays))
         self.pairs.place(arrays)
         self.triples.place(arrays)

@@ -18,7 +18,8 @@ The model is p(w | u v) = (c(u v w) + MU_3 p(w | v)) / (c(u v) + MU_3), with
 p(w | v) = (c(v w) + MU_2 p(w)) / (c(v) + MU_2) and p(w) = (c(w) + 1) / (N + V + 1): Dirichlet priors
 round the next shorter context. V is counted over all blocks. Texts start with two marks and end with
 one, so each token has two words before it. Codes hold c(u v w) / (c(u v) + MU_3), MU_3 / (c(u v) + MU_3)
-and c(v w) / (c(v) + MU_2).
+and c(v w) / (c(v) + MU_2), in codebooks whose ends follow from N alone: a score doesn't depend on how
+blocks and shards are laid out.
 """
 
 from __future__ import annotations
@@ -231,8 +232,24 @@ def _wide(held: bytes, n: int) -> np.ndarray:
 
 _MESSAGE = "shard int, block long, n_words int, n_pairs int, n_triples int, words binary, pairs_of_word binary, pairs binary, triples_of_pair binary, triples binary, counts binary"
 _MESSAGE_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("n_words", pa.int32()), ("n_pairs", pa.int32()), ("n_triples", pa.int32())] + [(n, pa.binary()) for n in ("words", "pairs_of_word", "pairs", "triples_of_pair", "triples", "counts")])
-_ANSWER = "block long, shard int, totals binary, pair_codes binary, rest_codes binary, triple_codes binary, ends array<double>"
-_ANSWER_ARROW = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("totals", pa.binary()), ("pair_codes", pa.binary()), ("rest_codes", pa.binary()), ("triple_codes", pa.binary()), ("ends", pa.list_(pa.float64()))])
+_ANSWER = "block long, shard int, totals binary, pair_codes binary, rest_codes binary, triple_codes binary"
+_ANSWER_ARROW = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("totals", pa.binary()), ("pair_codes", pa.binary()), ("rest_codes", pa.binary()), ("triple_codes", pa.binary())])
+
+
+def codebook_ends(tokens: int) -> list[tuple[float, float]]:
+    """The logarithms between which the probabilities of pairs, the weights they leave and the probabilities of triples lie: every count is 1 to the number of training tokens."""
+    most = max(1, tokens)
+    return [tuple(float(np.log10(x)) for x in ends) for ends in ((1 / (most + MU_2), most / (most + MU_2)), (MU_3 / (most + MU_3), MU_3 / (1 + MU_3)), (1 / (most + MU_3), most / (most + MU_3)))]
+
+
+def _planes(codes: np.ndarray) -> bytes:
+    """Codes byte by byte, all low bytes first, which pack better."""
+    return np.ascontiguousarray(codes.view(np.uint8).reshape(len(codes), -1).T).tobytes()
+
+
+def _codes(held: bytes, levels: int) -> np.ndarray:
+    width = 1 if levels < 256 else 2
+    return np.ascontiguousarray(np.frombuffer(held, dtype=np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
 def _messages(shards: int, frequent: _Frequent):
@@ -265,7 +282,7 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Shard:
     """Adds up the trees of a shard's messages, and holds the trie of what was learnt."""
 
-    def __init__(self, words: np.ndarray, pairs_of_word: np.ndarray, pair_ids: np.ndarray, triples_of_pair: np.ndarray, triple_ids: np.ndarray, counts: np.ndarray, frequent: _Frequent, levels: int = LEVELS):
+    def __init__(self, words: np.ndarray, pairs_of_word: np.ndarray, pair_ids: np.ndarray, triples_of_pair: np.ndarray, triple_ids: np.ndarray, counts: np.ndarray, frequent: _Frequent, tokens: int, levels: int = LEVELS):
         bits = np.uint64(SUCCESSOR_BITS)
         key = lambda rank, ids: (rank.astype(np.uint64) << bits) | ids
         parts = lambda keys: ((keys >> bits).astype(np.int64), keys & _LOW)
@@ -290,14 +307,14 @@ class Shard:
         new_word, new_pair = np.cumsum(known_word) - 1, np.cumsum(known_pair) - 1
         self.trie = Trie(
             self.words[known_word], new_word[word[known_pair]], second[known_pair], new_pair[pair[known]], third[known],
-            of_pair[known_pair] / (self.totals[word[known_pair]] + MU_2), MU_3 / (of_pair[known_pair] + MU_3), of_triple[known] / (of_pair[pair[known]] + MU_3), levels,
+            of_pair[known_pair] / (self.totals[word[known_pair]] + MU_2), MU_3 / (of_pair[known_pair] + MU_3), of_triple[known] / (of_pair[pair[known]] + MU_3), codebook_ends(tokens), levels,
         )
         at_pair = self.trie.pairs.find(self.trie.rank(self.words)[word], second)
         at_triple = self.trie.triples.find(at_pair[pair], third)
         self.pair_codes, self.rest_codes, self.triple_codes = self.trie.code(0, at_pair), self.trie.code(1, at_pair), self.trie.code(2, at_triple)
 
 
-def _answers(frequent: _Frequent, levels: int):
+def _answers(frequent: _Frequent, tokens: int, levels: int):
     def answer(rows: pa.Table) -> pa.Table:
         n_words, n_pairs, n_triples = (rows.column(n).to_numpy() for n in ("n_words", "n_pairs", "n_triples"))
         held = {n: [_unpacked(b) for b in rows.column(n).to_pylist()] for n in ("pairs_of_word", "pairs", "triples_of_pair", "triples", "counts")}
@@ -305,14 +322,13 @@ def _answers(frequent: _Frequent, levels: int):
         joined = lambda name, kind: np.frombuffer(b"".join(held[name]), dtype=kind)
         narrow = lambda name, sizes: np.concatenate([_wide(b, n) for b, n in zip(held[name], sizes.tolist(), strict=True)])
         ids = lambda name: joined(name, "<u4").astype(np.uint64)
-        shard = Shard(joined("words", "<u8"), narrow("pairs_of_word", n_words), ids("pairs"), narrow("triples_of_pair", n_pairs), ids("triples"), narrow("counts", n_triples), frequent, levels)
+        shard = Shard(joined("words", "<u8"), narrow("pairs_of_word", n_words), ids("pairs"), narrow("triples_of_pair", n_pairs), ids("triples"), narrow("counts", n_triples), frequent, tokens, levels)
         held.clear()
-        ends = [x for pair in shard.trie.ends for x in pair]
         totals, pair, rest, triple = shard.totals[shard.word_of], shard.pair_codes[shard.pair_of], shard.rest_codes[shard.pair_of], shard.triple_codes[shard.triple_of]
         a, b, c = (np.concatenate([[0], np.cumsum(n)]).tolist() for n in (n_words, n_pairs, n_triples))
         blocks, number = rows.column("block").to_pylist(), rows.column("shard").to_pylist()
         return pa.Table.from_pylist([
-            {"block": blocks[i], "shard": number[i], "totals": _packed(_narrow(totals[a[i] : a[i + 1]])), "pair_codes": _packed(pair[b[i] : b[i + 1]].tobytes()), "rest_codes": _packed(rest[b[i] : b[i + 1]].tobytes()), "triple_codes": _packed(triple[c[i] : c[i + 1]].tobytes()), "ends": ends}
+            {"block": blocks[i], "shard": number[i], "totals": _packed(_narrow(totals[a[i] : a[i + 1]])), "pair_codes": _packed(_planes(pair[b[i] : b[i + 1]])), "rest_codes": _packed(_planes(rest[b[i] : b[i + 1]])), "triple_codes": _packed(_planes(triple[c[i] : c[i + 1]]))}
             for i in range(len(blocks))
         ], schema=_ANSWER_ARROW)
 
@@ -321,7 +337,7 @@ def _answers(frequent: _Frequent, levels: int):
 
 def _summed(shards: int, frequent: _Frequent, n: int, docs: int, vocabulary: int, levels: int):
     """Sums over documents."""
-    code = np.uint8 if levels < 256 else np.uint16
+    books = [codebook(ends, nothing, levels) for ends, nothing in zip(codebook_ends(n), (0.0, 1.0, 0.0), strict=True)]
 
     def total(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         # Each group is one block.
@@ -332,11 +348,11 @@ def _summed(shards: int, frequent: _Frequent, n: int, docs: int, vocabulary: int
         count = np.zeros(len(block.hashes), dtype=np.int64)
         pair, rest, triple = np.zeros(len(block.pair_u)), np.ones(len(block.pair_u)), np.zeros(len(block.triple_w))
         for s, a, b, c in routes.parts():
-            row, ends = said[s], said[s]["ends"]
+            row = said[s]
             count[routes.word[a]] = _wide(row["totals"], a.stop - a.start)
-            pair[routes.pair[b]] = codebook(ends[0:2], 0.0, levels)[np.frombuffer(row["pair_codes"], dtype=code)]
-            rest[routes.pair[b]] = codebook(ends[2:4], 1.0, levels)[np.frombuffer(row["rest_codes"], dtype=code)]
-            triple[routes.order[c]] = codebook(ends[4:6], 0.0, levels)[np.frombuffer(row["triple_codes"], dtype=code)]
+            pair[routes.pair[b]] = books[0][_codes(row["pair_codes"], levels)]
+            rest[routes.pair[b]] = books[1][_codes(row["rest_codes"], levels)]
+            triple[routes.order[c]] = books[2][_codes(row["triple_codes"], levels)]
         as_context = count.copy()
         count[_FIRST], count[_START], count[_END] = 0, 0, docs
         single = (count + 1) / (n + vocabulary + 1)
@@ -418,7 +434,8 @@ def lm_score(
     Learns from rows that aren't held out (an expression over doc_id; a null doc_id is learnt from).
     Null and empty texts are the end token alone. Repeated rows count as often as they occur. Other
     columns are not read. An empty table gives an empty result; without training rows every count is 0.
-    Probabilities are held in `levels` steps of each shard's range.
+    Probabilities are held in `levels` steps of the range that N allows, so the same rows get the same
+    score however many blocks, shards and executors there are. A text is a part of one block, whole in memory.
     """
     spark = docs.sparkSession
     source = docs.selectExpr(f"`{id_col}` AS doc_id", f"CAST(`{text_col}` AS STRING) AS text").selectExpr("doc_id", "text", f"{held_out} AS held_out")
@@ -428,23 +445,25 @@ def lm_score(
     # A bucket per input partition, as far as Spark lets tables have them.
     buckets = min(max(1, made.rdd.getNumPartitions()), MAX_BUCKETS)
     name = f"lm_blocks_{uuid.uuid4().hex}"
-    made.write.option("compression", "zstd").option("path", kept).bucketBy(buckets, "block").saveAsTable(name)
-    blocks = spark.table(name)
-
-    sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("train_tokens", "train_docs", "tokens")]
-    n, n_docs, tokens = blocks.agg(*sums).first()
-    # Distinct training words and the end token.
-    vocabulary = blocks.select("hashes", "train").mapInArrow(_trained, "hash long").distinct().count() + (n_docs > 0)
-    frequent = _frequent(blocks, n, n_docs)
-
-    # Shards and reducers grow with the tokens, a shard to a reducer.
-    shards = max(spark.sparkContext.defaultParallelism, -(-tokens // shard_tokens))
-    messages = blocks.select("block", "held_out", "sizes", "low", "high", "hashes").mapInArrow(_messages(shards, frequent), _MESSAGE)
-    answers = messages.repartitionById(shards, "shard").groupBy("shard").applyInArrow(_answers(frequent, levels), _ANSWER)
-    asked = blocks.select("block", "doc_ids", "held_out", "sizes", "low", "high", "hashes").groupBy("block")
-    total = _summed(shards, frequent, n, n_docs, vocabulary, levels)
-    schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    rows = written(asked.cogroup(answers.repartition(buckets, "block").groupBy("block")).applyInArrow(total, schema), "lm-sums")
-    spark.sql(f"DROP TABLE {name}")
-    drop_table(spark, kept)
+    try:
+        made.write.option("compression", "zstd").option("path", kept).bucketBy(buckets, "block").saveAsTable(name)
+        blocks = spark.table(name)
+
+        sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("train_tokens", "train_docs", "tokens")]
+        n, n_docs, tokens = blocks.agg(*sums).first()
+        # Distinct training words and the end token.
+        vocabulary = blocks.select("hashes", "train").mapInArrow(_trained, "hash long").distinct().count() + (n_docs > 0)
+        frequent = _frequent(blocks, n, n_docs)
+
+        # Shards and reducers grow with the tokens, a shard to a reducer.
+        shards = max(spark.sparkContext.defaultParallelism, -(-tokens // shard_tokens))
+        messages = blocks.select("block", "held_out", "sizes", "low", "high", "hashes").mapInArrow(_messages(shards, frequent), _MESSAGE)
+        answers = messages.repartitionById(shards, "shard").groupBy("shard").applyInArrow(_answers(frequent, n, levels), _ANSWER)
+        asked = blocks.select("block", "doc_ids", "held_out", "sizes", "low", "high", "hashes").groupBy("block")
+        total = _summed(shards, frequent, n, n_docs, vocabulary, levels)
+        schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+        rows = written(asked.cogroup(answers.repartition(buckets, "block").groupBy("block")).applyInArrow(total, schema), "lm-sums")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop_table(spark, kept)
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
