@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .patterns import WS
-from .text import rtrim_ws, trim_ws
+from .text import let, rtrim_ws, trim_ws
 
 
 def _java(literal: str) -> str:
     """A literal as a Java pattern."""
-    return re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", literal)
+    return rf"\Q{literal}\E"
 
 
 def first_group(text: Column, pattern: str, group: int = 1) -> Column:
@@ -127,18 +125,29 @@ def html(md: Column) -> Column:
 
     def lines(part: Column, k: Column, more: Column) -> Column:
         """The lines of a part, without the empty ends that its fence lines leave."""
-        split = F.split(part, "\n", -1)
         first = F.when(k > 0, 2).otherwise(1)
-        return F.slice(split, first, F.greatest(F.lit(0), F.size(split) - first + 1 - F.when(more, 1).otherwise(0)))
+        return let(F.split(part, "\n", -1), lambda split: F.slice(split, first, F.greatest(F.lit(0), F.size(split) - first + 1 - F.when(more, 1).otherwise(0))))
 
-    def written(part: Column, k: Column) -> Column:
+    def written(part: Column, k: Column, parts: Column) -> Column:
         more, code = k < F.size(parts) - 1, k % 2 == 1
         fence = F.when(code, F.lit("</code></pre>")).otherwise(F.lit("<pre><code>"))
         body = F.transform(lines(part, k, more), lambda x: F.when(code, escape_html(x)).otherwise(rendered(x)))
         return F.concat(body, F.when(more, F.array(fence)).otherwise(F.array().cast("array<string>")))
 
-    joined = F.array_join(F.flatten(F.transform(parts, written)), "\n")
-    return F.regexp_replace(joined, r"((?:<li>[\s\S]*?</li>\n?)+)", "<ul>$1</ul>")
+    def with_lists(out: Column) -> Column:
+        """The lines as one text; a run of list items is told from its neighbour lines, and stands in ul tags with its line ends."""
+        item = lambda i: F.coalesce(F.startswith(F.get(out, i), F.lit("<li>")), F.lit(False))
+
+        def placed(x: Column, i: Column) -> Column:
+            own, last = item(i), i == F.size(out) - 1
+            ahead = F.when(own & ~item(i - 1), "<ul>").otherwise("")
+            behind = F.when(own & ~item(i + 1), "</ul>").otherwise("")
+            return F.concat(ahead, x, F.when(last, "").otherwise("\n"), behind)
+
+        return F.array_join(F.transform(out, placed), "")
+
+    rows = let(parts, lambda held: F.flatten(F.transform(held, lambda part, k: written(part, k, held))))
+    return F.when(md.isNotNull(), let(rows, with_lists))
 
 
 #: A page: round its title and its body. PAGE_END parts the pages of a file; no page holds it.

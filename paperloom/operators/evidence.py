@@ -7,37 +7,30 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text
 from paperloom.functions.patterns import MIN_EVIDENCE
+from paperloom.operators import scan
 
-
-#: Quotes of no more characters in all are broadcast; more of them are joined by key.
-BROADCAST_CHARS = 32_000_000
-GRAM = MIN_EVIDENCE
+#: Quotes of no more characters in all are looked for by one automaton.
+BROADCAST_CHARS = scan.SCAN_CHARS
 
 
 def find_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     """From (doc_id, text) and (item_id, quote): rows (doc_id, item_id) where the document contains the quote.
 
-    A quote's words, but for its first and last, are whole words of any text that contains it. So a
-    quote of three words and more meets documents by its longest inner word, and a shorter one by a
-    run of GRAM characters, which every quote has: equi-joins on keys, in which texts don't take
-    part. Only the pairs they find are compared.
+    A set of quotes of a checked size goes through texts as one automaton, in one pass. In a larger set the
+    quotes of three words and more meet documents by their longest inner word, which is a whole word of any
+    text that contains them: an equi-join on keys, in which texts don't take part, and only the pairs it finds
+    are compared. Shorter ones still go through the texts as automata, in blocks.
     """
     normal = docs.select("doc_id", text.normalise(F.col("text")).alias("norm"))
-    asked = quotes.where(text.js_length(F.col("quote")) >= MIN_EVIDENCE).select("item_id", text.normalise(F.col("quote")).alias("needle")).where(text.js_length(F.col("needle")) >= MIN_EVIDENCE)
+    asked = quotes.where(text.js_length(F.col("quote")) >= MIN_EVIDENCE).select(F.col("item_id"), text.normalise(F.col("quote")).alias("needle")).where(text.js_length(F.col("needle")) >= MIN_EVIDENCE)
+    scanned = lambda needles: scan.holds(normal, needles, text_col="norm", phrase_id="item_id", phrase="needle")
+    if asked.agg(F.coalesce(F.sum(F.length("needle") + 8), F.lit(0))).first()[0] <= BROADCAST_CHARS:
+        return scanned(asked)
     words = F.split("needle", " ")
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    # A short quote's own run is taken from its longest word, where that is long enough.
-    widest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    run = F.substring(F.when(F.length(widest) >= GRAM, widest).otherwise(F.col("needle")), 1, GRAM)
-    anchored = asked.select("item_id", "needle", F.coalesce(F.concat(F.lit("w"), longest), F.concat(F.lit("g"), run)).alias("key"))
-    # One count of the quotes decides; runs are looked for only if a quote needs one.
-    chars, by_run = anchored.agg(F.coalesce(F.sum(F.length("needle") + 40), F.lit(0)), F.coalesce(F.max(F.col("key").startswith("g")), F.lit(False))).first()
-    small = (lambda df: F.broadcast(df)) if chars <= BROADCAST_CHARS else (lambda df: df)
-
-    keyed = lambda mark, parts: normal.select("doc_id", F.explode(F.array_distinct(parts)).alias("part")).select("doc_id", F.concat(F.lit(mark), "part").alias("key"))
-    in_docs = keyed("w", F.split("norm", " "))
-    if by_run:
-        in_docs = in_docs.unionByName(keyed("g", F.regexp_extract_all("norm", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))))
-    pairs = in_docs.join(small(anchored), "key").select("doc_id", "item_id", "needle")
-    return normal.join(pairs, "doc_id").where(F.contains("norm", "needle")).select("doc_id", "item_id")
+    anchored = asked.select("item_id", "needle", longest.alias("key"))
+    in_docs = normal.select("doc_id", F.explode(F.array_distinct(F.split("norm", " "))).alias("key"))
+    pairs = in_docs.join(anchored.where("key IS NOT NULL"), "key").select("doc_id", "item_id", "needle")
+    long = normal.join(pairs, "doc_id").where(F.contains("norm", "needle")).select("doc_id", F.col("item_id").cast("long").alias("item_id"))
+    return long.unionByName(scanned(anchored.where("key IS NULL")))

@@ -76,7 +76,7 @@ def suggested_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("name", "display_name", "size", "min_ram_gb", "min_vram_gb", "runtime", "budget", F.coalesce("installed", F.lit(False)).alias("installed"), F.coalesce("loaded", F.lit(False)).alias("loaded"))
 
 
-_MODELS = values_sql(list(SUGGESTED_MODELS), "name, display_name, size, min_ram_gb, min_vram_gb, runtime, strengths, budget")
+_MODELS = values_sql(list(SUGGESTED_MODELS), "name, display_name, size, min_ram_gb, min_vram_gb, runtime, budget")
 SUGGESTED_SQL = f"SELECT name, display_name, size, min_ram_gb, min_vram_gb, runtime, budget, name = 'qwen2.5:3b' AS installed, false AS loaded FROM {_MODELS}"
 
 

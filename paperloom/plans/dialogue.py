@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text
 from paperloom.functions.patterns import IMPRESSION_SAMPLE, LANGUAGES, MODES, TEMPERATURES
-from paperloom.operators import chat, evidence, inference, prompts
+from paperloom.operators import chat, evidence, inference, prompts, scan
 
 from .base import norm_sql, sql_value, table, tokens_sql
 
@@ -187,6 +187,29 @@ def evidence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(hits, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), "first_id")
 
 
+def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary: own coded phrases, and the first three words and the last two of each passage of benchmark."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.split("text", " ").alias("w"))
+    first = items.select((F.col("item_id") * 2 + 1000).alias("phrase_id"), F.array_join(F.slice("w", 1, 3), " ").alias("phrase"))
+    last = items.select((F.col("item_id") * 2 + 1001).alias("phrase_id"), F.array_join(F.slice("w", -2, 2), " ").alias("phrase"))
+    codes = spark.createDataFrame([(k, phrase) for k, (phrase, _, _) in enumerate(scan.LETTER_CODES)], "phrase_id long, phrase string")
+    return codes.unionByName(first).unionByName(last)
+
+
+def code_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of every phrase in every document."""
+    return scan.matches(table(spark, sf_dir, "documents"), _phrases(spark, sf_dir))
+
+
+_CODES = ", ".join(f"({k}, {sql_value(phrase)})" for k, (phrase, _, _) in enumerate(scan.LETTER_CODES))
+CODE_SCAN_SQL = f"""
+WITH RECURSIVE w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark),
+p AS (SELECT * FROM (VALUES {_CODES}) AS c(phrase_id, phrase) UNION ALL SELECT item_id * 2 + 1000, array_to_string(w[:3], ' ') FROM w UNION ALL SELECT item_id * 2 + 1001, array_to_string(w[-2:], ' ') FROM w),
+hits AS (
+  SELECT doc_id, text, phrase_id, phrase, instr(text, phrase) AS place FROM documents JOIN p ON contains(text, phrase) WHERE phrase <> ''
+  UNION ALL SELECT doc_id, text, phrase_id, phrase, place + instr(substr(text, place + 1), phrase) FROM hits WHERE instr(substr(text, place + 1), phrase) > 0)
+SELECT doc_id, phrase_id::BIGINT AS phrase_id, place - 1 AS start, place - 1 + length(phrase) AS stop FROM hits"""
+
 QUOTES_SQL = f"""
 WITH q AS (SELECT item_id, text AS quote FROM benchmark UNION ALL SELECT item_id + 1000000, array_to_string(string_split(text, ' ')[2:3], ' ') FROM benchmark),
 n AS (SELECT item_id, {norm_sql("quote")} AS needle FROM q WHERE length(quote) >= 4),
@@ -205,6 +228,7 @@ QUERIES = {
     "chat_answer": (chat_answer, ANSWER_SQL),
     "impression_prompt": (impression_prompt, IMPRESSION_SQL),
     "verify_prompt": (verify_prompt, VERIFY_SQL),
+    "code_scan": (code_scan, CODE_SCAN_SQL),
     "evidence_join": (evidence_join, QUOTES_SQL + " SELECT doc_id, item_id FROM hits"),
     "evidence_counts": (evidence_counts, QUOTES_SQL + " SELECT item_id, count(doc_id) AS documents, min(doc_id) AS first_id FROM q LEFT JOIN hits USING (item_id) GROUP BY item_id"),
 }

@@ -10,7 +10,7 @@ from paperloom.functions.patterns import SUGGESTED_MODELS
 
 INSTALLED = "name string, size bigint, modified_at string"
 LOADED = "name string, size bigint, size_vram bigint, expires_at string"
-SUGGESTED = "name string, display_name string, size string, min_ram_gb int, min_vram_gb int, runtime string, strengths string, budget boolean"
+SUGGESTED = "name string, display_name string, size string, min_ram_gb int, min_vram_gb int, runtime string, budget boolean"
 
 
 def _listed(spark: SparkSession, fetch: Callable[[], list[tuple]], schema: str) -> DataFrame:

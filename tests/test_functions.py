@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import re
 import time
 import zipfile
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import classify, jsonx, markdown, text
 from paperloom.functions.patterns import CHAT_DOCUMENT_TOKENS, MARKER_CHARS
-from paperloom.operators import catalogues, chat, evidence, inference, monitoring, parsers, prompts, store
+from paperloom.operators import catalogues, chat, evidence, inference, monitoring, parsers, prompts, scan, store
 from paperloom.plans import operations
 from paperloom.sources import files, probes
 from paperloom.streaming import streams
@@ -324,6 +325,47 @@ def test_html_of_fences(spark):
     assert one(spark, markdown.html(F.col("t")), t=md) == "<p>a</p>\n<pre><code>\n# x &lt;b&gt;\n<br>\n</code></pre>\n<ul><li>p</li>\n<li>q</li>\n</ul><pre><code>".replace("\n<br>\n</code>", "\n\n</code>")
 
 
+def test_html_of_lists_wraps_each_run(spark):
+    """As a pattern over the whole page would do it, which recurses for each item in Java."""
+    rng = random.Random(2)
+    texts = ["- x", "* é", "1. z", "y", "", "# h", "<li>x</li>", "- <li>"]
+    cases = [rng.choices(texts, k=rng.randrange(1, 9)) for _ in range(40)]
+    pages = ["\n".join(items) for items in cases]
+    frame = spark.createDataFrame([(t,) for t in [*texts, *pages]], "t string").coalesce(1)
+    html = {r.t: r.html for r in frame.select("t", markdown.html(F.col("t")).alias("html")).collect()}
+    alone = {t: html[t].removeprefix("<ul>").removesuffix("</ul>") for t in texts}
+    for items, page in zip(cases, pages, strict=True):
+        assert html[page] == re.sub(r"((?:<li>[\s\S]*?</li>\n?)+)", r"<ul>\1</ul>", "\n".join(alone[t] for t in items))
+
+
+def test_html_of_very_long_lists_and_paragraphs(spark):
+    n = 100_000
+    got = one(spark, markdown.html(F.col("t")), t="\n".join(["- item"] * n))
+    assert got == "<ul>" + "\n".join(["<li>item</li>"] * n) + "</ul>"
+    text = "some **bold** words " * 500_000
+    assert one(spark, F.length(markdown.html(F.col("t"))), t=text) == len(text.rstrip(" ")) + 13 * 500_000 + 7 + 1
+    fences = "```\nx\n```\n" * 3000
+    assert one(spark, markdown.html(F.col("t")), t=fences).count("<pre><code>") == 3000
+
+
+def _occurrences(text, phrase):
+    return [(k, k + len(phrase)) for k in range(len(text) - len(phrase) + 1) if text.startswith(phrase, k)]
+
+
+@pytest.mark.parametrize("chars", [scan.SCAN_CHARS, 60])
+def test_scans_find_every_overlapping_occurrence(spark, monkeypatch, chars):
+    monkeypatch.setattr(scan, "SCAN_CHARS", chars)
+    rng = random.Random(12)
+    docs = [(k, "".join(rng.choices("ab é\U0001f600", k=rng.randrange(80)))) for k in range(100)] + [(7, "abab"), (None, "abab"), (100, None), (101, "ab" * 60_000)]
+    phrases = [(k, "".join(rng.choices("ab é\U0001f600", k=rng.randrange(1, 5)))) for k in range(40)] + [(50, "abab"), (51, "abab"), (52, ""), (53, None)]
+    frame, told = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(phrases, "phrase_id long, phrase string")
+    want = [(d, p, *at) for d, t in docs for p, s in phrases if s and t for at in _occurrences(t, s)]
+    assert sorted(map(repr, (tuple(r) for r in scan.matches(frame, told).collect()))) == sorted(map(repr, want))
+    pairs = [(d, p) for d, t in docs for p, s in phrases if s and t and s in t]
+    assert sorted(map(repr, (tuple(r) for r in scan.holds(frame, told).collect()))) == sorted(map(repr, pairs))
+    assert scan.matches(frame.limit(0), told).collect() == [] == scan.matches(frame, told.limit(0)).collect()
+
+
 def test_quotes_meet_texts_without_a_nested_loop(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "xalpha")], "doc_id int, text string")
     quotes = spark.createDataFrame([(1, "alpha"), (2, "pha bet"), (3, "alpha beta gamma")], "item_id int, quote string")
