@@ -127,7 +127,7 @@ def mapped(arrays: list[np.ndarray]) -> list[np.ndarray]:
 
 #: Bits of a successor's identifier; it is looked up among its context's successors only.
 SUCCESSOR_BITS = 32
-LEVELS = 65_535
+LEVELS = 1023
 
 
 def _scale(logs: np.ndarray | tuple[float, float]) -> np.ndarray:
