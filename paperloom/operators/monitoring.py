@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.classify import round_half_up
 from paperloom.functions.patterns import FLUSH_CHARS, FLUSH_MS, LOG_FILES
+from paperloom.operators import prefix
 
 LEVELS = ("debug", "info", "warn", "error")
 CHECK_EVERY = 200
@@ -40,13 +42,16 @@ def ram_usage(total: Column, free: Column) -> Column:
     return F.struct(gigabytes(total).alias("total_gb"), gigabytes(used).alias("used_gb"), round_half_up(used / total * 100).cast("long").alias("used_percent"))
 
 
-def capped(lines: DataFrame, day: str, order: list[str], size: Column, most: int, every: int = CHECK_EVERY) -> DataFrame:
-    """Lines that a day's file takes: at each `every`-th line the bytes so far are checked, and past the cap the rest is dropped."""
-    ordered = Window.partitionBy(day).orderBy(*order)
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("line_no", F.row_number().over(ordered)).withColumn("bytes_before", F.sum(size).over(so_far) - size)
-    checked = F.max(F.when(F.col("line_no") % every == 0, F.col("bytes_before"))).over(so_far)
-    return rows.withColumn("checked", F.coalesce(checked, F.lit(0))).where(F.col("checked") <= most).drop("checked")
+def capped(lines: DataFrame, day: str, order: list[str], size: Column, most: int, path: str, every: int = CHECK_EVERY) -> DataFrame:
+    """Lines that a day's file takes: at each `every`-th line the bytes so far are checked, and past the cap the rest is dropped.
+
+    A day may hold any share of the lines: its sums come from prefix.running(), which writes them to path.
+    """
+    rows = prefix.running(lines.withColumn("line_size", size.cast("long")), [day], order, F.col("line_size"), path)
+    rows = rows.withColumn("bytes_before", F.col("running") - F.col("line_size"))
+    over = rows.where((F.col("line_no") % every == 0) & (F.col("bytes_before") > most)).groupBy(F.col(day).alias("full_day")).agg(F.min("line_no").alias("full_at"))
+    kept = rows.join(over, F.col(day).eqNullSafe(F.col("full_day")), "left").where(F.col("full_at").isNull() | (F.col("line_no") < F.col("full_at")))
+    return kept.select(*lines.columns, "line_no", "bytes_before")
 
 
 def kept_files(files: DataFrame, most: int = LOG_FILES) -> DataFrame:
@@ -54,6 +59,11 @@ def kept_files(files: DataFrame, most: int = LOG_FILES) -> DataFrame:
     return files.orderBy(F.desc("mtime"), "name").limit(most)
 
 
+def load_percent(d_total: float, d_idle: float) -> int:
+    """A load from the differences of counters, as cpu_load() has it."""
+    return max(0, min(100, math.floor((d_total - d_idle) / d_total * 100 + 0.5))) if d_total > 0 else 0
+
+
 def cpu_load(samples: DataFrame) -> DataFrame:
     """From (host, sample, core, total, idle): load per host and sample in per cent, from differences to the sample before; 0 for the first."""
     before = Window.partitionBy("host", "core").orderBy("sample")
@@ -73,6 +83,12 @@ def active_streams(events: DataFrame, key: str, order: list[str], step: Column)
     return summed.withColumn("active", F.col("plain") - F.least(F.lit(0), F.min("plain").over(so_far))).drop("plain")
 
 
+def active_streams_total(events: DataFrame, order: list[str], step: Column, path: str) -> DataFrame:
+    """The gauge of active_streams() over all streams as one sequence, by prefix.running(), which writes to path."""
+    summed = prefix.running(events, [], order, step, path)
+    return summed.select(*events.columns, (F.col("running") - F.least(F.lit(0), F.col("least"))).alias("active"))
+
+
 class Flusher:
     """Pending characters and the time of the last flush of one stream."""
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from paperloom.functions import dates
 from paperloom.operators import catalogues, monitoring
-from paperloom.streaming import streams
+from paperloom.streaming import state, streams
 
 from .base import literal_rows, scratch, table, values_sql
 
@@ -30,7 +32,7 @@ RETENTION_SQL = "SELECT name, lines FROM (SELECT strftime(ts, '%Y-%m-%d') AS nam
 
 
 def log_size_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = monitoring.capped(_lines(spark, sf_dir), "day", ["ts", "event_id"], F.col("size"), _CAP)
+    kept = monitoring.capped(_lines(spark, sf_dir), "day", ["ts", "event_id"], F.col("size"), _CAP, scratch(spark, "capped"))
     return kept.groupBy("day").agg(F.count("*").alias("lines"), F.sum("size").alias("bytes"))
 
 
@@ -51,12 +53,15 @@ LEVEL_SQL = """SELECT level, level IN ('debug', 'info', 'warn', 'error') AS acce
 FROM (SELECT CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'info' WHEN 'click' THEN 'debug' ELSE event_type END AS level FROM events) GROUP BY ALL"""
 
 
-def cpu_load_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Four cores of 40 hosts, sampled in turn.
     sample = F.floor(F.col("event_id") / 160)
     idle = sample * 20 + (F.col("event_id") * 31) % 17
-    samples = table(spark, sf_dir, "events").select((F.floor(F.col("event_id") / 4) % 40).alias("host"), sample.alias("sample"), (F.col("event_id") % 4).alias("core"), (idle + sample * 9 + (F.col("event_id") * 17) % 13).alias("total"), idle.alias("idle"))
-    return monitoring.cpu_load(samples)
+    return table(spark, sf_dir, "events").select((F.floor(F.col("event_id") / 4) % 40).alias("host"), sample.alias("sample"), (F.col("event_id") % 4).alias("core"), (idle + sample * 9 + (F.col("event_id") * 17) % 13).alias("total"), idle.alias("idle"))
+
+
+def cpu_load_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitoring.cpu_load(_samples(spark, sf_dir))
 
 
 CPU_SQL = """
@@ -77,6 +82,45 @@ p AS (SELECT *, sum(step) OVER (PARTITION BY user_id ORDER BY rn) AS plain FROM
 SELECT event_id, (plain - least(0, min(plain) OVER (PARTITION BY user_id ORDER BY rn)))::BIGINT AS active FROM p"""
 
 
+def active_streams_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One gauge over the streams of all users."""
+    step = F.when(F.col("event_type").isin("click", "signup"), 1).when(F.col("event_type").isin("error", "purchase"), -1).otherwise(0)
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    return monitoring.active_streams_total(events, ["ts", "event_id"], step, scratch(spark, "gauge")).select("event_id", "active")
+
+
+ACTIVE_TOTAL_SQL = ACTIVE_SQL.replace("PARTITION BY user_id ", "")
+
+
+def _arriving(spark: SparkSession, rows: DataFrame, order: str, start: Callable[[DataFrame], DataStreamWriter], parts: int = 4) -> None:
+    """Rows come in several parts, in order; after each one the stream goes on from its checkpoint."""
+    path = scratch(spark, "stream-in")
+    least, most = rows.agg(F.min(order), F.max(order)).first()
+    stream = None
+    for k in range(parts):
+        low, high = (least + (most + 1 - least) * j // parts for j in (k, k + 1))
+        rows.where((F.col(order) >= low) & (F.col(order) < high)).write.mode("append").parquet(path)
+        stream = stream or spark.readStream.schema(rows.schema).parquet(path)
+        start(stream).trigger(availableNow=True).start().awaitTermination()
+
+
+def cpu_load_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cpu_load_delta as a stream with state per host; the last word on a sample holds."""
+    state.use_rocksdb(spark)
+    path = scratch(spark, "loads")
+    _arriving(spark, _samples(spark, sf_dir), "sample", lambda s: state.once(state.cpu_load_stream(s, None), path, f"{path}-state", "update"))
+    return state.taken(spark, path, state.LOAD).groupBy("host", "sample").agg(F.max_by("load", "batch_no").alias("load"))
+
+
+def stream_flush_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all users as a stream with state per user: the batches of text that it hands on."""
+    state.use_rocksdb(spark)
+    chunks = _chunks(spark, sf_dir).select("stream", "seq", "ms", F.expr("repeat('x', CAST(chars AS INT))").alias("text"), F.lit(False).alias("end"))
+    path = scratch(spark, "flushed")
+    _arriving(spark, chunks, "seq", lambda s: state.once(state.flush_chunks(s, None), path, f"{path}-state"))
+    return state.taken(spark, path, state.BATCH).select("stream", "batch", F.length("text").cast("long").alias("chars"))
+
+
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chunk per event: its stream is the user, its length comes from the id; time runs in steps of a tenth of the id."""
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 10).alias("ms"), (F.col("event_id") * 37 % 400).alias("chars"), "event_type")
@@ -96,6 +140,10 @@ f AS (SELECT stream, seq, rn, 0::BIGINT AS batch, CASE WHEN chars >= 1024 THEN 0
 SELECT stream, seq, batch FROM f"""
 
 
+#: Only batches that have been closed are handed on.
+FLUSH_STATE_SQL = FLUSH_SQL.replace("SELECT stream, seq, batch FROM f", "SELECT stream, batch, sum(c.chars)::BIGINT AS chars FROM f JOIN c USING (stream, rn) GROUP BY stream, batch HAVING max(closed) = 1")
+
+
 def stream_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitoring.stream_digests(_chunks(spark, sf_dir).withColumnRenamed("event_type", "piece"))
 
@@ -201,6 +249,9 @@ QUERIES = {
     "log_level_filter": (log_level_filter, LEVEL_SQL),
     "cpu_load_delta": (cpu_load_delta, CPU_SQL),
     "active_streams": (active_streams, ACTIVE_SQL),
+    "active_streams_total": (active_streams_total, ACTIVE_TOTAL_SQL),
+    "cpu_load_stream": (cpu_load_stream, CPU_SQL),
+    "stream_flush_state": (stream_flush_state, FLUSH_STATE_SQL),
     "stream_flush_batches": (stream_flush_batches, FLUSH_SQL),
     "stream_concat": (stream_concat, CONCAT_SQL),
     "event_dates": (event_dates, DATES_SQL),
