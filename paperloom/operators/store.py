@@ -23,12 +23,16 @@ def write_version(df: DataFrame, path: str, version: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/version={version:06d}")
 
 
+def _numbered(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """The numbers of folders <prefix><number> in path that are complete."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{prefix}*/_SUCCESS")
+    found = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(done) or []
+    return [int(s.getPath().getParent().getName().removeprefix(prefix)) for s in found]
+
+
 def newest_version(spark: SparkSession, path: str) -> int:
-    """Found from the folders' names (a partition column), without reading rows; 0 if there is none."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-    return max((int(n.split("=")[1]) for n in names if n.startswith("version=")), default=0)
+    """Found from the names of folders whose write has come to its end, without reading rows; 0 if there is none."""
+    return max(_numbered(spark, path, "version="), default=0)
 
 
 def read_newest(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -60,27 +64,29 @@ def migrate(df: DataFrame, version: int, steps: list) -> tuple[DataFrame, int]:
 
 
 def schema_version(spark: SparkSession, path: str) -> int:
-    """The number in a table's version marker; 0 for a table that has none yet."""
-    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/schema")
-    exists = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
-    return spark.read.parquet(marker.toString()).first()["version"] if exists else 0
+    """The highest number among a table's version markers; 0 for a table that has none yet."""
+    return max(_numbered(spark, path, "schema-"), default=0)
 
 
 def run_migrations(spark: SparkSession, path: str, steps: list) -> int:
     """Brings the table of versions in path to the newest schema, one step at a time; returns its version.
 
-    Steps up to the marker's version are skipped. Each step writes a new version of the rows and then
-    the marker, so one that fails leaves the last good state. From step 2 on, the rows before the step
-    are kept as backup-<version>.
+    Markers (schema-<n>) say which version of the rows has schema n; none is ever rewritten. A step starts
+    from the newest marker's rows, writes the next version and then its marker, so one that fails at any
+    place is done over from the same rows. From step 2 on, the rows before the step are kept as backup-<version>.
     """
+    marked = lambda number, version: spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/schema-{number}")
+    if not _numbered(spark, path, "schema-"):
+        marked(0, newest_version(spark, path))
     at = schema_version(spark, path)
     for step in steps[at:]:
-        rows = spark.read.parquet(f"{path}/version={newest_version(spark, path):06d}")
+        version = spark.read.parquet(f"{path}/schema-{at}").first()["version"]
+        rows = spark.read.parquet(f"{path}/version={version:06d}")
         if at:
             rows.write.mode("overwrite").parquet(f"{path}/backup-{at}")
-        write_version(step(rows), path, newest_version(spark, path) + 1)
+        write_version(step(rows), path, version + 1)
         at += 1
-        spark.createDataFrame([(at,)], "version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/schema")
+        marked(at, version + 1)
     return at
 
 
@@ -111,3 +117,78 @@ def newest_per(df: DataFrame, key: str, *order: Column) -> DataFrame:
 def finished(result: Column, aborted: Column, mark: str = "[stopped]") -> Column:
     """A stored answer: aborted ones carry a mark."""
     return F.when(aborted, F.concat(result, F.lit(f"\n\n{mark}"))).otherwise(result)
+
+
+#: Parts of a table that is changed part by part.
+PARTS = 64
+
+
+def part_of(key: Column, parts: int = PARTS) -> Column:
+    """The part that a key's rows lie in."""
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(parts)).cast("int")
+
+
+def write_parts(df: DataFrame, path: str, key: str, parts: int = PARTS, mode: str = "errorifexists") -> None:
+    """Writes a table in folders by a hash of its key; a part that one key fills is still written by many tasks."""
+    rows = df.withColumn("part", part_of(F.col(key), parts)).hint("rebalance", F.col("part"))
+    rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
+def touched_parts(keys: DataFrame, key: str, parts: int = PARTS) -> list[int]:
+    """The parts that some keys lie in: PARTS numbers at most, however many keys there are."""
+    return sorted(r[0] for r in keys.select(part_of(F.col(key), parts)).distinct().collect())
+
+
+def read_parts(spark: SparkSession, path: str, schema: str, only: list[int] | None = None) -> DataFrame:
+    """The rows of a table in parts, or of some parts; others aren't listed or read."""
+    rows = spark.read.schema(f"{schema}, part int").parquet(path)
+    return (rows if only is None else rows.where(F.col("part").isin(only))).drop("part")
+
+
+def _replaced(spark: SparkSession, path: str, rows: DataFrame, key: str, only: list[int], parts: int) -> list[int]:
+    """Puts rows in the place of the parts `only`, and takes away those that are left empty."""
+    kept = set(touched_parts(rows, key, parts))
+    write_parts(rows, path, key, parts, "overwrite")
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for part in set(only) - kept:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/part={part}"), True)
+    return only
+
+
+def update_parts(spark: SparkSession, path: str, schema: str, changes: DataFrame, key: str, parts: int = PARTS) -> list[int]:
+    """update() of a table in parts: reads and rewrites the changed keys' parts only; returns them. Run again, it gives the same table."""
+    only = touched_parts(changes, key, parts)
+    return _replaced(spark, path, update(read_parts(spark, path, schema, only), changes, key), key, only, parts) if only else []
+
+
+def delete_parts(spark: SparkSession, tables: dict[str, tuple[str, str, str]], deleted: DataFrame, parts: int = PARTS) -> dict[str, list[int]]:
+    """delete_cascade() of tables in parts, each (path, schema, key to the deleted ids): the deleted keys' parts of each table are rewritten; returns them."""
+    gone = deleted.toDF("gone_key").distinct()
+    only, out = touched_parts(gone, "gone_key", parts), {}
+    for name, (path, schema, key) in tables.items():
+        rows = read_parts(spark, path, schema, only)
+        out[name] = _replaced(spark, path, rows.join(gone, F.col(key) == F.col("gone_key"), "left_anti"), key, only, parts) if only else []
+    return out
+
+
+def insert_absent_parts(spark: SparkSession, path: str, schema: str, new: DataFrame, key: str, parts: int = PARTS) -> None:
+    """insert_absent() of a table in parts: existing keys are read of the new keys' parts only, and nothing is rewritten."""
+    existing = read_parts(spark, path, schema, touched_parts(new, key, parts)).select(key)
+    write_parts(new.join(existing, key, "left_anti"), path, key, parts, "append")
+
+
+def write_sorted(df: DataFrame, path: str, by: list[str], lookups: dict[str, int]) -> None:
+    """Writes a table sorted by ranges of some columns, with Bloom filters on others (column: distinct values in a file, about).
+
+    Statistics of row groups skip what lies beside a range of `by`, Bloom filters what doesn't hold a value looked up.
+    """
+    writer = df.repartitionByRange(*by).sortWithinPartitions(*by).write
+    for column, distinct in lookups.items():
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", str(distinct))
+    writer.parquet(path)
+
+
+def look_up(spark: SparkSession, path: str, schema: str, column: str, value) -> DataFrame:
+    """The rows with a value in a column, as a filter that the scan takes."""
+    return spark.read.schema(schema).parquet(path).where(F.col(column) == F.lit(value))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
@@ -13,10 +14,10 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import classify, text
 from paperloom.functions.patterns import CHAT_MAX, CONTROL, GERMAN_WORDS, LEGACY_EXTENSIONS, MAX_FILE_BYTES, MIME_TYPES, OTHER_MIME, PRINTABLE_RE2, QUESTION_MAX, WS_RE2
-from paperloom.operators import search
+from paperloom.operators import search, trigram
 from paperloom.sources import files as importer
 
-from .base import STORED_SQL, iso, iso_sql, literal_rows, stored, table, tokens_sql, values_sql, words_sql
+from .base import STORED_SQL, iso, iso_sql, literal_rows, scratch, stored, table, tokens_sql, values_sql, words_sql
 
 
 def profile(docs: DataFrame) -> DataFrame:
@@ -215,7 +216,22 @@ def input_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", classify.within(F.col("text"), QUESTION_MAX).alias("question_ok"), classify.within(F.col("text"), CHAT_MAX).alias("chat_ok"))
 
 
+#: Needles of the stored index: none, few and many hits, one that is too short for it, one of another case.
+_NEEDLES = ("theha", "er the", "S3", "zq", "the", "xyzzy qq", "Ö", "ing and")
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Needles searched in documents by a stored trigram index."""
+    path, docs = scratch(spark, "trigrams"), stored(spark, sf_dir).select("id", "filename", "text")
+    trigram.build(docs, path)
+    found = [trigram.find(docs, path, needle).select(F.lit(needle).alias("needle"), "id") for needle in _NEEDLES]
+    return reduce(DataFrame.unionByName, found)
+
+
+INDEX_SQL = f"SELECT needle, doc_id AS id FROM documents, (VALUES {', '.join(f"('{n}')" for n in _NEEDLES)}) AS v(needle) WHERE contains(lower(source), lower(needle)) OR contains(lower(text), lower(needle))"
+
 QUERIES = {
+    "search_index": (search_index, INDEX_SQL),
     "doc_quality_profile": (doc_quality_profile, PROFILE_SQL),
     "doc_garbled_sample": (doc_garbled_sample, GARBLED_SQL),
     "doc_language_table": (doc_language_table, LANGUAGE_SQL),

@@ -147,7 +147,56 @@ def export_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 EXPORT_PAGE_SQL = f"""SELECT md5({" || ".join(x if i % 2 else sql_value(x) for i, x in enumerate((markdown.PAGE[0], "source", markdown.PAGE[1], "'<h1>' || source || '</h1>' || chr(10) || '<br>' || chr(10) || '<p><strong>' || doc_id || '</strong></p>'", markdown.PAGE[2])))}) AS digest FROM documents"""
 
 
+_ROW = "id long, filename string, text string, created_at timestamp"
+
+
+def store_update_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """store_insert_update on a stored table that is rewritten part by part."""
+    path = scratch(spark, "parts")
+    current = stored(spark, sf_dir).select("id", "filename", "text", "created_at")
+    store.write_parts(current, path, "id")
+    changes = current.where("id % 3 = 0").select("id", F.concat(F.lit("again: "), "text").alias("text"), F.when(F.col("id") % 2 == 0, F.lit("renamed")).alias("filename"))
+    store.update_parts(spark, path, _ROW, changes, "id")
+    return store.read_parts(spark, path, _ROW).select("id", "filename", F.md5("text").alias("digest"))
+
+
+def store_cascade_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents deleted with their conversations and labels, each table by the parts of the deleted ids; then documents come back as new ones."""
+    docs, turns, labels = (table(spark, sf_dir, n) for n in ("documents", "conversations", "labels"))
+    tables = {"documents": (docs.select("doc_id", "source"), "doc_id"), "conversations": (turns.select("conv_id", "turn", "role"), "conv_id"), "labels": (labels.select("doc_id", "quality"), "doc_id")}
+    told = {}
+    for name, (rows, key) in tables.items():
+        told[name] = (scratch(spark, name), rows._jdf.schema().toDDL(), key)
+        store.write_parts(rows, told[name][0], key)
+    store.delete_parts(spark, told, docs.where("doc_id % 5 = 0").select("doc_id"))
+    path, schema, key = told["documents"]
+    store.insert_absent_parts(spark, path, schema, docs.where("doc_id % 10 < 6").select("doc_id", F.lit("back").alias("source")), key)
+    left = [store.read_parts(spark, p, s) for p, s, _ in told.values()]
+    return left[0].select(F.lit("documents").alias("name"), F.col("doc_id").alias("id"), F.col("source").alias("value")).unionByName(left[1].select(F.lit("conversations").alias("name"), F.col("conv_id").alias("id"), F.concat_ws(":", "turn", "role").alias("value"))).unionByName(left[2].select(F.lit("labels").alias("name"), F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("value")))
+
+
+CASCADE_PARTS_SQL = """
+SELECT 'documents' AS name, doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'back' ELSE source END AS value FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 10 < 6
+UNION ALL SELECT 'conversations', conv_id, turn || ':' || role FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 5 = 0)
+UNION ALL SELECT 'labels', doc_id, quality::VARCHAR FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 5 = 0)"""
+
+
+def document_look_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document's row out of a table that lies by time, found by the Bloom filter on its id, and its turns out of one that lies by turn."""
+    docs, turns = scratch(spark, "by-time"), scratch(spark, "by-turn")
+    store.write_sorted(stored(spark, sf_dir).select("id", "filename", "text", "created_at"), docs, ["created_at"], {"id": 100_000})
+    store.write_sorted(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), turns, ["turn", "role"], {"conv_id": 100_000})
+    said = store.look_up(spark, turns, "conv_id long, turn long, role string, text string", "conv_id", 19).select("turn", "role", F.md5("text").alias("digest"))
+    own = store.look_up(spark, docs, _ROW, "id", 19).select(F.lit(None).cast("long").alias("turn"), F.col("filename").alias("role"), F.md5("text").alias("digest"))
+    return own.unionByName(said)
+
+
+LOOK_UP_SQL = "SELECT NULL::BIGINT AS turn, source AS role, md5(text) AS digest FROM documents WHERE doc_id = 19 UNION ALL SELECT turn, role, md5(text) FROM conversations WHERE conv_id = 19"
+
 QUERIES = {
+    "store_update_parts": (store_update_parts, UPDATE_SQL),
+    "store_cascade_parts": (store_cascade_parts, CASCADE_PARTS_SQL),
+    "document_look_up": (document_look_up, LOOK_UP_SQL),
     "store_insert": (store_insert, INSERT_SQL),
     "store_migrate": (store_migrate, MIGRATE_SQL),
     "export_page": (export_page, EXPORT_PAGE_SQL),
