@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.functions import classify, text
+from paperloom.functions import classify, tables, text
 from paperloom.functions.patterns import CHAT_MAX, CONTROL, GERMAN_WORDS, LEGACY_EXTENSIONS, MAX_FILE_BYTES, MIME_TYPES, OTHER_MIME, PRINTABLE_RE2, QUESTION_MAX, WS_RE2
-from paperloom.operators import search, trigram
+from paperloom.operators import search, sketches, trigram
 from paperloom.sources import files as importer
 
 from .base import STORED_SQL, iso, iso_sql, literal_rows, scratch, stored, table, tokens_sql, values_sql, words_sql
@@ -230,7 +230,46 @@ def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INDEX_SQL = f"SELECT needle, doc_id AS id FROM documents, (VALUES {', '.join(f"('{n}')" for n in _NEEDLES)}) AS v(needle) WHERE contains(lower(source), lower(needle)) OR contains(lower(text), lower(needle))"
 
+def text_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches by source and day, merged to sources, and whether each estimate lies within its bound of the exact value."""
+    docs = stored(spark, sf_dir).select(F.col("filename").alias("source"), F.to_date("created_at").alias("day"), "text")
+    told = sketches.estimates(sketches.merged(sketches.summarise(docs, ["source", "day"]), ["source"]), ["source"])
+    exact = docs.groupBy("source").agg(F.count_distinct("text").alias("exact"))
+    ranks = docs.join(told.select("source", "q50", "q90"), "source").groupBy("source").agg(*[F.avg(F.when(F.length("text") < F.col(q), 1).otherwise(0)).alias(f"below_{q}") for q in ("q50", "q90")], *[F.avg(F.when(F.length("text") <= F.col(q), 1).otherwise(0)).alias(f"to_{q}") for q in ("q50", "q90")])
+    words = docs.select("source", "day", F.explode(F.array_remove(F.split("text", r"\s+"), "")).alias("word"))
+    daily = sketches.count_min(words, ["source", "day"], "word")
+    cells = daily.groupBy("source", "row", "cell").agg(F.sum("n").alias("n"))
+    counts = words.groupBy("source", "word").agg(F.count("*").alias("exact"))
+    total = counts.groupBy("source").agg(F.sum("exact").alias("words"))
+    over = sketches.count_estimates(cells, counts.select("source", "word"), ["source"], "word").join(counts, ["source", "word"]).join(total, "source")
+    # An estimate is never under; over by more than e / COUNTERS of all words it is for one word in e ** DEPTH at most, on average.
+    bound = F.col("words") * 2.7183 / sketches.COUNTERS
+    held = over.groupBy("source").agg(F.min(F.col("estimate") >= F.col("exact")).alias("never_under"), (F.avg(F.when(F.col("estimate") - F.col("exact") > bound, 1).otherwise(0)) < 0.05).alias("seldom_over"))
+    near = lambda q, share: (F.col(f"below_{q}") <= share + 0.05) & (F.col(f"to_{q}") >= share - 0.05)
+    return told.join(exact, "source").join(ranks, "source").join(held, "source").select("source", "texts", (F.abs(F.col("distinct_texts") - F.col("exact")) <= 0.08 * F.col("exact") + 1).alias("distinct_near"), (near("q50", 0.5) & near("q90", 0.9)).alias("quantiles_near"), "never_under", "seldom_over")
+
+
+SKETCHES_SQL = "SELECT source, count(*) AS texts, true AS distinct_near, true AS quantiles_near, true AS never_under, true AS seldom_over FROM documents GROUP BY source"
+
+
+def sql_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks and their fields taken out of answers in SQL text; a document's first lines are its answer's blocks."""
+    tables.register(spark)
+    stored(spark, sf_dir).select("id", "text").createOrReplaceTempView("paperloom_answers")
+    return spark.sql(r"""
+        WITH answers AS (
+          SELECT a.id, concat_ws('\n', 'Intro', collect_list(concat('### ', n.line_no, '. ', '\n**Text:** ', n.line, '\n**Schwere:** ', if(n.line_no % 2 = 0, 'hoch', 'niedrig'), '\n'))) AS md
+          FROM paperloom_answers a, LATERAL text_lines(a.text) n WHERE trim(n.line) <> '' AND NOT contains(n.line, '*') AND NOT contains(n.line, '#') GROUP BY a.id)
+        SELECT id, b.idx, md5(md_field(b.body, 'Text')) AS text_digest, md_severity(md_field(b.body, 'Schwere')) AS severity FROM answers, LATERAL md_blocks(md) b""")
+
+
+SQL_BLOCKS_SQL = r"""
+WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
+SELECT id, line_no::INT AS idx, md5(trim(line, ' ')) AS text_digest, CASE WHEN line_no % 2 = 0 THEN 'high' ELSE 'low' END AS severity FROM l WHERE trim(line, ' ') <> '' AND NOT contains(line, '*') AND NOT contains(line, '#')"""
+
 QUERIES = {
+    "text_sketches": (text_sketches, SKETCHES_SQL),
+    "sql_blocks": (sql_blocks, SQL_BLOCKS_SQL),
     "search_index": (search_index, INDEX_SQL),
     "doc_quality_profile": (doc_quality_profile, PROFILE_SQL),
     "doc_garbled_sample": (doc_garbled_sample, GARBLED_SQL),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from paperloom.functions import dates
-from paperloom.operators import catalogues, monitoring
+from paperloom.operators import asof, catalogues, monitoring
 from paperloom.streaming import state, streams
 
 from .base import literal_rows, scratch, table, values_sql
@@ -241,7 +241,42 @@ def derived_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HASH = "sha256(event_type || chr(1) || event_id)"
 DERIVED_SQL = f"SELECT event_id, concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) AS id FROM (SELECT event_id, {_HASH} AS h FROM events)"
 
+def error_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each error event with the same user's newest other event at or before it."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    found = asof.nearest_before(events.where("event_type = 'error'"), events.where("event_type <> 'error'"), ["user_id"], "ts", ["event_id"], scratch(spark, "as-of"))
+    return found.select("event_id", F.col("right_event_id").alias("before_id"), F.col("right_event_type").alias("before_type"))
+
+
+ERROR_CONTEXT_SQL = """SELECT e.event_id, b.event_id AS before_id, b.event_type AS before_type
+FROM (SELECT * FROM events WHERE event_type = 'error') e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type <> 'error') b ON e.user_id = b.user_id AND e.ts >= b.ts"""
+
+
+def error_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors and the same user's clicks in the two hours before: the batch form of the interval join of two streams."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    pairs = streams.within(events.where("event_type = 'error'"), events.where("event_type = 'click'"), "user_id", "2 HOURS")
+    return pairs.select("event_id", F.col("right_event_id").alias("click_id"))
+
+
+CAUSES_SQL = "SELECT e.event_id, c.event_id AS click_id FROM events e JOIN events c ON e.user_id = c.user_id AND c.ts BETWEEN e.ts - INTERVAL 2 HOUR AND e.ts WHERE e.event_type = 'error' AND c.event_type = 'click'"
+
+
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users that end after twelve hours without an event: the batch form of the stream."""
+    found = streams.sessions(table(spark, sf_dir, "events"), "user_id", "12 hours")
+    return found.select("user_id", dates.iso_ms(F.col("start")).alias("start"), dates.iso_ms(F.col("last")).alias("last"), "n")
+
+
+SESSIONS_SQL = """
+WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 12 HOUR, true) AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS start, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS last, count(*) AS n FROM s GROUP BY user_id, no"""
+
 QUERIES = {
+    "error_context": (error_context, ERROR_CONTEXT_SQL),
+    "error_causes": (error_causes, CAUSES_SQL),
+    "user_sessions": (user_sessions, SESSIONS_SQL),
     "log_write": (log_write, LOG_WRITE_SQL),
     "derived_ids": (derived_ids, DERIVED_SQL),
     "log_retention": (log_retention, RETENTION_SQL),

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paperloom.functions.patterns import FLUSH_MS
@@ -73,6 +73,28 @@ def windowed_metrics(samples: DataFrame, late: str = "10 minutes", width: str =
     return timed.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
 
 
+def sessions(events: DataFrame, key: str, gap: str, late: str = "10 minutes") -> DataFrame:
+    """Sessions of a key's events (ts): start, end (the last event and the gap), number of events; a new one begins after a gap without any."""
+    timed = events.withWatermark("ts", late)
+    found = timed.groupBy(F.session_window("ts", gap).alias("session"), key).agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    return found.select(key, F.col("session.start").alias("start"), F.col("session.end").alias("end"), "last", "n")
+
+
+def dropped_rows(query: StreamingQuery) -> int:
+    """How many rows a query has dropped because they came after the watermark, as far back as its progress reaches."""
+    return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+
+
+def within(left: DataFrame, right: DataFrame, key: str, before: str, late: str = "10 minutes") -> DataFrame:
+    """Pairs of rows with the same key where right's ts lies at most `before` ahead of left's: left's columns and right's as right_<name>.
+
+    Both may be streams: the interval and the watermarks bound the state that either side keeps.
+    """
+    other = right.withWatermark("ts", late).select(*[F.col(c).alias(f"right_{c}") for c in right.columns])
+    near = F.col("right_ts").between(F.col("ts") - F.expr(f"INTERVAL {before}"), F.col("ts"))
+    return left.withWatermark("ts", late).join(other, (F.col(key) == F.col(f"right_{key}")) & near)
+
+
 #: What a trigger should be set to for chunk batches.
 FLUSH_TRIGGER = f"{FLUSH_MS} milliseconds"
 

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.operators import monitoring, prefix, search, store, trigram
+from paperloom.functions import markdown, tables
+from paperloom.operators import monitoring, prefix, search, sketches, store, trigram
 
 
 def rows_read(df):
@@ -165,3 +166,35 @@ def test_a_gauge_never_falls_below_zero(spark, tmp_path):
         active = max(0, active + step)
         want.append(active)
     assert [r.active for r in got] == want
+
+
+def test_table_functions_equal_the_column_functions(spark):
+    texts = ["x\n### 1. one\n#### 12.\n\n### 3. \n  \n### 4. four", "", "### 2.a", None, "#### 7. b\n### 8. c ### 9. d"]
+    tables.register(spark)
+    spark.createDataFrame(list(enumerate(texts)), "id int, md string").createOrReplaceTempView("answers")
+    got = sorted(map(tuple, spark.sql("SELECT id, b.idx, b.body FROM answers, LATERAL md_blocks(md) b").collect()))
+    want = spark.table("answers").select("id", F.explode(markdown.numbered_blocks(F.col("md"))).alias("b")).select("id", "b.index", "b.body").collect()
+    assert got == sorted(map(tuple, want)) and len(got) == 6
+    block = "**Text:** a b \n**Schwere**: hoch\n\nrest"
+    told = spark.createDataFrame([(block,)], "b string").selectExpr("md_field(b, 'Text')", "md_field(b, 'Schwere')", "md_field(b, 'None')", "md_severity(md_field(b, 'Schwere'))").first()
+    assert tuple(told) == ("a b", "hoch", None, "high")
+
+
+def test_sketches_merge_to_what_they_say_of_the_whole(spark):
+    rng = random.Random(7)
+    rows = [(f"s{k % 3}", k % 11, f"text {rng.randrange(900)}" + "x" * rng.randrange(200)) for k in range(6000)]
+    docs = spark.createDataFrame(rows, "source string, day int, text string")
+    daily = sketches.summarise(docs, ["source", "day"])
+    for r in sketches.estimates(sketches.merged(daily, ["source"]), ["source"]).collect():
+        own = [t for s, _, t in rows if s == r.source]
+        assert r.texts == len(own) and abs(r.distinct_texts - len(set(own))) <= 0.08 * len(set(own))
+        lengths = sorted(map(len, own))
+        for share, told in ((0.5, r.q50), (0.9, r.q90)):
+            below, to = (sum(n < told for n in lengths) / len(own), sum(n <= told for n in lengths) / len(own))
+            assert below <= share + 0.05 and to >= share - 0.05
+    words = docs.select("source", "day", F.substring("text", 6, 3).alias("word"))
+    cells = sketches.count_min(words, ["source", "day"], "word").groupBy("source", "row", "cell").agg(F.sum("n").alias("n"))
+    exact = {(r.source, r.word): r["n"] for r in words.groupBy("source", "word").agg(F.count("*").alias("n")).collect()}
+    asked = words.select("source", "word").distinct().unionByName(spark.createDataFrame([("s0", "never")], "source string, word string"))
+    for r in sketches.count_estimates(cells, asked, ["source"], "word").collect():
+        assert 0 <= r.estimate - exact.get((r.source, r.word), 0) <= 2000 * 2.72 / sketches.COUNTERS * 4

@@ -1,5 +1,6 @@
 """Stream state over several micro-batches, expiry, timers, and batches that are replayed."""
 
+import datetime
 import random
 import time
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import monitoring
-from paperloom.streaming import state
+from paperloom.streaming import state, streams
 
 CHUNK = "stream long, seq long, ms long, text string, end boolean"
 SAMPLE = "host long, sample long, core long, total long, idle long"
@@ -133,3 +134,35 @@ def test_a_replayed_batch_writes_nothing_twice(spark, tmp_path):
     folder = next((tmp_path / "out").glob("query_id=*/batch_no=3"))
     (folder / "_SUCCESS").unlink()
     assert rows() == want
+
+
+EVENT = "user_id long, ts timestamp, n long"
+
+
+def test_late_rows_of_sessions_are_dropped_and_counted(spark, tmp_path):
+    at = lambda minute: datetime.datetime(2024, 1, 1, 10) + datetime.timedelta(minutes=minute)
+    for rows in ([(1, at(0), 0), (1, at(3), 0), (2, at(1), 0)], [(1, at(60), 0)], [(1, at(61), 0)], [(2, at(2), 0), (2, at(55), 0)], [(1, at(200), 0)]):
+        fed(spark, tmp_path / "in", rows, EVENT)
+    stream = streams.sessions(source(spark, tmp_path / "in", EVENT), "user_id", "5 minutes", "10 minutes")
+    writer = state.once(stream, str(tmp_path / "out"), str(tmp_path / "check"))
+    query = writer.trigger(availableNow=True).start()
+    assert query.awaitTermination(90)
+    # The row at minute 2 came when the watermark of the batch before stood at 50; that at minute 55 was in time.
+    assert streams.dropped_rows(query) == 1
+    got = state.taken(spark, str(tmp_path / "out"), "user_id long, start timestamp, end timestamp, last timestamp, n long").collect()
+    assert sorted((r.user_id, r.start, r.n) for r in got) == [(1, at(0), 2), (1, at(60), 2), (2, at(1), 1), (2, at(55), 1)]
+
+
+def test_interval_join_of_streams_equals_the_batch_form(spark, tmp_path):
+    rng = random.Random(2)
+    at = lambda: datetime.datetime(2024, 1, 1, 10) + datetime.timedelta(minutes=rng.randrange(300))
+    left, right = ([(rng.randrange(4), at(), k) for k in range(60)] for _ in range(2))
+    for name, rows in (("left", left), ("right", right)):
+        for k in range(0, 60, 20):
+            fed(spark, tmp_path / name, sorted(rows, key=lambda r: r[1])[k : k + 20], EVENT)
+    pairs = lambda df: sorted((r.n, r.right_n) for r in df.collect())
+    batch = streams.within(*(spark.createDataFrame(rows, EVENT) for rows in (left, right)), "user_id", "30 MINUTES")
+    stream = streams.within(source(spark, tmp_path / "left", EVENT), source(spark, tmp_path / "right", EVENT), "user_id", "30 MINUTES", "2 hours")
+    run(state.once(stream.select("n", "right_n"), str(tmp_path / "out"), str(tmp_path / "check")))
+    assert pairs(state.taken(spark, str(tmp_path / "out"), "n long, right_n long")) == pairs(batch)
+    assert len(pairs(batch)) == sum(a[0] == b[0] and datetime.timedelta(0) <= a[1] - b[1] <= datetime.timedelta(minutes=30) for a in left for b in right)
