@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 MONTHS = ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember")
 
 
+def utc(ts: Column) -> Column:
+    """An instant's date and time in UTC, as a timestamp without time zone, whatever the session's zone is: counted from the epoch, so no hour is skipped or told twice."""
+    seconds = (F.unix_micros(ts.cast("timestamp")).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
 def iso_ms(ts: Column) -> Column:
-    """ISO-8601 text in UTC with milliseconds (the session's time zone must be UTC)."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """ISO-8601 text in UTC with milliseconds."""
+    told = F.translate(F.substring(utc(ts).cast("string"), 1, 19), " ", "T")
+    return F.concat(told, F.lit("."), F.lpad(F.pmod(F.unix_millis(ts.cast("timestamp")), F.lit(1000)).cast("string"), 3, "0"), F.lit("Z"))
 
 
 def from_iso(value: Column) -> Column:
@@ -18,7 +25,8 @@ def from_iso(value: Column) -> Column:
 
 
 def day_key(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd")
+    """The day in UTC."""
+    return F.substring(utc(ts).cast("string"), 1, 10)
 
 
 def german_short(ts: Column) -> Column:

@@ -19,7 +19,7 @@ class NumberedBlocks:
 
     def eval(self, text: str) -> Iterator[tuple[int, str]]:
         heads = list(_HEAD.finditer(text or ""))
-        for head, after in zip(heads, [*heads[1:], None], strict=True):
+        for head, after in zip(heads, [*heads[1:], None], strict=False):
             body = text[head.end() : after.start() if after else len(text)]
             if not _BLANK.fullmatch(body):
                 yield int(head[1]), body

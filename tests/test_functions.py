@@ -1,5 +1,6 @@
 """Functions and operators on small inputs written for each rule."""
 
+import datetime
 import hashlib
 import io
 import random
@@ -10,7 +11,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.functions import classify, jsonx, markdown, text
+from paperloom.functions import classify, dates, jsonx, markdown, text
 from paperloom.functions.patterns import CHAT_DOCUMENT_TOKENS, MARKER_CHARS
 from paperloom.operators import catalogues, chat, evidence, inference, monitoring, parsers, prompts, scan, store
 from paperloom.plans import operations
@@ -396,3 +397,16 @@ def test_stream_digests_take_chunks_one_by_one(spark, sf_dir):
     got = monitoring.stream_digests(spark.createDataFrame(rows, "stream long, seq long, piece string").repartition(5)).collect()
     assert {r.stream: (r.digest, r.chunks) for r in got} == {k: (hashlib.md5("".join(v).encode()).hexdigest(), len(v)) for k, v in want.items()}
     assert "collect_list" not in operations.stream_concat(spark, sf_dir)._jdf.queryExecution().toString()
+
+
+def test_iso_texts_and_days_are_utc_in_any_session(spark):
+    millis = [0, -1, 1_711_846_800_123, 1_711_850_399_999, 1_699_164_000_001, 1_699_167_600_500, 253_402_300_799_999, -62_135_596_800_000]
+    want = [(datetime.datetime(1970, 1, 1) + datetime.timedelta(milliseconds=m)).isoformat(timespec="milliseconds") + "Z" for m in millis]
+    try:
+        for zone in ("UTC", "America/New_York", "Europe/Berlin", "Asia/Kathmandu"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            rows = spark.createDataFrame([(m,) for m in millis], "m long").select(F.timestamp_millis("m").alias("ts"))
+            got = rows.select(dates.iso_ms(F.col("ts")).alias("iso"), dates.day_key(F.col("ts")).alias("day"), (dates.from_iso(dates.iso_ms(F.col("ts"))) == F.col("ts")).alias("back")).collect()
+            assert [r.iso for r in got] == want and [r.day for r in got] == [w[:10] for w in want] and all(r.back for r in got)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
