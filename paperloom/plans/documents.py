@@ -8,7 +8,9 @@ from collections.abc import Iterator
 from functools import reduce
 from xml.sax.saxutils import escape
 
+import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from paperloom.functions import classify, tables, text
 from paperloom.functions.patterns import CHAT_MAX, CONTROL, GERMAN_WORDS, LEGACY_EXTENSIONS, MAX_FILE_BYTES, MIME_TYPES, OTHER_MIME, PRINTABLE_RE2, QUESTION_MAX, WS_RE2
 from paperloom.operators import search, sketches, trigram
 from paperloom.sources import files as importer
+from paperloom.sources import office
 
 from .base import STORED_SQL, iso, iso_sql, literal_rows, scratch, stored, table, tokens_sql, values_sql, words_sql
 
@@ -267,7 +270,57 @@ SQL_BLOCKS_SQL = r"""
 WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
 SELECT id, line_no::INT AS idx, md5(trim(line, ' ')) AS text_digest, CASE WHEN line_no % 2 = 0 THEN 'high' ELSE 'low' END AS severity FROM l WHERE trim(line, ' ') <> '' AND NOT contains(line, '*') AND NOT contains(line, '#')"""
 
+#: Documents that share an office file.
+_A_FILE = 200
+
+
+def _docx_bytes(lines: list[str]) -> bytes:
+    held, names = io.BytesIO(), 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    with zipfile.ZipFile(held, "w") as parts:
+        body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in lines)
+        parts.writestr("word/document.xml", f"<w:document {names}><w:body>{body}</w:body></w:document>")
+    return held.getvalue()
+
+
+def _xlsx_bytes(rows: list[tuple]) -> bytes:
+    held, main, relations = io.BytesIO(), "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(held, "w") as parts:
+        parts.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{relations}"><sheets><sheet name="Documents" r:id="r1"/></sheets></workbook>')
+        parts.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        cells = "".join("<row>" + "".join(f'<c t="inlineStr"><is><t>{escape(str(v))}</t></is></c>' for v in row) + "</row>" for row in rows)
+        parts.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{cells}</sheetData></worksheet>')
+    return held.getvalue()
+
+
+def office_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written into office files, many to a file, and read back by the data source: texts as docx, sizes as xlsx."""
+    office.register(spark)
+    path = scratch(spark, "office")
+
+    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        system, folder = fs.FileSystem.from_uri(path)
+        system.create_dir(folder)
+        rows = rows.sort_values("doc_id")
+        for name, content in ((f"{key[0]}.DOCX", _docx_bytes(rows["text"].tolist())), (f"{key[0]}.xlsx", _xlsx_bytes(list(rows[["doc_id", "chars"]].itertuples(index=False))))):
+            with system.open_output_stream(f"{folder}/{name}") as file:
+                file.write(content)
+        return pd.DataFrame({"file": [key[0]]})
+
+    # XML takes no control characters, and reads carriage returns as line feeds.
+    plain = F.regexp_replace(F.regexp_replace("text", r"[\t\n\r]", " "), "[\\x00-\\x1F\uFFFE\uFFFF]", "")
+    docs = table(spark, sf_dir, "documents").select((F.floor(F.col("doc_id") / _A_FILE)).alias("file"), "doc_id", F.concat(F.lit("["), plain, F.lit("]")).alias("text"), F.length("text").alias("chars"))
+    docs.groupBy("file").applyInPandas(write, "file long").count()
+    found = spark.read.format(office.NAME).load(path).where("ext IN ('.docx', '.xlsx') AND file_size > 0")
+    return found.select("filename", "ext", "page_count", F.md5("text").alias("digest"), "error")
+
+
+OFFICE_SQL = rf"""
+WITH d AS (SELECT doc_id // {_A_FILE} AS file, doc_id, '[' || regexp_replace(regexp_replace(text, '[\t\n\r]', ' ', 'g'), '[\x00-\x1F\x{{FFFE}}\x{{FFFF}}]', '', 'g') || ']' AS text, length(text) AS chars FROM documents)
+SELECT file || '.DOCX' AS filename, '.docx' AS ext, NULL::INT AS page_count, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS digest, NULL::VARCHAR AS error FROM d GROUP BY file
+UNION ALL SELECT file || '.xlsx', '.xlsx', 1, md5('--- Documents ---' || chr(10) || string_agg(doc_id || ',' || chars, chr(10) ORDER BY doc_id)), NULL FROM d GROUP BY file"""
+
 QUERIES = {
+    "office_scan": (office_scan, OFFICE_SQL),
     "text_sketches": (text_sketches, SKETCHES_SQL),
     "sql_blocks": (sql_blocks, SQL_BLOCKS_SQL),
     "search_index": (search_index, INDEX_SQL),
