@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import spread_join, written
+from .common import drop_table, scratch_path, spread_join, written
 
 #: A longer stretch of a conversation, in rows or in characters of text, is cut into pieces.
 PIECE_ROWS, PIECE_CHARS = 1000, 4_000_000
@@ -316,13 +316,13 @@ _REPORT = _fields(*((n, _LONG) for n in ("gaps", *_FAULTS, "illegal", "cost")),
 _PIECE = _fields(("place", _LONG), ("finished", T.BooleanType()), ("costs", _LONGS), ("turns", _LONGS), ("roles", _STRINGS), ("texts", _STRINGS), ("faults", _LONGS))
 
 
-def _stretches(turns: DataFrame, copies: str | None) -> DataFrame:
-    """Rows with their number of copies and whether role and text came before, sorted by ranges."""
+def _stretches(turns: DataFrame, copies: str | None, path: str) -> DataFrame:
+    """Rows with their number of copies and whether role and text came before, sorted by ranges. Folded rows are written to path."""
     told = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), told("role").alias("role"), told("text").alias("text"), (F.col(copies) if copies else F.lit(1)).cast("long").alias("copies"))
     rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").alias("copies"))
     content = F.unhex(F.md5(F.concat_ws("/", F.sha2("text", 256), F.sha2("role", 256), F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("-")))))
-    rows = written(rows.withColumn("content", content), "turns")
+    rows = written(rows.withColumn("content", content), "turns", path)
     order = F.struct(F.col("turn").isNotNull(), "turn")
     real, names = rows.where("copies > 0"), rows.where("copies = 0")
     met = real.groupBy("content").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -345,7 +345,11 @@ def _walked_pieces(pieces: DataFrame) -> DataFrame:
 
 def _pieces(turns: DataFrame, copies: str | None, piece_rows: int, whole: bool) -> DataFrame:
     schema = T.StructType([turns.schema["conv_id"], *_PIECE, *_REPORT])
-    return written(_stretches(turns, copies).mapInArrow(_in_arrow(lambda rows: _cut(rows, piece_rows, whole), schema), schema), "pieces")
+    path = scratch_path(turns.sparkSession, "turns")
+    try:
+        return written(_stretches(turns, copies, path).mapInArrow(_in_arrow(lambda rows: _cut(rows, piece_rows, whole), schema), schema), "pieces")
+    finally:
+        drop_table(turns.sparkSession, path)
 
 
 def repair(turns: DataFrame, copies: str | None = None, piece_rows: int = PIECE_ROWS) -> DataFrame:

@@ -3,7 +3,7 @@
 import public_tokenizers
 import pytest
 
-from paperloom.llm import exact_dedup, lm_score, mixing, packing, quality_rules, secret_scan, simhash_dedup, token_files
+from paperloom.llm import exact_dedup, fill_middle, lm_score, mixing, packing, quality_rules, secret_scan, simhash_dedup, token_count, token_files
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -16,6 +16,8 @@ OPERATORS = {
     "packing": lambda docs: packing.pack(docs, BPE),
     "token_files": lambda docs: token_files.round_trip(docs, BPE),
     "exact_dedup": exact_dedup.exact_dedup,
+    "token_count": lambda docs: token_count.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")),
+    "fill_middle": fill_middle.fill_in_middle,
     "secret_scan": lambda docs: secret_scan.find_secrets(docs, RANKS, public_tokenizers.PATTERN),
 }
 LARGE = [2**53 + 1, None, 2**53 + 3, 2**63 - 1, -(2**63), 0]
