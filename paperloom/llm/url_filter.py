@@ -1,6 +1,8 @@
 """URL filters: fixed rules first, then an empirical-Bayes reputation of hosts.
 
-Pages that a rule decides are the labelled outcomes. Block rates are shrunk level by level
+Pages that a rule decides are labelled outcomes. A block rule also speaks for what it spares: pages of
+its hosts whose path it doesn't fit are outcomes too, unblocked ones, or else hosts that only block
+rules fit could have no other rate than one. Block rates are shrunk level by level
 through beta-binomial priors: all pages, public suffix, registered domain, host. A group's prior
 has its parent's posterior mean, and a variance that adds the spread of the level to what is
 unknown of the parent; so without outcomes of its own or its kin, a host's rate stays wide open.
@@ -14,6 +16,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread_join, written
+
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts alike.
 RULES = (
     ("allow", "com", "/"),
@@ -23,9 +27,9 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 
-#: Posterior mean less Z standard deviations must pass THRESHOLD to block.
+#: Posterior mean less Z standard deviations must pass THRESHOLD to block: more than a fifth of the host's pages are bad, surely.
 Z = 1.645
-THRESHOLD = 0.5
+THRESHOLD = 0.2
 #: Bounds of the correlation inside a group, so of the prior's strength 1 / rho - 1.
 MIN_RHO, MAX_RHO = 0.01, 0.9
 
@@ -61,14 +65,23 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def name_parts(host: Column) -> tuple[Column, Column]:
+def spared(host: Column, path: Column, rules=RULES) -> Column:
+    """Whether a block rule fits the host, but not the path."""
+    out = F.lit(False)
+    for said, name, prefix in rules:
+        if said == "block":
+            out = out | (((host == name) | host.endswith(f".{name}")) & ~path.startswith(prefix))
+    return out
+
+
+def name_parts(host: Column, suffixes=SUFFIXES) -> tuple[Column, Column]:
     """The public suffix and the registered domain of a host."""
     name = host
     for pattern in ROUND_NAME:
         name = F.regexp_replace(name, pattern, "")
     labels = F.split(name, r"\.")
     last = lambda n: F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - (n - 1)), n), ".")
-    address, double = name.rlike(ADDRESS), last(2).isin(*SUFFIXES)
+    address, double = name.rlike(ADDRESS), last(2).isin(*suffixes)
     suffix = F.when(address, ADDRESSES).when(double, last(2)).otherwise(last(1))
     return suffix, F.when(address, name).when(double, last(3)).otherwise(last(2))
 
@@ -99,12 +112,12 @@ def _shrunk(groups: DataFrame, parent: str) -> DataFrame:
     )
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """From rows (host, bad, labelled): one row per host with n, k, mean and bound of its block rate."""
-    suffix, domain = name_parts(F.col("host"))
+def host_reputation(outcomes: DataFrame, suffixes=SUFFIXES) -> DataFrame:
+    """From rows (host, bad, labelled): one row per host with its number of rows, and n, k, mean and bound of its block rate."""
+    suffix, domain = name_parts(F.col("host"), suffixes)
     hosts = (
         outcomes.groupBy("host")
-        .agg(F.sum(F.col("labelled").cast("long")).alias("n"), F.sum((F.col("labelled") & F.col("bad")).cast("long")).alias("k"))
+        .agg(F.count("*").alias("rows"), F.sum(F.col("labelled").cast("long")).alias("n"), F.sum((F.col("labelled") & F.col("bad")).cast("long")).alias("k"))
         .withColumn("domain", domain)
         .withColumn("suffix", suffix)
     )
@@ -115,24 +128,27 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     named = lambda rows, key: rows.select(key, F.col("mean").alias(f"{key}_mean"), F.col("var").alias(f"{key}_var"))
     suffixes = named(_shrunk(suffixes.crossJoin(F.broadcast(overall)), "all"), "suffix")
     domains = named(_shrunk(domains.join(suffixes, "suffix"), "suffix"), "domain")
-    return _shrunk(hosts.join(domains, "domain"), "domain").select("host", "n", "k", "mean", "bound")
+    return _shrunk(hosts.join(domains, "domain"), "domain").select("host", "rows", "n", "k", "mean", "bound")
 
 
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
+def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, threshold: float = THRESHOLD, suffixes=SUFFIXES) -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict.
 
     A null url or one without :// has an empty host and path; no rule fits, and the empty host is
     judged by its prior. Repeated rows are judged alike and count as outcomes each. Null ids pass
-    through, other columns are not read, and an empty table gives an empty result.
+    through, other columns are not read, and an empty table gives an empty result. suffixes are the
+    public suffixes of two labels. A very long url costs its length; hosts with very many pages don't
+    meet in one task (spread_join), and what is kept of a host is one row.
     """
     host, path = host_of(F.col("u")), path_of(F.col("u"))
     named = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("u")).select("page_id", host.alias("host"), path.alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     judged = named.withColumn("rule", rule).withColumn("said", said)
-    outcomes = judged.select("host", F.col("said").isNotNull().alias("labelled"), (F.col("said") == "block").alias("bad"))
-    reputation = host_reputation(outcomes).select("host", (F.col("bound") > threshold).alias("bad_host"))
+    told = F.col("said").isNotNull() | spared(F.col("host"), F.col("path"), rules)
+    outcomes = judged.select("host", told.alias("labelled"), F.coalesce(F.col("said") == "block", F.lit(False)).alias("bad"))
+    reputation = host_reputation(outcomes, suffixes).select("host", "rows", (F.col("bound") > threshold).alias("bad_host"))
     by_host = F.when(F.col("bad_host"), "block").otherwise("allow")
-    return judged.join(reputation, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("said", by_host).alias("verdict"))
+    return spread_join(judged, written(reputation, "hosts"), "host", "rows").select("page_id", "host", "path", "rule", F.coalesce("said", by_host).alias("verdict"))
 
 
 def _level_sql(groups: str, parent: str) -> str:
@@ -148,6 +164,7 @@ def oracle_sql(rules=RULES) -> str:
     fits = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in ordered]
     rule = " ".join(f"{f} THEN '{h}{p}'" for f, (_, h, p) in zip(fits, ordered, strict=True))
     said = " ".join(f"{f} THEN '{v}'" for f, (v, _, _) in zip(fits, ordered, strict=True))
+    spares = " OR ".join(f"((host = '{h}' OR ends_with(host, '.{h}')) AND NOT starts_with(path, '{p}'))" for v, h, p in rules if v == "block")
     name = "host"
     for pattern in ROUND_NAME:
         name = f"regexp_replace({name}, '{pattern}', '')"
@@ -157,7 +174,7 @@ def oracle_sql(rules=RULES) -> str:
 WITH named AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host,
                       regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 judged AS (SELECT *, CASE {rule} END AS rule, CASE {said} END AS said FROM named),
-counted AS (SELECT host, sum((said IS NOT NULL)::INT)::DOUBLE AS n, sum((said IS NOT NULL AND said = 'block')::INT)::DOUBLE AS k FROM judged GROUP BY host),
+counted AS (SELECT host, sum((said IS NOT NULL OR {spares})::INT)::DOUBLE AS n, sum((said IS NOT NULL AND said = 'block')::INT)::DOUBLE AS k FROM judged GROUP BY host),
 split AS (SELECT *, string_split(name, '.') AS labels FROM (SELECT *, {name} AS name FROM counted)),
 hosts AS (SELECT host, n, k, CASE WHEN {address} THEN '{ADDRESSES}' WHEN {double} THEN array_to_string(labels[-2:], '.') ELSE labels[-1] END AS suffix,
                  CASE WHEN {address} THEN name WHEN {double} THEN array_to_string(labels[-3:], '.') ELSE array_to_string(labels[-2:], '.') END AS domain FROM split),

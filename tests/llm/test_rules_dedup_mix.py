@@ -153,8 +153,23 @@ def test_name_parts(spark):
     assert {r[0]: (r[1], r[2]) for r in rows} == want
 
 
-def test_both_verdicts_occur_where_no_rule_fits(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+def test_both_verdicts_occur_in_one_suffix_where_no_rule_fits(spark):
+    """A block rule's spared pages count as outcomes, so hosts under a suffix that only block rules fit differ."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     judged = url_filter.filter_urls(pages).where("rule IS NULL").collect()
-    assert {r.verdict for r in judged} == {"allow", "block"}
-    assert {r.verdict for r in judged if r.host.endswith(".org")} <= {"allow"}
+    assert {r.verdict for r in judged if r.host.endswith(".net")} == {"allow", "block"}
+    assert {r.verdict for r in judged if r.host.endswith(".org")} == {"allow"}
+
+
+def test_a_host_is_told_from_its_kin_by_its_own_pages(spark):
+    urls = [f"http://{h}.net/{p}/{k}" for h, bad in (("mostly", 45), ("hardly", 3)) for k in range(60) for p in ["es" if k < bad else "de"]]
+    rows = [(k, u) for k, u in enumerate(urls)] + [(k, "http://new.hardly.net/de/") for k in range(1000, 1003)]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    got = {(r.host, r.verdict) for r in url_filter.filter_urls(frame).where("rule IS NULL").collect()}
+    assert got == {("mostly.net", "block"), ("hardly.net", "allow"), ("new.hardly.net", "allow")}
+    same_rows(url_filter.filter_urls(frame), url_filter.oracle_sql(), pages=pd.DataFrame(rows, columns=["page_id", "url"]))
+
+
+def test_suffixes_are_a_parameter(spark):
+    host = spark.createDataFrame([("a.shop.example",)], "host string")
+    assert tuple(host.select(*url_filter.name_parts(F.col("host"), ("shop.example",))).first()) == ("shop.example", "a.shop.example")
