@@ -92,8 +92,8 @@ def matches(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", text_co
 
     Phrases are compared as they are written; equal phrases are all told, null and empty ones never
     occur, and null texts hold nothing. Nothing is shuffled: a text is read once, in time in proportion to
-    its length and its hits. The dictionary reaches the tasks in blocks of SCAN_CHARS characters, so what is
-    broadcast at a time is bounded; k blocks are k passes over the texts.
+    its length and its hits. The dictionary reaches the tasks in blocks of SCAN_CHARS characters, so what a task holds
+    is bounded; k blocks are k passes over the texts, and the driver holds the dictionary until the result is read.
     """
 
     def found(automaton, text: str) -> Iterator[tuple]:
