@@ -28,7 +28,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows with equal normalised texts form a class; the row with the smallest id stays. Null
     and white-space-free empty texts are one class. Of rows that repeat id and text just one is
     kept. A null id stays only in a class without other ids. Other columns are not read. Texts
-    with equal hashes but different bytes are different classes.
+    with equal hashes but different bytes are different classes. A very long text is hashed and compared
+    whole, once a row; copies inside a partition fold before they are shuffled.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("t"))
     key = F.coalesce(F.unhex(F.md5("t")), F.lit(b"")).alias("content_key")
@@ -57,7 +58,9 @@ def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The row of docs that stays of each class, with all its columns.
 
     Rows meet their verdict by id and digest, in one key, by which they are shuffled once; of rows
-    that repeat both, one passes.
+    that repeat both, one passes. Null counts as empty text, and all empty texts are one class; a null id
+    stays only in a class without other ids. Columns of any name pass through, nulls included; an empty
+    table stays empty. A text of any length is shuffled once and compared in its digest and its bytes.
     """
 
     def key(doc_id: Column, digest: Column) -> Column:

@@ -119,7 +119,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def good_rows(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
+    """The rows of docs that the rules keep, with all their columns.
+
+    Null and empty texts have no words and are rejected. Repeated rows are judged alike, each by itself;
+    null ids, nulls in other columns and columns of any name pass through. An empty table stays empty.
+    A very long text is held whole, with its words and the sorted places of its windows.
+    """
     judged = _judged(docs, F.struct("*"), text_col, rules)
     # A filter would be pushed below the projections and take their expressions with it, arrays and
     # all, into every place that uses them. It isn't pushed below a row number, which is never negative.

@@ -138,7 +138,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Labels are learnt from rows whose crc32(doc_id as text) mod 5 is not 0; null labels and rows
     without a document are left out. Null and empty texts have all statistics 0 and are scored like
     others. Repeated rows are scored alike; a null doc_id is not held out and has no label. Other
-    columns are not read. Without labels of both classes the score is a constant.
+    columns are not read. Without labels of both classes the score is a constant; an empty table gives an
+    empty result. A very long text costs a few passes of its length and the memory of its words.
     """
     stats = written(statistics(docs, id_col, text_col), "statistics")
     names = stats.columns[1:]

@@ -181,7 +181,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null texts and texts without words have fingerprint zero, which links like any other. Repeated
     rows share a fingerprint. Null ids are never the smallest; a component of null ids only has a
-    null component_id. Other columns are not read. An empty table gives an empty result.
+    null component_id. Other columns are not read. An empty table gives an empty result. A very long
+    text is held whole with the hashes of its shingles while its fingerprint is made, and only its
+    fingerprint goes on; very many different fingerprints that share a posting list are compared in one task.
     """
     prints = written(with_fingerprints(docs, id_col, text_col), "simhash")
     rooted = written(_rooted(prints, F.min("doc_id")), "roots")
