@@ -15,27 +15,27 @@ from paperloom.llm import common, exact_dedup, mixing, packing, quality_rules, s
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality rules reject."""
+    """Drops the documents that the quality rules reject, null and empty texts among them. Repeated rows are judged alike; other columns, nulls and ids of any kind stay as they are."""
     return quality_rules.good_rows(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the smallest doc_id of equal texts."""
+    """Keeps the row with the smallest doc_id of equal texts. A null text equals an empty one; a null id stays only among null ids; of rows that repeat id and text, one stays."""
     return exact_dedup.first_rows(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies."""
+    """Keeps the document with the smallest doc_id of each group of near copies; null and repeated ids as in drop_copies(). Texts without words are one group."""
     return simhash_dedup.representatives(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and thins documents so that sources meet their target weights."""
+    """Repeats and thins documents so that sources meet their target weights. Null sources are one source, the last; rows without words follow their source's whole repetitions."""
     return mixing.mixed_rows(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts token ids into pieces and packs them into windows."""
+    """Cuts token ids into pieces and packs them into windows. A null text is its end token alone; a very long text is as many pieces as it needs. An empty table gives none."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
