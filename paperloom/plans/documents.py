@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
@@ -147,8 +148,9 @@ def bulk_import_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_rows.unionByName(importer.rejects(judged), allowMissingColumns=True)
 
 
-#: What office files of this query hold: printable text, a paragraph a line.
-_PLAIN = "[^ -~\\x{00A0}-\\x{00FF}\\n]"
+#: What XML forbids in a text, and carriage returns, which it reads as line feeds; and white space at a text's ends, which extraction drops.
+_FORBIDDEN = r"[\x00-\x08\x0B-\x1F\uFFFE\uFFFF]"
+_ENDS = r"[\t\n \x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 
 
 def _office(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,12 +169,13 @@ def _office(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract_office(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document through an office file and its extractor."""
-    plain = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", _PLAIN, "").alias("text"))
+    plain = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", _FORBIDDEN, "").alias("text"))
     done = importer.extract(plain.mapInArrow(_office, "doc_id long, ext string, content binary"))
-    return done.select("doc_id", F.md5(F.regexp_replace("text", "^[ \\n\u00a0]+|[ \\n\u00a0]+\\z", "")).alias("digest"), "error")
+    return done.select("doc_id", F.md5(F.regexp_replace("text", rf"^{_ENDS}|{_ENDS}\z", "")).alias("digest"), "error")
 
 
-EXTRACT_SQL = r"""SELECT doc_id, md5(regexp_replace(replace(regexp_replace(text, '[^ -~\x{00A0}-\x{00FF}\n]', '', 'g'), chr(10), chr(10) || chr(10)), '^[ \n\x{00a0}]+|[ \n\x{00a0}]+\z', '', 'g')) AS digest, NULL::VARCHAR AS error FROM documents"""
+_RE2_ENDS, _RE2_FORBIDDEN = (re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", p) for p in (_ENDS, _FORBIDDEN))
+EXTRACT_SQL = rf"""SELECT doc_id, md5(regexp_replace(replace(regexp_replace(text, '{_RE2_FORBIDDEN}', '', 'g'), chr(10), chr(10) || chr(10)), '^{_RE2_ENDS}|{_RE2_ENDS}\z', '', 'g')) AS digest, NULL::VARCHAR AS error FROM documents"""
 
 
 _LEGACY = ", ".join(f"'{e}'" for e in LEGACY_EXTENSIONS)
