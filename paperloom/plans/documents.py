@@ -295,9 +295,8 @@ def _xlsx_bytes(rows: list[tuple]) -> bytes:
     return held.getvalue()
 
 
-def office_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written into office files, many to a file, and read back by the data source: texts as docx, sizes as xlsx."""
-    office.register(spark)
+def _office_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A new folder of office files with all documents, many to a file: texts as docx, sizes as xlsx."""
     path = scratch(spark, "office")
 
     def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -313,6 +312,13 @@ def office_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.regexp_replace(F.regexp_replace("text", r"[\t\n\r]", " "), "[\\x00-\\x1F\uFFFE\uFFFF]", "")
     docs = table(spark, sf_dir, "documents").select((F.floor(F.col("doc_id") / _A_FILE)).alias("file"), "doc_id", F.concat(F.lit("["), plain, F.lit("]")).alias("text"), F.length("text").alias("chars"))
     docs.groupBy("file").applyInPandas(write, "file long").count()
+    return path
+
+
+def office_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Office files with all documents, read back by the data source."""
+    office.register(spark)
+    path = _office_folder(spark, sf_dir)
     found = spark.read.format(office.NAME).load(path).where("ext IN ('.docx', '.xlsx') AND file_size > 0")
     return found.select("filename", "ext", "page_count", F.md5("text").alias("digest"), "error")
 
@@ -322,7 +328,25 @@ WITH d AS (SELECT doc_id // {_A_FILE} AS file, doc_id, '[' || regexp_replace(reg
 SELECT file || '.DOCX' AS filename, '.docx' AS ext, NULL::INT AS page_count, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS digest, NULL::VARCHAR AS error FROM d GROUP BY file
 UNION ALL SELECT file || '.xlsx', '.xlsx', 1, md5('--- Documents ---' || chr(10) || string_agg(doc_id || ',' || chars, chr(10) ORDER BY doc_id)), NULL FROM d GROUP BY file"""
 
+def import_office(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of office files imported with its gates and copied to a managed folder; the copies are read back as office files."""
+    office.register(spark)
+    folder = _office_folder(spark, sf_dir)
+    stored_files = importer.managed(importer.import_folder(spark, folder), copies := scratch(spark, "managed"))
+    kept = scratch(spark, "imported")
+    stored_files.select("filename", "ext", "mime_type", "word_count", F.md5("text").alias("digest"), classify.basename(F.col("managed_path")).alias("copy")).write.parquet(kept)
+    again = spark.read.format(office.NAME).load(copies).select(F.col("filename").alias("copy"), F.md5("text").alias("copy_digest"))
+    return spark.read.parquet(kept).join(again, "copy", "left").select("filename", "ext", "mime_type", "word_count", "digest", (F.col("digest") == F.col("copy_digest")).alias("copied"))
+
+
+IMPORT_OFFICE_SQL = OFFICE_SQL[: OFFICE_SQL.index("SELECT file || '.DOCX'")].rstrip() + f""",
+t AS (SELECT file || '.DOCX' AS filename, '.docx' AS ext, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS t FROM d GROUP BY file
+      UNION ALL SELECT file || '.xlsx', '.xlsx', '--- Documents ---' || chr(10) || string_agg(doc_id || ',' || chars, chr(10) ORDER BY doc_id) FROM d GROUP BY file),
+c AS (SELECT *, length(t) AS chars, {_class_sql(PRINTABLE_RE2, "t")} AS printable, {_class_sql(CONTROL, "t")} AS control FROM t)
+SELECT filename, ext, CASE ext WHEN '.docx' THEN '{MIME_TYPES[".docx"]}' ELSE '{MIME_TYPES[".xlsx"]}' END AS mime_type, len({words_sql("t")}) AS word_count, md5(t) AS digest, true AS copied FROM c WHERE ({_VERDICT}) = 'ok'"""
+
 QUERIES = {
+    "import_office": (import_office, IMPORT_OFFICE_SQL),
     "office_scan": (office_scan, OFFICE_SQL),
     "text_sketches": (text_sketches, SKETCHES_SQL),
     "sql_blocks": (sql_blocks, SQL_BLOCKS_SQL),

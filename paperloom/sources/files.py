@@ -7,21 +7,29 @@ image extractors are plugged in by whoever has a library or an OCR engine for th
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from paperloom.functions import classify, text
 from paperloom.functions.patterns import MAX_EDGE, MAX_FILE_BYTES, MAX_PIXELS, MIME_TYPES
 
 
+#: Bytes of a file that are copied at a time.
+COPY_BYTES = 8 << 20
+
+
 @dataclass(frozen=True)
 class Extracted:
     text: str
@@ -172,6 +180,43 @@ def accepted(imported: DataFrame) -> DataFrame:
     return imported.where("reject_reason IS NULL").drop("reject_reason")
 
 
+def managed(imported: DataFrame, folder: str) -> DataFrame:
+    """accepted(imported) with managed_path: where a copy of the file's bytes lies in folder.
+
+    Only files that passed every gate are copied, so a failed extraction leaves nothing to take back. Tasks copy
+    from file to file in pieces, to a name of their own that is put in place at the end: a task that dies leaves
+    no half copy under a final name, and one that runs again writes the same names, which are digests of the
+    paths. A file that has gone meanwhile stops the import; discard() then takes back what it has copied.
+    """
+    rows = accepted(imported)
+
+    def copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, root = fs.FileSystem.from_uri(folder)
+        target.create_dir(root)
+        for batch in batches:
+            places = []
+            for path, ext in zip(batch.column("path").to_pylist(), batch.column("ext").to_pylist(), strict=True):
+                source, place = fs.FileSystem.from_uri(path)
+                name = f"{root}/{hashlib.sha256(path.encode()).hexdigest()}{ext}"
+                own = f"{name}.{uuid.uuid4().hex}.part"
+                with source.open_input_stream(place) as bytes_in, target.open_output_stream(own) as bytes_out:
+                    while piece := bytes_in.read(COPY_BYTES):
+                        bytes_out.write(piece)
+                target.move(own, name)
+                places.append(name)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.string())], names=[*batch.schema.names, "managed_path"])
+
+    return rows.mapInArrow(copied, StructType([*rows.schema, StructField("managed_path", StringType())]))
+
+
+def discard(folder: str, names: list[str] | None = None) -> None:
+    """Takes copies back: those of some names, or all with what broken copies have left."""
+    system, root = fs.FileSystem.from_uri(folder)
+    for info in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if names is None or info.base_name in names:
+            system.delete_file(info.path)
+
+
 def rejects(imported: DataFrame) -> DataFrame:
     """The others, each as `name: reason`."""
     return imported.where("reject_reason IS NOT NULL").select(F.concat("filename", F.lit(": "), "reject_reason").alias("message"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, StringContains
 
 from paperloom.plans.documents import _docx_bytes, _xlsx_bytes
-from paperloom.sources import office
+from paperloom.sources import files, office
 
 
 @pytest.fixture
@@ -46,3 +46,18 @@ def test_filters_reach_the_scan_and_partitions_are_even(spark, folder):
     sizes = [sum(f[3] for f in p.files) for p in parts]
     assert sum(len(p.files) for p in parts) == 6 and all(s <= 900 for s in sizes) and len(parts) > 1
     assert spark.read.format(office.NAME).load(str(folder)).where("ext = '.none'").collect() == []
+
+
+def test_managed_copies_are_made_of_accepted_files_only(spark, folder, tmp_path_factory):
+    copies = tmp_path_factory.mktemp("managed") / "copies"
+    rows = files.managed(files.import_folder(spark, str(folder)), str(copies)).collect()
+    assert {r.filename for r in rows} == {*(f"{k}.docx" for k in range(6)), "SHEET.XLSX"}
+    assert {p.name for p in copies.iterdir()} == {r.managed_path.rsplit("/", 1)[1] for r in rows} and len(rows) == 7
+    for r in rows:
+        assert open(r.managed_path, "rb").read() == (folder / r.filename).read_bytes()
+    files.managed(files.import_folder(spark, str(folder)), str(copies)).collect()  # done over, it is the same
+    assert len(list(copies.iterdir())) == 7
+    files.discard(str(copies), [rows[0].managed_path.rsplit("/", 1)[1]])
+    assert len(list(copies.iterdir())) == 6
+    files.discard(str(copies))
+    assert list(copies.iterdir()) == []
