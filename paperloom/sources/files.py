@@ -34,6 +34,8 @@ COPY_BYTES = 8 << 20
 class Extracted:
     text: str
     page_count: int | None = None
+    #: How sure a recognition engine is of the text, 0 to 100.
+    confidence: float | None = None
 
 
 Extractor = Callable[[bytes], Extracted]
@@ -97,6 +99,23 @@ def register_extractor(extension: str, extractor: Extractor) -> None:
     _EXTRACTORS[extension] = extractor
 
 
+#: Engines of this process, by the name of what makes them.
+_ENGINES: dict[str, Extractor] = {}
+
+
+class PerWorker:
+    """An extractor whose engine is costly to start: make() is called once in each worker process, at its first file."""
+
+    def __init__(self, make: Callable[[], Extractor]):
+        self.make = make
+
+    def __call__(self, content: bytes) -> Extracted:
+        name = f"{self.make.__module__}.{self.make.__qualname__}"
+        if name not in _ENGINES:
+            _ENGINES[name] = self.make()
+        return _ENGINES[name](content)
+
+
 def extraction_error(message: Column) -> Column:
     """What an extractor's error message means."""
     said = F.lower(message)
@@ -127,27 +146,27 @@ def scan_folder(spark: SparkSession, path: str) -> DataFrame:
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """From rows with (path, ext, content): adds text, page_count and error, and drops content. One file's failure stays its own."""
+    """From rows with (path, ext, content): adds text, page_count, confidence and error, and drops content. One file's failure stays its own."""
     extractors = dict(_EXTRACTORS)
     kept = [f for f in files.schema.fields if f.name != "content"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[str | None, int | None, str | None]] = []
+            found: list[tuple[str | None, int | None, float | None, str | None]] = []
             for ext, content in zip(batch.column("ext").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 try:
                     if ext not in extractors:
                         raise ValueError(f"no extractor for {ext}")
                     said = extractors[ext](content)
-                    found.append((said.text.strip(), said.page_count, None))
+                    found.append((said.text.strip(), said.page_count, said.confidence, None))
                 except Exception as error:  # any extractor's error becomes the file's reject reason
-                    found.append((None, None, f"{type(error).__name__}: {error}"))
-            texts, pages, errors = zip(*found, strict=True) if found else ((), (), ())
+                    found.append((None, None, None, f"{type(error).__name__}: {error}"))
+            texts, pages, sure, errors = zip(*found, strict=True) if found else ((), (), (), ())
             names = [n for n in batch.schema.names if n != "content"]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(texts, pa.string()), pa.array(pages, pa.int32()), pa.array(errors, pa.string())], names=[*names, "text", "page_count", "error"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(texts, pa.string()), pa.array(pages, pa.int32()), pa.array(sure, pa.float64()), pa.array(errors, pa.string())], names=[*names, "text", "page_count", "confidence", "error"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return files.mapInArrow(run, f"{schema}, text string, page_count int, error string")
+    return files.mapInArrow(run, f"{schema}, text string, page_count int, confidence double, error string")
 
 
 def _any_case(extensions: list[str]) -> str:

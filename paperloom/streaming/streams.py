@@ -104,6 +104,23 @@ def polled(samples: DataFrame, seconds: int = POLL_SECONDS) -> DataStreamWriter:
     return samples.writeStream.trigger(processingTime=f"{seconds} seconds")
 
 
+class Poll:
+    """polled() with a pause. What comes in meanwhile is taken after it goes on: `write` names a checkpoint, which knows how far it got."""
+
+    def __init__(self, samples: DataFrame, write: Callable[[DataStreamWriter], DataStreamWriter], seconds: int = POLL_SECONDS):
+        self.samples, self.write, self.seconds, self.query = samples, write, seconds, None
+
+    def resume(self) -> StreamingQuery:
+        """Starts, or goes on after a pause; a running poll is left alone."""
+        if self.query is None or not self.query.isActive:
+            self.query = self.write(polled(self.samples, self.seconds)).start()
+        return self.query
+
+    def pause(self) -> None:
+        if self.query is not None:
+            self.query.stop()
+
+
 def stop_all(spark: SparkSession) -> int:
     """Stops every streaming query and cancels every running job of the session; how many queries there were."""
     active = spark.streams.active

@@ -61,3 +61,26 @@ def test_managed_copies_are_made_of_accepted_files_only(spark, folder, tmp_path_
     assert len(list(copies.iterdir())) == 6
     files.discard(str(copies))
     assert list(copies.iterdir()) == []
+
+
+def _engine():
+    """Counts the texts that it has read since it was started."""
+    seen = []
+
+    def read(content: bytes) -> files.Extracted:
+        seen.append(content)
+        return files.Extracted(content.decode(), confidence=float(len(seen)))
+
+    return read
+
+
+def test_an_engine_is_started_once_in_a_worker(spark, monkeypatch):
+    monkeypatch.setitem(files._EXTRACTORS, ".png", files.PerWorker(_engine))
+    rows = spark.createDataFrame([(k, ".png", bytearray(b"text")) for k in range(9)], "id int, ext string, content binary").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        found = files.extract(rows).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    first = min(r.confidence for r in found)
+    assert sorted(r.confidence for r in found) == [first + k for k in range(9)] and {r.text for r in found} == {"text"}

@@ -166,3 +166,30 @@ def test_interval_join_of_streams_equals_the_batch_form(spark, tmp_path):
     run(state.once(stream.select("n", "right_n"), str(tmp_path / "out"), str(tmp_path / "check")))
     assert pairs(state.taken(spark, str(tmp_path / "out"), "n long, right_n long")) == pairs(batch)
     assert len(pairs(batch)) == sum(a[0] == b[0] and datetime.timedelta(0) <= a[1] - b[1] <= datetime.timedelta(minutes=30) for a in left for b in right)
+
+
+def test_a_paused_poll_goes_on_where_it_stopped(spark, tmp_path):
+    schema = "id long"
+    fed(spark, tmp_path / "in", [(1,)], schema)
+    take = state.take_once(str(tmp_path / "out"))
+    poll = streams.Poll(source(spark, tmp_path / "in", schema), lambda w: w.foreachBatch(take).option("checkpointLocation", str(tmp_path / "check")), 1)
+    ids = lambda: sorted(r.id for r in state.taken(spark, str(tmp_path / "out"), schema).collect())
+
+    def until(want):
+        end = time.monotonic() + 60
+        while ids() != want and time.monotonic() < end:
+            time.sleep(0.3)
+        assert ids() == want
+
+    try:
+        assert poll.resume() is poll.resume()
+        until([1])
+        poll.pause()
+        poll.pause()
+        fed(spark, tmp_path / "in", [(2,)], schema)
+        time.sleep(2)
+        assert ids() == [1]
+        poll.resume()
+        until([1, 2])
+    finally:
+        poll.pause()
