@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows and counters a row of a count-min sketch: an estimate is over by more than e / COUNTERS of all items once in e ** DEPTH times.
-DEPTH, COUNTERS = 4, 2048
+DEPTH, COUNTERS = 4, 512
 #: Bits of registers of HyperLogLog, and the size of KLL: relative and rank errors of 1.6 and 1.3 per cent at one standard deviation.
 HLL_BITS, KLL_SIZE = 12, 200
 

@@ -240,13 +240,16 @@ def text_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches by source and day, merged to sources, and whether each estimate lies within its bound of the exact value."""
     docs = stored(spark, sf_dir).select(F.col("filename").alias("source"), F.to_date("created_at").alias("day"), "text")
     told = sketches.estimates(sketches.merged(sketches.summarise(docs, ["source", "day"]), ["source"]), ["source"])
-    exact = docs.groupBy("source").agg(F.count_distinct("text").alias("exact"))
+    exact = docs.groupBy("source").agg(F.count_distinct(F.sha2("text", 256)).alias("exact"))
     ranks = docs.join(told.select("source", "q50", "q90"), "source").groupBy("source").agg(*[F.avg(F.when(F.length("text") < F.col(q), 1).otherwise(0)).alias(f"below_{q}") for q in ("q50", "q90")], *[F.avg(F.when(F.length("text") <= F.col(q), 1).otherwise(0)).alias(f"to_{q}") for q in ("q50", "q90")])
     words = docs.select("source", "day", F.explode(F.array_remove(F.split("text", r"\s+"), "")).alias("word"))
-    daily = sketches.count_min(words, ["source", "day"], "word")
-    cells = daily.groupBy("source", "row", "cell").agg(F.sum("n").alias("n"))
-    counts = words.groupBy("source", "word").agg(F.count("*").alias("exact"))
-    total = counts.groupBy("source").agg(F.sum("exact").alias("words"))
+    path = scratch(spark, "sketches")
+    sketches.count_min(words, ["source", "day"], "word").write.parquet(path)
+    cells = spark.read.parquet(path).groupBy("source", "row", "cell").agg(F.sum("n").alias("n"))
+    # Asked for are the words of benchmark, whose exact counts are taken beside the sketches; a row of counters holds all words.
+    asked = table(spark, sf_dir, "benchmark").select(F.explode(F.array_remove(F.split("text", r"\s+"), "")).alias("word")).distinct()
+    counts = words.join(asked, "word", "left_semi").groupBy("source", "word").agg(F.count("*").alias("exact"))
+    total = cells.where("row = 0").groupBy("source").agg(F.sum("n").alias("words"))
     over = sketches.count_estimates(cells, counts.select("source", "word"), ["source"], "word").join(counts, ["source", "word"]).join(total, "source")
     # An estimate is never under; over by more than e / COUNTERS of all words it is for one word in e ** DEPTH at most, on average.
     bound = F.col("words") * 2.7183 / sketches.COUNTERS
