@@ -241,7 +241,10 @@ def text_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = stored(spark, sf_dir).select(F.col("filename").alias("source"), F.to_date("created_at").alias("day"), "text")
     told = sketches.estimates(sketches.merged(sketches.summarise(docs, ["source", "day"]), ["source"]), ["source"])
     exact = docs.groupBy("source").agg(F.count_distinct(F.sha2("text", 256)).alias("exact"))
-    ranks = docs.join(told.select("source", "q50", "q90"), "source").groupBy("source").agg(*[F.avg(F.when(F.length("text") < F.col(q), 1).otherwise(0)).alias(f"below_{q}") for q in ("q50", "q90")], *[F.avg(F.when(F.length("text") <= F.col(q), 1).otherwise(0)).alias(f"to_{q}") for q in ("q50", "q90")])
+    # Texts don't meet their source's estimates, a histogram of their lengths does.
+    lengths = docs.groupBy("source", F.length("text").alias("chars")).agg(F.count("*").alias("n")).join(told.select("source", "q50", "q90"), "source")
+    share = lambda held: F.sum(F.when(held, F.col("n")).otherwise(0)) / F.sum("n")
+    ranks = lengths.groupBy("source").agg(*[share(F.col("chars") < F.col(q)).alias(f"below_{q}") for q in ("q50", "q90")], *[share(F.col("chars") <= F.col(q)).alias(f"to_{q}") for q in ("q50", "q90")])
     words = docs.select("source", "day", F.explode(F.array_remove(F.split("text", r"\s+"), "")).alias("word"))
     path = scratch(spark, "sketches")
     sketches.count_min(words, ["source", "day"], "word").write.parquet(path)
