@@ -21,7 +21,7 @@ from paperloom.sources import files
 NAME = "paperloom_office"
 #: Bytes of files in a partition, about; a larger file is a partition of its own.
 PARTITION_BYTES = 64 << 20
-#: Files that a partition hands on at a time.
+#: Files that a partition hands on at a time, if their texts aren't long.
 BATCH_FILES = 64
 
 _SCHEMA = pa.schema([("path", pa.string()), ("filename", pa.string()), ("ext", pa.string()), ("file_size", pa.int64()), ("text", pa.string()), ("page_count", pa.int32()), ("error", pa.string())])
@@ -91,8 +91,8 @@ class OfficeReader(DataSourceReader):
 
     def read(self, partition: OfficeFiles) -> Iterator[pa.RecordBatch]:
         system, _ = fs.FileSystem.from_uri(self.path)
-        for k in range(0, len(partition.files), BATCH_FILES):
-            rows = [(*one, *self._text(system, one[0], one[2])) for one in partition.files[k : k + BATCH_FILES]]
+        told = ((*one, *self._text(system, one[0], one[2])) for one in partition.files)
+        for rows in files.by_length(told, _SCHEMA.get_field_index("text"), BATCH_FILES):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 

@@ -1,5 +1,6 @@
 """The office data source: which files it opens, how it deals them, and what failures give."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, StringContains
@@ -84,3 +85,19 @@ def test_an_engine_is_started_once_in_a_worker(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     first = min(r.confidence for r in found)
     assert sorted(r.confidence for r in found) == [first + k for k in range(9)] and {r.text for r in found} == {"text"}
+
+
+def test_texts_are_handed_on_as_they_add_up(tmp_path):
+    """Twelve files of a million characters each: no batch holds them all, nor does one list what is bigger than a few."""
+    for k in range(12):
+        (tmp_path / f"{k:02}.docx").write_bytes(_docx_bytes([f"{k} " + "x" * 1_000_000]))
+    reader = office.OfficeReader({"path": str(tmp_path)})
+    (part,) = reader.partitions()
+    batches = list(reader.read(part))
+    assert [n for b in batches for n in b.column("filename").to_pylist()] == [f"{k:02}.docx" for k in range(12)]
+    assert max(sum(map(len, b.column("text").to_pylist())) for b in batches) < files.BATCH_LENGTH + 1_000_010
+    content = pa.array([(tmp_path / f"{k:02}.docx").read_bytes() for k in range(12)], pa.binary())
+    given = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array([".docx"] * 11 + [".none"]), content], names=["doc_id", "ext", "content"])
+    batches = list(files._extracted(iter([given]), files._EXTRACTORS))
+    assert [b.num_rows for b in batches] == [5, 5, 2] and [i for b in batches for i in b.column("doc_id").to_pylist()] == list(range(12))
+    assert batches[1].column("text")[1].as_py() == "6 " + "x" * 1_000_000 and "no extractor" in batches[2].column("error")[1].as_py()
