@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, StringContains
 
-from paperloom.plans.documents import _docx_bytes, _xlsx_bytes
+from paperloom.plans.documents import _docx_bytes, _office, _xlsx_bytes
 from paperloom.sources import files, office
 
 
@@ -101,3 +101,10 @@ def test_texts_are_handed_on_as_they_add_up(tmp_path):
     batches = list(files._extracted(iter([given]), files._EXTRACTORS))
     assert [b.num_rows for b in batches] == [5, 5, 2] and [i for b in batches for i in b.column("doc_id").to_pylist()] == list(range(12))
     assert batches[1].column("text")[1].as_py() == "6 " + "x" * 1_000_000 and "no extractor" in batches[2].column("error")[1].as_py()
+
+
+def test_office_files_are_made_a_few_at_a_time():
+    texts = [f"{k}\n" + "y" * 1_000_000 for k in range(12)]
+    batches = list(_office(iter([pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(texts)], names=["doc_id", "text"])])))
+    assert [b.num_rows for b in batches] == [5, 5, 2] and [i for b in batches for i in b.column("doc_id").to_pylist()] == list(range(12))
+    assert files.docx(batches[2].column("content")[1].as_py()).text == "11\n\n" + "y" * 1_000_000
