@@ -5,10 +5,11 @@ State lies in RocksDB, so it isn't bounded by an executor's heap: call use_rocks
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from paperloom.functions.patterns import FLUSH_MS
@@ -44,45 +45,49 @@ class FlushProcessor(StatefulProcessor):
         self.pending = handle.getListState("pending", "text string")
 
     def _taken(self) -> str:
-        text = "".join(row[0] for row in self.pending.get()) if self.pending.exists() else ""
+        text = "".join(row[0] for row in self.pending.get())
         self.pending.clear()
         return text
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        chars, last, batch, ended = self.place.get() if self.place.exists() else (0, -1.0, 0, False)
-        out, fresh = [], []
-        for _, ms, text, end in pd.concat(list(rows)).sort_values("seq")[["seq", "ms", "text", "end"]].itertuples(index=False):
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # A call to the state is a round trip: each part is asked for once, and only if it matters.
+        chars, last, batch, ended = self.place.get() or (0, -1.0, 0, False)
+        out, fresh, held = [], [], chars > 0
+        for row in sorted(rows, key=lambda r: (r["seq"] is None, r["seq"] or 0)):
+            ms, text = math.nan if row["ms"] is None else float(row["ms"]), row["text"] or ""
             flusher = Flusher(int(chars), None if last < 0 else last, int(batch))
-            flusher.take(len(text or ""), float(ms))
+            flusher.take(len(text), ms)
             if text:
                 fresh.append(text)
-            ended, last = ended or bool(end), flusher.last
-            chars = chars + len(text or "")
+            ended, last = ended or bool(row["end"]), flusher.last
+            chars = chars + len(text)
             if flusher.batch > batch or (ended and chars):
-                out.append((key[0], batch, self._taken() + "".join(fresh), ended))
-                chars, batch, fresh = 0, batch + 1, []
-        for text in fresh:
-            self.pending.appendValue((text,))
+                out.append(_batch(key[0], batch, (self._taken() if held else "") + "".join(fresh), ended))
+                chars, batch, fresh, held = 0, batch + 1, [], False
+        if fresh:
+            self.pending.appendList([(text,) for text in fresh])
         self.place.update((int(chars), float(last), int(batch), bool(ended)))
         if self.silent_ms is not None:
             self._set_timer(timerValues, chars)
-        yield pd.DataFrame(out, columns=["stream", "batch", "text", "final"])
+        yield from out
 
     def _set_timer(self, timerValues, chars: int) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + (FLUSH_MS if chars else self.silent_ms))
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        _, last, batch, ended = self.place.get()
-        if text := self._taken():
-            out.append((key[0], batch, text, bool(ended)))
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        chars, last, batch, ended = self.place.get()
+        if chars:
             self.place.update((0, float(last) + FLUSH_MS, int(batch) + 1, bool(ended)))
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.silent_ms)
+            yield _batch(key[0], batch, self._taken(), ended)
         else:
             self.place.clear()
-        yield pd.DataFrame(out, columns=["stream", "batch", "text", "final"])
+
+
+def _batch(stream: int, batch: int, text: str, final: bool) -> Row:
+    return Row(stream=stream, batch=int(batch), text=text, final=bool(final))
 
 
 def _time_mode(silent_ms: int | None) -> str:
@@ -95,7 +100,7 @@ def flush_chunks(chunks: DataFrame, silent_ms: int | None = SILENT_MS) -> DataFr
     With silent_ms None there are no timers and nothing is forgotten; only then does a query with an
     availableNow trigger come to its end.
     """
-    return chunks.groupBy("stream").transformWithStateInPandas(FlushProcessor(silent_ms), BATCH, "Append", _time_mode(silent_ms))
+    return chunks.groupBy("stream").transformWithState(FlushProcessor(silent_ms), BATCH, "Append", _time_mode(silent_ms))
 
 
 class LoadProcessor(StatefulProcessor):

@@ -5,6 +5,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from paperloom.operators import monitoring
@@ -193,3 +194,59 @@ def test_a_paused_poll_goes_on_where_it_stopped(spark, tmp_path):
         until([1, 2])
     finally:
         poll.pause()
+
+
+class CountedState:
+    """A value, list or map state in memory that counts its calls."""
+
+    def __init__(self, calls):
+        self.calls, self.held = calls, None
+
+    def __getattr__(self, name):
+        def call(*given):
+            self.calls.append(name)
+            return getattr(self, f"_{name}")(*given)
+
+        return call
+
+    def _exists(self):
+        return self.held is not None
+
+    def _get(self):
+        return self.held
+
+    def _update(self, value):
+        self.held = value
+
+    def _clear(self):
+        self.held = None
+
+    def _appendList(self, values):
+        self.held = [*(self.held or []), *values]
+
+    def _getValue(self, key):
+        return (self.held or {}).get(key)
+
+    def _updateValue(self, key, value):
+        self.held = {**(self.held or {}), key: value}
+
+
+class CountedHandle:
+    def __init__(self):
+        self.calls = []
+        self.getValueState = self.getListState = self.getMapState = lambda *_: CountedState(self.calls)
+
+
+def test_calls_to_a_streams_state_do_not_grow_with_its_chunks():
+    processor, handle = state.FlushProcessor(None), CountedHandle()
+    processor.init(handle)
+    rows = [Row(stream=7, seq=i, ms=i, text="x" * 100, end=False) for i in range(205)]
+    first = list(processor.handleInputRows((7,), iter(rows[104::-1]), None))
+    second = list(processor.handleInputRows((7,), iter(rows[105:]), None))
+    flusher, want = monitoring.Flusher(), {}
+    for r in rows:
+        own = flusher.take(100, r.ms)
+        want[own] = want.get(own, "") + r.text
+    want.pop(flusher.batch, None)  # not closed
+    assert {r.batch: r.text for r in first + second} == want
+    assert len(handle.calls) <= 12
