@@ -119,19 +119,25 @@ class LoadProcessor(StatefulProcessor):
         self.newest = handle.getValueState("newest", "sample long, d_total double, d_idle double", self.silent_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        sample, d_total, d_idle = self.newest.get() if self.newest.exists() else (None, 0.0, 0.0)
-        told = {}
+        sample, d_total, d_idle = self.newest.get() or (None, 0.0, 0.0)
+        # A call to the state is a round trip: a core's last reading is asked for and told once, not by row.
+        told, readings, changed = {}, {}, set()
         for at, core, total, idle in pd.concat(list(rows)).sort_values(["sample", "core"])[["sample", "core", "total", "idle"]].itertuples(index=False):
-            before = self.cores.getValue((int(core),)) if self.cores.containsKey((int(core),)) else None
+            if core not in readings:
+                readings[core] = self.cores.getValue((int(core),))
+            before = readings[core]
             if before and before[0] >= at:
                 continue
-            self.cores.updateValue((int(core),), (int(at), float(total), float(idle)))
+            readings[core] = (int(at), float(total), float(idle))
+            changed.add(core)
             if sample is None or at > sample:
                 sample, d_total, d_idle = int(at), 0.0, 0.0
             if at == sample:
                 if before:
                     d_total, d_idle = d_total + float(total) - before[1], d_idle + float(idle) - before[2]
                 told[sample] = load_percent(d_total, d_idle)
+        for core in changed:
+            self.cores.updateValue((int(core),), readings[core])
         if sample is not None:
             self.newest.update((int(sample), d_total, d_idle))
         yield pd.DataFrame([(key[0], s, load) for s, load in told.items()], columns=["host", "sample", "load"])

@@ -4,6 +4,7 @@ import datetime
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -250,3 +251,13 @@ def test_calls_to_a_streams_state_do_not_grow_with_its_chunks():
     want.pop(flusher.batch, None)  # not closed
     assert {r.batch: r.text for r in first + second} == want
     assert len(handle.calls) <= 12
+
+
+def test_calls_to_a_hosts_state_do_not_grow_with_its_samples():
+    processor, handle = state.LoadProcessor(None), CountedHandle()
+    processor.init(handle)
+    samples = pd.DataFrame([(1, s, c, 30 * s, 10 * s) for s in range(100) for c in range(4)], columns=["host", "sample", "core", "total", "idle"])
+    (first,) = processor.handleInputRows((1,), iter([samples[:202]]), None)
+    (second,) = processor.handleInputRows((1,), iter([samples[198:]]), None)
+    assert first["load"].tolist() == [0] + [67] * 50 and second["sample"].tolist() == list(range(50, 100)) and set(second["load"]) == {67}
+    assert len(handle.calls) <= 24
