@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
 
 from paperloom.functions.patterns import WS
 
-_HEAD = re.compile(rf"#{{3,4}}[{WS}]+([0-9]+)\.[{WS}]*")
-_BLANK = re.compile(rf"[{WS}]*")
-
-
-class NumberedBlocks:
-    """Rows (idx, body) of the blocks headed `### n.` or `#### n.`, as markdown.numbered_blocks() has them; none for null."""
-
-    def eval(self, text: str) -> Iterator[tuple[int, str]]:
-        heads = list(_HEAD.finditer(text or ""))
-        for head, after in zip(heads, [*heads[1:], None], strict=False):
-            body = text[head.end() : after.start() if after else len(text)]
-            if not _BLANK.fullmatch(body):
-                yield int(head[1]), body
-
-
-class Lines:
-    """Rows (line_no, line) of a text's lines, from 1; none for null."""
-
-    def eval(self, text: str) -> Iterator[tuple[int, str]]:
-        yield from enumerate(text.split("\n") if text is not None else [], start=1)
+_HEAD = rf"#{{3,4}}[{WS}]+(\d+)\.[{WS}]*"
 
+#: SQL bodies of the table functions: name, columns, array of structs whose elements are the rows.
+TABLES = (
+    # Blocks headed `### n.` or `#### n.`, as markdown.numbered_blocks() has them; none for null.
+    ("md_blocks", "idx INT, body STRING", rf"filter(zip_with(regexp_extract_all(md, r'{_HEAD}', 1), slice(split(md, r'{_HEAD}', -1), 2, 1000000000), (n, part) -> struct(int(n) AS idx, part AS body)), b -> NOT b.body RLIKE r'\A[{WS}]*\z')"),
+    # Lines, numbered from 1; none for null.
+    ("text_lines", "line_no INT, line STRING", "transform(split(md, '\\n', -1), (line, k) -> struct(k + 1 AS line_no, line AS line))"),
+)
 
 #: SQL bodies of the scalar functions: name, arguments, type, body.
 SCALARS = (
@@ -40,8 +24,8 @@ SCALARS = (
 
 
 def register(spark: SparkSession) -> None:
-    """Makes md_blocks and text_lines (table functions, by Arrow), and md_field and md_severity known to the session's SQL."""
-    spark.udtf.register("md_blocks", udtf(NumberedBlocks, returnType="idx int, body string", useArrow=True))
-    spark.udtf.register("text_lines", udtf(Lines, returnType="line_no int, line string", useArrow=True))
+    """Makes md_blocks and text_lines (table functions), and md_field and md_severity known to the session's SQL."""
+    for name, columns, rows in TABLES:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(md STRING) RETURNS TABLE ({columns}) RETURN SELECT * FROM inline({rows})")
     for name, arguments, kind, body in SCALARS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")

@@ -180,6 +180,15 @@ def test_table_functions_equal_the_column_functions(spark):
     assert tuple(told) == ("a b", "hoch", None, "high")
 
 
+def test_table_functions_need_no_python(spark):
+    tables.register(spark)
+    spark.createDataFrame([(0, "a\n\n  b\n"), (1, ""), (2, None)], "id int, md string").createOrReplaceTempView("answers")
+    lines = spark.sql("SELECT id, n.line_no, n.line FROM answers, LATERAL text_lines(md) n")
+    assert sorted(map(tuple, lines.collect())) == [(0, 1, "a"), (0, 2, ""), (0, 3, "  b"), (0, 4, ""), (1, 1, "")]
+    for found in (lines, spark.sql("SELECT b.* FROM answers, LATERAL md_blocks(md) b")):
+        assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sketches_merge_to_what_they_say_of_the_whole(spark):
     rng = random.Random(7)
     rows = [(f"s{k % 3}", k % 11, f"text {rng.randrange(900)}" + "x" * rng.randrange(200)) for k in range(6000)]
