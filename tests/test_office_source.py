@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, StringContains
 
-from paperloom.plans.documents import _docx_bytes, _office, _xlsx_bytes
+from paperloom.functions import text
+from paperloom.plans.documents import _docx_bytes, _office, _xlsx_bytes, bulk_import_outputs
 from paperloom.sources import files, office
 
 
@@ -108,3 +109,21 @@ def test_office_files_are_made_a_few_at_a_time():
     batches = list(_office(iter([pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(texts)], names=["doc_id", "text"])])))
     assert [b.num_rows for b in batches] == [5, 5, 2] and [i for b in batches for i in b.column("doc_id").to_pylist()] == list(range(12))
     assert files.docx(batches[2].column("content")[1].as_py()).text == "11\n\n" + "y" * 1_000_000
+
+
+def test_outcomes_judge_a_file_once(spark, sf_dir):
+    rows = spark.createDataFrame([(1, "a.docx", None), (2, "b.doc", "legacy_format"), (3, None, "not_found"), (4, "c.docx", None)], "id int, filename string, reject_reason string")
+    got = files.outcomes(rows, id=F.col("id"), filename=F.col("filename"))
+    want = files.accepted(rows).unionByName(files.rejects(rows), allowMissingColumns=True)
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    plan = bulk_import_outputs(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    # One scan; trimming and two counts for the verdict.
+    assert plan.count("FileScan") == 1 and plan.count("regexp_replace") == 3
+
+
+def test_a_reject_of_a_text_is_its_verdict(spark):
+    texts = spark.createDataFrame([("",), ("abc",), ("\x01\x01a",), (None,), ("" * 5 + "a",), ("\x01" + "a" * 19,)], "t string")
+    t = F.col("t")
+    verdict = text.print_verdict(text.js_length(t), text.printable_chars(t), text.control_chars(t))
+    got = texts.select(text.text_verdict(t), verdict, text.text_reject(t)).collect()
+    assert [tuple(r) for r in got] == [("empty", "empty", "empty"), ("ok", "ok", None), ("control", "control", "control"), ("ok", "ok", None), ("unprintable", "unprintable", "unprintable"), ("ok", "ok", None)]
